@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.constants import LOCAL_TZ, SPLITS
+from gridspark.functions.zones import by_year, in_range, summer_calendar
 
 
 def col(c: Column | str) -> Column:
@@ -50,42 +51,77 @@ def interval_seconds(delta: Column) -> Column:
 
 # ---------------------------------------------------------------- zone conversion
 def utc_to_local(ts: Column | str, tz: str = LOCAL_TZ) -> Column:
-    return F.convert_timezone(F.lit("UTC"), F.lit(tz), col(ts))
+    ts = col(ts)
+    slow = F.convert_timezone(F.lit("UTC"), F.lit(tz), ts)
+    cal = summer_calendar(tz)
+    if cal is None:
+        return slow
+    y = F.year(ts)
+    summer = (ts >= by_year(cal.starts, y)) & (ts < by_year(cal.ends, y))
+    fast = ts + F.when(summer, F.lit(cal.summer)).otherwise(F.lit(cal.standard))
+    return F.when(in_range(y), fast).otherwise(slow)
 
 
 def local_to_utc(local: Column | str, repeated: Column | None = None, tz: str = LOCAL_TZ) -> Column:
     """Wall time to instant. Ambiguous times are the daylight occurrence unless `repeated`;
     times inside a spring gap move forward to the end of the gap."""
     local = col(local)
-    first = F.convert_timezone(F.lit(tz), F.lit("UTC"), local)
-    in_gap = utc_to_local(first, tz) != local
-    out = F.when(in_gap, floor_hours(first)).otherwise(first)
+    cal = summer_calendar(tz)
+    if cal is None:
+        first = F.convert_timezone(F.lit(tz), F.lit("UTC"), local)
+        out = F.when(utc_to_local(first, tz) != local, floor_hours(first)).otherwise(first)
+        if repeated is not None:
+            out = F.when(repeated & is_ambiguous(local, tz), first + hours(1)).otherwise(out)
+        return out
+    y = F.year(local)
+    gap_start = by_year([t + cal.standard for t in cal.starts], y)
+    gap_end = by_year([t + cal.summer for t in cal.starts], y)
+    back = by_year([t + cal.summer for t in cal.ends], y)
+    summer = (local >= gap_start) & (local < back)
     if repeated is not None:
-        second = first + hours(1)
-        out = F.when(repeated & (utc_to_local(second, tz) == local), second).otherwise(out)
-    return out
+        summer = summer & ~(F.coalesce(repeated, F.lit(False)) & is_ambiguous(local, tz))
+    fast = (F.when((local >= gap_start) & (local < gap_end), by_year(cal.starts, y))
+            .otherwise(local - F.when(summer, F.lit(cal.summer)).otherwise(F.lit(cal.standard))))
+    return F.when(in_range(y), fast).otherwise(F.convert_timezone(F.lit(tz), F.lit("UTC"), local))
 
 
 def is_ambiguous(local: Column | str, tz: str = LOCAL_TZ) -> Column:
+    """True for wall times that happen twice."""
     local = col(local)
-    first = F.convert_timezone(F.lit(tz), F.lit("UTC"), local)
-    return (utc_to_local(first, tz) == local) & (utc_to_local(first + hours(1), tz) == local)
+    cal = summer_calendar(tz)
+    if cal is None:
+        first = F.convert_timezone(F.lit(tz), F.lit("UTC"), local)
+        return (utc_to_local(first, tz) == local) & (utc_to_local(first + hours(1), tz) == local)
+    y = F.year(local)
+    return F.coalesce((local >= by_year([t + cal.standard for t in cal.ends], y))
+                      & (local < by_year([t + cal.summer for t in cal.ends], y)), F.lit(False))
 
 
 def is_repeated_hour(ts: Column | str, tz: str = LOCAL_TZ) -> Column:
     """True when the clock went back within the last hour and this wall hour already happened."""
     ts = col(ts)
+    cal = summer_calendar(tz)
+    if cal is not None:
+        y = F.year(ts)
+        shift = cal.summer - cal.standard
+        return F.coalesce((ts >= by_year(cal.ends, y)) & (ts < by_year([t + shift for t in cal.ends], y)), F.lit(False))
     before = ts - hours(1)
     now_local, before_local = utc_to_local(ts, tz), utc_to_local(before, tz)
     return ((now_local - ts) < (before_local - before)) & (F.hour(now_local) == F.hour(before_local))
 
 
 def midnight_utc(day: Column | str, tz: str = LOCAL_TZ) -> Column:
-    return F.convert_timezone(F.lit(tz), F.lit("UTC"), col(day).cast("timestamp_ntz"))
+    return local_to_utc(col(day).cast("timestamp_ntz"), tz=tz)
 
 
 def hours_in_day(day: Column | str, tz: str = LOCAL_TZ) -> Column:
     day = col(day)
+    cal = summer_calendar(tz)
+    if cal is not None:
+        y = F.year(day)
+        shift = int((cal.summer - cal.standard).total_seconds() // 3600)
+        return (F.when(day == by_year([(t + cal.standard).date() for t in cal.starts], y), 24 - shift)
+                .when(day == by_year([(t + cal.summer).date() for t in cal.ends], y), 24 + shift).otherwise(24))
     return (interval_minutes(midnight_utc(F.date_add(day, 1), tz) - midnight_utc(day, tz)) / 60).cast("int")
 
 
@@ -95,19 +131,16 @@ def is_change_day(day: Column | str, tz: str = LOCAL_TZ) -> Column:
 
 def cutoff_utc(day: Column | str, tz: str = LOCAL_TZ) -> Column:
     """10:00 local on the day before the operating day, as an instant."""
-    return F.convert_timezone(F.lit(tz), F.lit("UTC"), F.date_sub(col(day), 1).cast("timestamp_ntz") + hours(10))
+    return local_to_utc(F.date_sub(col(day), 1).cast("timestamp_ntz") + hours(10), tz=tz)
 
 
-def next_cutoff_day(ts: Column | str, lead_hours: int = 0, tz: str = LOCAL_TZ) -> Column:
-    """First operating day whose cutoff (minus `lead_hours`) lies strictly after `ts`.
+def next_cutoff_day(ts: Column | str, lead_minutes: int = 0, tz: str = LOCAL_TZ) -> Column:
+    """First operating day whose cutoff (minus `lead_minutes`) lies strictly after `ts`.
 
-    Every instant has exactly one such day, so an as-of lookup on daily cutoffs can start with a plain
-    grouped maximum instead of a sort of the raw rows."""
-    ts = col(ts)
-    guess = F.to_date(utc_to_local(ts + hours(lead_hours), tz))
-    offsets = F.array(*[F.date_add(guess, k) for k in range(0, 4)])
-    later = F.filter(offsets, lambda d: cutoff_utc(d, tz) - hours(lead_hours) > ts)
-    return F.array_min(later)
+    Every instant has exactly one such day, so an as-of lookup on daily cutoffs can start with a grouped
+    maximum instead of a sort of the raw rows."""
+    local = utc_to_local(col(ts) + minutes(lead_minutes), tz)
+    return F.date_add(F.to_date(local), F.when(F.hour(local) < 10, 1).otherwise(2))
 
 
 # ---------------------------------------------------------------- standard columns
