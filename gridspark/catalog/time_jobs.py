@@ -136,23 +136,23 @@ def _(v):
         {f"{m}_issued": T.issued_bound("start_utc", c, s, lat) for m, c, s, lat in WEATHER_MODELS})
 
 
-@job("t12_resolve_day_stamp", "doc_id:l resolved:t",
-     """WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS doc_id, CAST(1 + l_partkey % 31 AS INTEGER) AS dd, CAST(l_suppkey % 24 AS INTEGER) AS hh,
-                          CAST(l_orderkey % 60 AS INTEGER) AS mm, l_shipdate AS ws, l_shipdate + to_days(CAST(1 + l_linenumber * 4 AS INTEGER)) AS we FROM lineitem),
+@job("t12_resolve_day_stamp", "ws:t we:t dd:i hh:i mm:i resolved:t",
+     """WITH x AS (SELECT *, row_number() OVER () AS id FROM (
+            SELECT DISTINCT 1 + l_partkey % 31 AS dd, l_suppkey % 24 AS hh, l_orderkey % 60 AS mm, l_shipdate AS ws,
+                   l_shipdate + to_days(CAST(1 + l_linenumber * 4 AS INTEGER)) AS we FROM lineitem)),
         m AS (SELECT DISTINCT x.*, date_trunc('month', a) + to_months(k) AS mo
               FROM x, (VALUES (-1), (0), (1)) k(k), LATERAL (SELECT unnest([ws, we - INTERVAL 1 SECOND]) AS a)),
-        c AS (SELECT doc_id, ws, we, make_timestamp(CAST(year(mo) AS BIGINT), CAST(month(mo) AS BIGINT), CAST(dd AS BIGINT), CAST(hh AS BIGINT), CAST(mm AS BIGINT), 0.0) AS t
+        c AS (SELECT id, ws, we, make_timestamp(CAST(year(mo) AS BIGINT), CAST(month(mo) AS BIGINT), dd, hh, mm, 0.0) AS t
               FROM m WHERE dd <= day(last_day(mo))),
         d AS (SELECT *, CASE WHEN t < ws THEN epoch(ws) - epoch(t) WHEN t >= we THEN epoch(t) - epoch(we) ELSE 0 END AS dist FROM c)
-        SELECT x.doc_id, b.t AS resolved FROM x LEFT JOIN (
-            SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dist, t) = 1) b ON b.doc_id = x.doc_id AND b.dist <= 3 * 86400""")
+        SELECT ws, we, dd, hh, mm, b.t AS resolved FROM x LEFT JOIN (
+            SELECT id, t, dist FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, t) = 1) b ON b.id = x.id AND b.dist <= 3 * 86400""")
 def _(v):
     li = v.table("lineitem")
-    x = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("doc_id"),
-                  (1 + F.col("l_partkey") % 31).alias("dd"), (F.col("l_suppkey") % 24).alias("hh"),
+    x = li.select((1 + F.col("l_partkey") % 31).alias("dd"), (F.col("l_suppkey") % 24).alias("hh"),
                   (F.col("l_orderkey") % 60).alias("mm"), F.col("l_shipdate").alias("ws"),
-                  (F.col("l_shipdate") + T.hours(24 * (1 + F.col("l_linenumber") * 4))).alias("we"))
-    return x.select("doc_id", T.resolve_day_stamp(F.col("dd"), F.col("hh"), F.col("mm"), F.col("ws"), F.col("we")).alias("resolved"))
+                  (F.col("l_shipdate") + T.hours(24 * (1 + F.col("l_linenumber") * 4))).alias("we")).distinct()
+    return x.withColumn("resolved", T.resolve_day_stamp(F.col("dd"), F.col("hh"), F.col("mm"), F.col("ws"), F.col("we")))
 
 
 @job("t13_time_splits", "operating_date:d split year_split",
@@ -206,7 +206,7 @@ _OFFICES = "('z0', 'src0'), ('z1', 'src1'), ('z2', 'src7'), ('system_total', 'sr
 
 
 @job("j03_asof_bulletins", "zone office operating_date:d doc_id:l issued_utc:t",
-     f"""WITH zd AS (SELECT DISTINCT zone, office, CAST(issued_utc + INTERVAL 1 DAY AS DATE) AS operating_date
+     f"""WITH zd AS (SELECT DISTINCT z.zone, z.office, CAST(issued_utc + INTERVAL 1 DAY AS DATE) AS operating_date
                      FROM bulletins, (VALUES {_OFFICES}) z(zone, office)),
          b AS (SELECT office, issued_utc, doc_id FROM bulletins WHERE length(trim(text)) > 0
                QUALIFY row_number() OVER (PARTITION BY office, issued_utc ORDER BY doc_id DESC) = 1)
@@ -222,24 +222,24 @@ def _(v):
     return bulletins_for_days(zone_days, v.bulletins.withColumnRenamed("text", "reasoning_text"), keep=["doc_id"])
 
 
-@job("j04_latest_before_instant", "vec_id:l office at:t doc_id:l issued_utc:t",
-     """WITH q AS (SELECT event_id AS vec_id, 'src' || (event_id % 20) AS office, ts AS at FROM events),
+@job("j04_latest_before_instant", "vec_id:l office asked:t doc_id:l issued_utc:t",
+     """WITH q AS (SELECT event_id AS vec_id, 'src' || (event_id % 20) AS office, ts AS asked FROM events),
         b AS (SELECT office, issued_utc, max(doc_id) AS doc_id FROM bulletins GROUP BY 1, 2)
-        SELECT q.*, b.doc_id, b.issued_utc FROM q ASOF LEFT JOIN b ON q.office = b.office AND b.issued_utc < q.at""")
+        SELECT q.*, b.doc_id, b.issued_utc FROM q ASOF LEFT JOIN b ON q.office = b.office AND b.issued_utc < q.asked""")
 def _(v):
     q = v.events.select(F.col("event_id").alias("vec_id"), F.concat(F.lit("src"), F.col("event_id") % 20).alias("office"),
-                        F.col("ts").alias("at"))
-    return asof.asof_join(q, v.bulletins, ["office"], "at", "issued_utc", ["doc_id"], strict=True, tie=["doc_id"])
+                        F.col("ts").alias("asked"))
+    return asof.asof_join(q, v.bulletins, ["office"], "asked", "issued_utc", ["doc_id"], strict=True, tie=["doc_id"])
 
 
-@job("j04_latest_within_age", "vec_id:l point at:t start_utc:t price:4",
-     """WITH q AS (SELECT event_id AS vec_id, event_type AS point, ts AS at FROM events)
-        SELECT q.*, CASE WHEN b.start_utc >= q.at - INTERVAL 10 MINUTE THEN b.start_utc END AS start_utc,
-               CASE WHEN b.start_utc >= q.at - INTERVAL 10 MINUTE THEN b.price END AS price
-        FROM q ASOF LEFT JOIN iv15 b ON q.point = b.point AND b.start_utc <= q.at""")
+@job("j04_latest_within_age", "vec_id:l point asked:t start_utc:t price:4",
+     """WITH q AS (SELECT event_id AS vec_id, event_type AS point, ts AS asked FROM events)
+        SELECT q.*, CASE WHEN b.start_utc >= q.asked - INTERVAL 10 MINUTE THEN b.start_utc END AS start_utc,
+               CASE WHEN b.start_utc >= q.asked - INTERVAL 10 MINUTE THEN b.price END AS price
+        FROM q ASOF LEFT JOIN iv15 b ON q.point = b.point AND b.start_utc <= q.asked""")
 def _(v):
-    q = v.events.select(F.col("event_id").alias("vec_id"), F.col("event_type").alias("point"), F.col("ts").alias("at"))
-    return asof.asof_join(q, v.iv15, ["point"], "at", "start_utc", ["price"], max_age_minutes=10)
+    q = v.events.select(F.col("event_id").alias("vec_id"), F.col("event_type").alias("point"), F.col("ts").alias("asked"))
+    return asof.asof_join(q, v.iv15, ["point"], "asked", "start_utc", ["price"], max_age_minutes=10)
 
 
 @job("j06_forecast_actual_join", "zone operating_date:d hour_ending:i forecast:4 actual_mw:4 error:4",

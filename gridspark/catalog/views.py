@@ -171,7 +171,7 @@ class Views:
     # ---------------------------------------------------------------- scored samples and answers
     @cached_property
     def samples(self) -> DataFrame:
-        outcome = (F.when(F.col("event_type") == "purchase", "correct").when(F.col("event_type") == "error", "sql_error")
+        outcome = (F.when(F.col("user_id") % 10 == 3, "wrong_answer").when(F.col("event_type") == "purchase", "correct").when(F.col("event_type") == "error", "sql_error")
                    .when(F.col("event_type") == "signup", "format_error")
                    .when(F.col("user_id") % 5 == 0, "correct").otherwise("wrong_answer"))
         u = F.col("user_id")
@@ -258,7 +258,7 @@ SQL_VIEWS: dict[str, str] = {
         FROM (SELECT 'task' || user_id AS task_id, 't' || (user_id % 40) AS template_id, 'f' || (user_id % 8) AS family,
                      CAST(user_id % 3 + 1 AS INTEGER) AS difficulty, 'train' AS split, event_id AS sample_idx,
                      'model' || (event_id % 2) AS model, 'local' AS backend,
-                     CASE WHEN event_type = 'purchase' THEN 'correct' WHEN event_type = 'error' THEN 'sql_error'
+                     CASE WHEN user_id % 10 = 3 THEN 'wrong_answer' WHEN event_type = 'purchase' THEN 'correct' WHEN event_type = 'error' THEN 'sql_error'
                           WHEN event_type = 'signup' THEN 'format_error' WHEN user_id % 5 = 0 THEN 'correct'
                           ELSE 'wrong_answer' END AS outcome,
                      value / 10 AS latency_s, CAST(floor(value) AS INTEGER) AS output_tokens,
