@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.constants import LOCAL_TZ
+from gridspark.constants import LOCAL_TZ, WEATHER_MODELS, WEATHER_POINTS
 from gridspark.functions import timeconv as T
 
 MODEL_LAGS = [("m1", 24), ("m2", 48), ("m3", 168)]
@@ -207,6 +207,109 @@ class Views:
                         body.alias("raw_text"), "text", "lang")
 
 
+    # ---------------------------------------------------------------- quantile runs
+    @cached_property
+    def climate(self) -> DataFrame:
+        from gridspark.plans.baselines import climatology
+        q = climatology(self.daily.filter(F.col("operating_date") < F.lit("1999-01-01").cast("date")))
+        return q.withColumns({k: cents(F.col(k), 2) for k in ("p10", "p50", "p90")})
+
+    @cached_property
+    def trailing(self) -> DataFrame:
+        from gridspark.plans.baselines import trailing_quantiles
+        q = trailing_quantiles(self.daily)
+        return q.withColumns({k: cents(F.col(k), 2) for k in ("p10", "p50", "p90")})
+
+    @cached_property
+    def quant(self) -> DataFrame:
+        """Two runs on the same zone-days: climatology, and trailing quantiles (missing at first)."""
+        base = self.daily.select("zone", "hour_ending", "operating_date", F.col("error").alias("y"))
+        clim = base.join(self.climate, ["zone", "hour_ending"]).withColumn("run", F.lit("clim"))
+        hist = base.join(self.trailing, ["zone", "hour_ending", "operating_date"]).withColumn("run", F.lit("hist"))
+        both = clim.unionByName(hist)
+        return both.select("run", F.concat_ws("_", "zone", F.date_format("operating_date", "yyyy-MM-dd")).alias("id"), "zone",
+                           F.col("operating_date").alias("day"), "hour_ending", "p10", "p50", "p90", "y")
+
+    @cached_property
+    def completions(self) -> DataFrame:
+        """Answer text per zone-day from the climatology run: plain, fenced, in prose, unordered, broken, quoted, boolean."""
+        q = self.quant.filter("run = 'clim'")
+        k = F.day("day") % 7
+        num = lambda c: F.format_string("%.2f", F.col(c))
+        lo, hi = F.when(F.col("k") == 3, num("p90")).otherwise(num("p10")), F.when(F.col("k") == 3, num("p10")).otherwise(num("p90"))
+        mid = (F.when(F.col("k") == 5, F.concat(F.when(F.col("p50") >= 0, "+").otherwise(""), num("p50")))
+               .when(F.col("k") == 6, "true").otherwise(num("p50")))
+        low = F.when(F.col("k") == 5, F.concat(F.lit('"'), lo, F.lit('"'))).otherwise(lo)
+        row = F.concat(F.lit('{"he":'), F.col("hour_ending").cast("string"), F.lit(', "p10": '), low, F.lit(', "p50": '), mid,
+                       F.lit(', "p90": '), hi, F.lit("}"))
+        rows = q.withColumn("k", k).withColumn("row", row).groupBy("id", "zone", "day", "k").agg(
+            F.array_sort(F.collect_list(F.struct("hour_ending", "row"))).alias("r"))
+        body = F.concat(F.lit('{"hours": ['), F.array_join(F.transform("r", lambda x: x["row"]), ", "),
+                        F.when(F.col("k") == 4, "]").otherwise("]}"))
+        text = (F.when(F.col("k") == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+                .when(F.col("k") == 2, F.concat(F.lit("Here you go:\n"), body, F.lit("\nThanks"))).otherwise(body))
+        return rows.select("id", "zone", "day", "k", F.transform("r", lambda x: x["hour_ending"]).alias("hours"), text.alias("text"))
+
+    # ---------------------------------------------------------------- typed answers
+    @cached_property
+    def graded(self) -> tuple[DataFrame, DataFrame]:
+        """Truth and submitted answers per user, wrong in a known way."""
+        per = self.events.groupBy("user_id").agg(
+            cents(F.avg("value"), 2).alias("avg_value"), F.count("*").alias("n"), F.max("ts").alias("last_ts"),
+            F.min("event_type").alias("first_type"), F.array_sort(F.collect_set("event_type")).alias("types"))
+        u, kind = F.col("user_id"), F.col("user_id") % 5
+        off = u % 4
+        name = F.get(F.array(*[F.lit(x) for x in ("number", "integer", "timestamp", "category", "list")]), kind.cast("int"))
+        expected = (F.when(kind == 0, F.array(F.format_string("%.2f", F.col("avg_value"))))
+                    .when(kind == 1, F.array(F.col("n").cast("string")))
+                    .when(kind == 2, F.array(F.date_format(T.utc_to_local("last_ts"), "yyyy-MM-dd HH:mm")))
+                    .when(kind == 3, F.array("first_type")).otherwise(F.col("types")))
+        truth = per.select(F.concat(F.lit("task"), u).alias("task_id"), name.alias("answer_type"), expected.alias("expected"),
+                           F.when(kind == 0, 0.01).otherwise(0.0).alias("tol_abs"), F.lit(0.0).alias("tol_rel"),
+                           F.lit(LOCAL_TZ).alias("tz"), F.lit(False).alias("ordered"))
+        number = F.format_string("%s%.3f", F.when(off == 1, "$").otherwise(""), F.col("avg_value") + off * 0.01)
+        stamp = F.when(off <= 1, F.concat(F.date_format("last_ts", "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00"))).otherwise(
+            F.date_format("last_ts", "yyyy-MM-dd HH:mm:ss"))
+        cat = F.when(off == 3, "nothing").otherwise(F.concat(F.lit(" '"), F.upper("first_type"), F.lit("' ")))
+        listed = (F.when(off == 2, F.slice("types", 2, 100)).when(off == 3, F.array_append("types", F.get("types", F.lit(0))))
+                  .otherwise(F.reverse("types")))
+        values = (F.when(kind == 0, F.array(number))
+                  .when(kind == 1, F.array(F.format_string("%.1f", F.col("n") + F.when(off == 3, 0.5).otherwise(0.0))))
+                  .when(kind == 2, F.array(stamp)).when(kind == 3, F.array(cat)).otherwise(listed))
+        answers = per.select(F.concat(F.lit("task"), u).alias("task_id"), values.alias("values"), (u % 11 != 0).alias("has_sql"),
+                             (u % 13 != 0).alias("ran"), F.when(u % 17 == 0, 2).otherwise(1).alias("n_columns"))
+        return truth, answers
+
+    # ---------------------------------------------------------------- weather and whole price days
+    @cached_property
+    def weather_rows(self) -> DataFrame:
+        """Sparse point weather of four models on a six-hour grid."""
+        names = F.array(*[F.lit(p[0]) for p in WEATHER_POINTS])
+        models = F.array(*[F.lit(m[0]) for m in WEATHER_MODELS])
+        kind, x = F.col("event_type"), F.col("value")
+        return self.events.groupBy(
+            F.get(names, (F.col("user_id") % len(WEATHER_POINTS)).cast("int")).alias("point"),
+            F.get(models, (F.col("event_id") % len(WEATHER_MODELS)).cast("int")).alias("model"),
+            T.floor_hours("ts", 6).alias("valid_time_utc")).agg(
+                cents(F.avg(F.when(kind != "error", x / 3)), 4).alias("temp_c"), cents(F.avg(x / 4), 4).alias("dewpoint_c"),
+                cents(F.avg(F.when(kind == "view", x)), 4).alias("cloud_cover_pct"), cents(F.avg(x * 0.8), 4).alias("wind_speed_kmh"),
+                cents(F.avg(F.when(kind == "signup", x / 50)), 4).alias("precip_mm"))
+
+    @cached_property
+    def da_full(self) -> DataFrame:
+        """Two price points with every hour that had any event."""
+        point = F.explode(F.array(*[F.struct(F.lit(p).alias("point"), F.lit(k).alias("k")) for p, k in (("A", 8.0), ("B", 5.0))]))
+        rows = self.load60.withColumn("p", point)
+        return rows.select("p.point", "operating_date", "hour_ending", "start_utc", cents(F.col("total") / F.col("p.k"), 2).alias("price"),
+                           F.floor("total").cast("bigint").alias("whole"))
+
+    @cached_property
+    def rt_full(self) -> DataFrame:
+        q = self.da_full.withColumn("quarter", F.explode(F.sequence(F.lit(1), F.lit(4))))
+        bump = (F.col("whole") * (F.col("quarter") + 2) % 83 - 30).cast("double")
+        return q.select("point", "operating_date", "hour_ending", "quarter", F.round(F.col("price") + bump, 2).alias("price"))
+
+
 # -------------------------------------------------------------------------------------------- SQL twins
 _INTERVALS = "SELECT *, {time} FROM (SELECT {keys} time_bucket(INTERVAL '{w} minutes', ts) AS start_utc, {agg} FROM events GROUP BY ALL)"
 _SLOT = "(l_orderkey * 4 + l_linenumber) % 112"
@@ -275,4 +378,33 @@ SQL_VIEWS: dict[str, str] = {
                  '.LONG TERM /SATURDAY ONWARD/...', substr(text, CAST(length(text) // 2 AS BIGINT) + 1),
                  'A storm in 2024.', '&&', '.AVIATION...', 'VFR.', '$$') AS raw_text
         FROM (SELECT *, TIMESTAMP '2024-01-01' + to_minutes(doc_id * 37 % 500000) AS issued FROM documents)""",
+    "climate": "SELECT zone, hour_ending, " + ", ".join(
+        f"{sql_cents(f'quantile_cont(error, {t})', 2)} AS {q}" for q, t in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9)))
+        + " FROM daily WHERE operating_date < DATE '1999-01-01' GROUP BY 1, 2",
+    "trail90": """
+        SELECT d.zone, d.hour_ending, d.operating_date, """ + ", ".join(f"{sql_cents('s.' + q, 2)} AS {q}" for q in ("p10", "p50", "p90")) + """
+        FROM daily d ASOF LEFT JOIN (
+            SELECT zone, hour_ending, operating_date, """ + ", ".join(
+                f"CASE WHEN count(error) OVER w >= 20 THEN quantile_cont(error, {t}) OVER w END AS {q}"
+                for q, t in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))) + """ FROM daily
+            WINDOW w AS (PARTITION BY zone, hour_ending ORDER BY operating_date RANGE BETWEEN INTERVAL 89 DAYS PRECEDING AND CURRENT ROW)) s
+        ON s.zone = d.zone AND s.hour_ending = d.hour_ending AND s.operating_date <= d.operating_date - 2""",
+    "quant": """
+        SELECT run, zone || '_' || strftime(operating_date, '%Y-%m-%d') AS id, zone, operating_date AS day, hour_ending, p10, p50, p90, y FROM (
+            SELECT 'clim' AS run, d.zone, d.hour_ending, d.operating_date, p10, p50, p90, error AS y FROM daily d JOIN climate USING (zone, hour_ending)
+            UNION ALL SELECT 'hist', d.zone, d.hour_ending, d.operating_date, p10, p50, p90, error FROM daily d
+            JOIN trail90 t ON t.zone = d.zone AND t.hour_ending = d.hour_ending AND t.operating_date = d.operating_date)""",
+    "weather_points": "SELECT * FROM (VALUES " + ", ".join(
+        f"({i}, '{p[0]}', '{p[1]}', {p[5]})" for i, p in enumerate(WEATHER_POINTS)) + ") p(idx, point, zone, weight)",
+    "weather_rows": f"""
+        SELECT p.point, ['gfs', 'ecmwf', 'icon', 'gem'][CAST(event_id % 4 AS INTEGER) + 1] AS model,
+               time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2000-01-01') AS valid_time_utc,
+               {sql_cents("avg(CASE WHEN event_type <> 'error' THEN value / 3 END)")} AS temp_c, {sql_cents('avg(value / 4)')} AS dewpoint_c,
+               {sql_cents("avg(CASE WHEN event_type = 'view' THEN value END)")} AS cloud_cover_pct, {sql_cents('avg(value * 0.8)')} AS wind_speed_kmh,
+               {sql_cents("avg(CASE WHEN event_type = 'signup' THEN value / 50 END)")} AS precip_mm
+        FROM events JOIN weather_points p ON p.idx = user_id % {len(WEATHER_POINTS)} GROUP BY 1, 2, 3""",
+    "da_full": f"""SELECT point, operating_date, hour_ending, start_utc, {sql_cents('total / k', 2)} AS price, CAST(floor(total) AS BIGINT) AS whole
+        FROM load60, (VALUES ('A', 8.0), ('B', 5.0)) p(point, k)""",
+    "rt_full": """SELECT point, operating_date, hour_ending, q AS quarter, round(price + (whole * (q + 2) % 83 - 30), 2) AS price
+        FROM da_full, (VALUES (1), (2), (3), (4)) v(q)""",
 }

@@ -18,6 +18,7 @@ from gridspark.functions.stats import covered, quantile_loss, sorted_quantiles
 from gridspark.operators.blocks import time_blocks
 from gridspark.operators.reshape import stack_all
 from gridspark.plans.features import KEY, day_number
+from gridspark.session import cut_lineage
 
 Q = list(QUANTILES)
 TAUS = list(QUANTILES.values())
@@ -160,7 +161,8 @@ def quantile_forest(train: DataFrame, test: DataFrame, features: list[str], zone
 def blocked_predictions(train: DataFrame, test: DataFrame, fit, n_blocks: int = 5, embargo_days: int = 7):
     """Out-of-fold predictions over contiguous day blocks with an embargo around the held block, and a fit on all
     training days for the test days. `fit(train, test)` returns quantiles; only n_blocks day ranges reach the driver."""
-    marked = train.join(time_blocks(train, "operating_date", n_blocks), "operating_date")
+    marked = cut_lineage(train.join(time_blocks(train, "operating_date", n_blocks), "operating_date"))
+    test = cut_lineage(test)
     spans = {r["block"]: (r["lo"], r["hi"]) for r in marked.groupBy("block").agg(
         F.min("operating_date").alias("lo"), F.max("operating_date").alias("hi")).collect()}
     parts = []
@@ -169,7 +171,7 @@ def blocked_predictions(train: DataFrame, test: DataFrame, fit, n_blocks: int =
         outside = (d < F.date_sub(F.lit(lo), embargo_days)) | (d > F.date_add(F.lit(hi), embargo_days))
         held = marked.filter(F.col("block") == b)
         parts.append(fit(marked.filter(outside), held).withColumn("block", F.lit(b)))
-    return stack_all(parts), fit(train, test)
+    return stack_all(parts), fit(marked.drop("block"), test)
 
 
 def two_stage(train: DataFrame, test: DataFrame, features: list[str], zones: list[str], trees: int = 10, depth: int = 4,
@@ -178,6 +180,7 @@ def two_stage(train: DataFrame, test: DataFrame, features: list[str], zones: lis
     def median(tr: DataFrame, te: DataFrame) -> DataFrame:
         return quantile_forest(tr, te, features, zones, trees, depth).select(*KEY, F.col("p50").alias("_med"))
 
+    train, test = cut_lineage(train), cut_lineage(test)
     oof, med = blocked_predictions(train, test, median, n_blocks, embargo_days=0)
     resid = train.join(oof.drop("block"), KEY).withColumn("_resid", F.col("error") - F.col("_med")).withColumn("_abs", F.abs("_resid"))
     sized = _features(resid, features, zones)
@@ -209,6 +212,7 @@ def ablation_grid(periods: dict[str, tuple[DataFrame, DataFrame]], experiments:
     An experiment may set extra features, a recency half life, or several seeds whose quantiles are averaged."""
     parts = []
     for period, (tr, te) in periods.items():
+        tr, te = cut_lineage(tr), cut_lineage(te)  # every experiment reads the same two frames
         for order, (name, e) in enumerate(experiments.items()):
             cols = features + e.get("extra", [])
             fit_on = recency_weights(tr, e["half_life"]) if e.get("half_life") else tr
