@@ -215,9 +215,9 @@ def _splits():
 
 def _hourly(v):
     """Feature frame over the long daily history: quantity stands for the forecast range, spread for other inputs."""
-    fc = v.daily.select("zone", "operating_date", "hour_ending", (F.col("y") - F.col("error")).alias("fc_inuse"),
+    fc = v.daily.select("zone", "operating_date", "hour_ending", F.lit(0.0).alias("fc_inuse"),
                         F.col("quantity").alias("fc_range"), F.col("spread").alias("fc_std"), F.lit("m1").alias("inuse_model"))
-    act = v.daily.select("zone", "operating_date", "hour_ending", F.col("y").alias("actual_mw"))
+    act = v.daily.select("zone", "operating_date", "hour_ending", F.col("error").alias("actual_mw"))
     return X.hourly_features(fc, act, splits=_splits())
 
 
@@ -602,8 +602,9 @@ def _(v):
 
 _REPS = 200
 _DRAWS = f"""days AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS pos FROM (SELECT DISTINCT day FROM quant)),
-    draws AS (SELECT r.r AS replicate, d.day FROM range({_REPS}) r(r), days k JOIN days d
-              ON d.pos = CAST('0x' || substr(md5(r.r || '-' || k.pos), 1, 8) AS BIGINT) % (SELECT count(*) FROM days))"""
+    picks AS MATERIALIZED (SELECT r.r AS replicate, CAST('0x' || substr(md5(r.r || '-' || k.pos), 1, 8) AS BIGINT) % c.n AS pos
+                           FROM range({_REPS}) r(r), days k, (SELECT count(*) AS n FROM days) c),
+    draws AS (SELECT replicate, day FROM picks JOIN days USING (pos))"""
 _PAIRS = f"pairs AS (SELECT a.*, b.loss AS ref_loss, a.loss - b.loss AS delta FROM ({_PER_EX}) a JOIN ({_PER_EX}) b ON b.id = a.id AND b.run = 'clim')"
 
 

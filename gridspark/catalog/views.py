@@ -191,7 +191,7 @@ class Views:
         d = self.table("documents")
         issued = F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + T.minutes(F.col("doc_id") * 37 % 500000)
         half = F.floor(F.length("text") / 2).cast("int")
-        header = F.concat(F.lit("FXUS64 K"), F.lpad(F.upper("source"), 4, "X").substr(2, 3), F.lit(" "),
+        header = F.concat(F.lit("FXUS64 K"), F.translate(F.lpad(F.upper("source"), 4, "X").substr(2, 3), "0123456789", "ABCDEFGHIJ"), F.lit(" "),
                           F.date_format(issued, "ddHHmm"))
         body = F.concat_ws(
             "\n", header, F.lit("AFD"), F.lit(""), F.lit("Area Forecast Discussion"),
@@ -368,7 +368,7 @@ SQL_VIEWS: dict[str, str] = {
                      CASE WHEN event_id % 3 = 0 THEN floor(value) / 100 END AS cost_usd FROM events)""",
     "bulletins": r"""
         SELECT doc_id, source AS office, issued AS issued_utc, text, lang,
-               concat_ws(chr(10), 'FXUS64 K' || substr(right('XXXX' || upper(source), 4), 2, 3) || ' ' || strftime(issued, '%d%H%M'),
+               concat_ws(chr(10), 'FXUS64 K' || translate(substr(substr('XXXX', 1, greatest(4 - length(source), 0)) || upper(source), 2, 3), '0123456789', 'ABCDEFGHIJ') || ' ' || strftime(issued, '%d%H%M'),
                  'AFD', '', 'Area Forecast Discussion',
                  strftime(issued, '%-I%M %p') || ' UTC Mon ' || strftime(issued, '%b %-d %Y'), '',
                  CASE WHEN doc_id % 3 = 0 THEN '...New Short Term...' END,

@@ -37,22 +37,31 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def short(line: Column) -> Column:
+    """Stamp lines are short; a paragraph kept on one line is not worth matching against them."""
+    return F.length(line) <= 200
+
+
 # ---------------------------------------------------------------- framing
 def split_products(files: DataFrame, raw: str = "raw") -> DataFrame:
-    """One row per product of a response file, framed by control characters or, without them, by header lines."""
+    """One row per product of a response file, framed by control characters or, without them, by header lines.
+
+    Header line and body are cut out before the explode, so later filters on the header never touch the text again."""
     text = F.regexp_replace(F.col(raw), r"\r\n?", "\n")
     starts = F.regexp_replace(text, LINES + r"^(?=[A-Z]{4}\d{2} K[A-Z]{3} \d{6})", FRAME)
     framed = F.when(text.contains(FRAME), text).otherwise(starts)
-    chunks = F.transform(F.split(framed, FRAME), lambda c: F.regexp_replace(F.replace(c, F.lit("\u0003"), F.lit("")), r"^\n+|\n+$", ""))
-    rows = files.select("*", F.posexplode(chunks).alias("product_no", "product"))
-    return rows.filter(_header_position("product").isNotNull())
 
+    def product(chunk: Column) -> Column:
+        plain = F.regexp_replace(F.replace(chunk, F.lit("\u0003"), F.lit("")), r"^\n+|\n+$", "")
+        top = F.split(plain, "\n", 6)
+        flags = F.transform(F.slice(top, 1, 5), lambda s: short(s) & strip(s).rlike(HEADER_LINE))
+        at = F.array_position(flags, F.lit(True)).cast("int")
+        body = F.array_join(F.slice(top, F.greatest(at, F.lit(1)), 6), "\n")
+        return F.struct(F.when(at > 0, strip(F.get(top, at - 1))).alias("wmo_header"), body.alias("body"))
 
-def _header_position(product: Column | str) -> Column:
-    """1-based line number of the header within the first five lines."""
-    lines = F.slice(F.split(col(product), "\n"), 1, 5)
-    flags = F.transform(lines, lambda s: strip(s).rlike(HEADER_LINE))
-    return F.nullif(F.array_position(flags, F.lit(True)), F.lit(0))
+    products = F.transform(F.split(framed, FRAME), product)
+    rows = files.select("*", F.posexplode(products).alias("product_no", "_p")).drop(raw)
+    return rows.select("*", "_p.wmo_header", "_p.body").drop("_p").filter(F.col("wmo_header").isNotNull())
 
 
 def header_fields(line: Column) -> dict[str, Column]:
@@ -96,14 +105,15 @@ def sections(text: Column | str) -> Column:
         return F.struct(normalize_section_name(F.substring_index(p, NAME_END, 1)).alias("name"), strip(body).alias("body"))
 
     parts = F.transform(F.filter(F.split(marked, FRAME), lambda p: p.contains(NAME_END)), part)
-    parts = F.filter(parts, lambda s: F.length(s["body"]) > 0)
-    names = F.array_distinct(F.transform(parts, lambda s: s["name"]))
 
-    def joined(n: Column) -> Column:
-        same = F.transform(F.filter(parts, lambda s: s["name"] == n), lambda s: s["body"])
-        return F.struct(n.alias("name"), F.array_join(same, "\n\n").alias("body"))
+    def add(done: Column, p: Column) -> Column:
+        longer = F.transform(done, lambda d: F.struct(d["name"].alias("name"), F.when(
+            d["name"] == p["name"], F.concat(d["body"], F.lit("\n\n"), p["body"])).otherwise(d["body"]).alias("body")))
+        return (F.when(F.length(p["body"]) == 0, done).when(F.exists(done, lambda d: d["name"] == p["name"]), longer)
+                .otherwise(F.concat(done, F.array(p))))
 
-    return F.transform(names, joined)
+    empty = F.array().cast("array<struct<name: string, body: string>>")
+    return F.aggregate(parts, empty, add)
 
 
 def preamble(text: Column | str) -> Column:
@@ -124,28 +134,21 @@ def reasoning_text(secs: Column | str) -> Column:
 
 def parse_products(products: DataFrame, win_start: str = "win_start", win_end: str = "win_end") -> DataFrame:
     """Full record per product: header, resolved issue time, issue line, sections, reasoning text."""
-    pos = _header_position("product").cast("int")
-    lines = F.split(F.col("product"), "\n")
-    rows = products.withColumn("_lines", F.slice(lines, pos, F.size(lines)))
-    rows = rows.withColumn("wmo_header", strip(F.col("_lines")[0]))
     head = header_fields(F.col("wmo_header"))
-    near = F.transform(F.slice("_lines", 2, 14), lambda s: issue_line_time(strip(s)).isNotNull())
-    rows = rows.withColumns({
-        "_body": F.array_join("_lines", "\n"),
-        "_issue_at": F.nullif(F.array_position(near, F.lit(True)), F.lit(0)).cast("int"),
+    rows = products.withColumns({
         "issued_utc": T.resolve_day_stamp(head["day"], head["hour"], head["minute"], F.col(win_start), F.col(win_end)),
-        "office": F.substring(head["station"], 2, 3), "bbb": head["bbb"],
-    })
-    issue_line = strip(F.get("_lines", F.col("_issue_at")))
-    after = F.array_join(F.slice("_lines", F.col("_issue_at") + 2, F.size("_lines")), "\n")
-    pre = F.when(F.col("_issue_at").isNotNull(), preamble(after))
-    rows = rows.withColumns({"issue_line": issue_line, "_pre": pre, "_secs": sections("_body")})
+        "office": F.substring(head["station"], 2, 3), "bbb": head["bbb"]}).filter(F.col("issued_utc").isNotNull())
+    rows = rows.withColumn("_top", F.split("body", "\n", 16))
+    near = F.transform(F.slice("_top", 2, 14), lambda s: F.when(short(s), issue_line_time(strip(s)).isNotNull()).otherwise(False))
+    rows = rows.withColumn("_issue_at", F.nullif(F.array_position(near, F.lit(True)), F.lit(0)).cast("int"))
+    after = F.array_join(F.slice("_top", F.col("_issue_at") + 2, 16), "\n")
+    rows = rows.withColumns({"issue_line": strip(F.get("_top", F.col("_issue_at"))),
+                             "_pre": F.when(F.col("_issue_at").isNotNull(), preamble(after)), "_secs": sections("body")})
     with_pre = F.concat(F.array(F.struct(F.lit("PREAMBLE").alias("name"), F.col("_pre").alias("body"))), F.col("_secs"))
     rows = rows.withColumn("sections", F.when(F.length("_pre") > 0, with_pre).otherwise(F.col("_secs")))
-    drop = ["_lines", "_body", "_issue_at", "_pre", "_secs", "product"]
     return rows.withColumns({
-        "issue_line_utc": issue_line_time(F.col("issue_line")), "raw_text": strip(F.col("_body")),
-        "reasoning_text": reasoning_text("sections")}).drop(*drop).filter(F.col("issued_utc").isNotNull())
+        "issue_line_utc": issue_line_time(F.col("issue_line")), "raw_text": strip(F.col("body")),
+        "reasoning_text": reasoning_text("sections")}).drop("_top", "_issue_at", "_pre", "_secs", "body")
 
 
 def build_archive(parsed: DataFrame, row_id: str) -> DataFrame:
