@@ -452,7 +452,7 @@ _PER_EX = f"""SELECT run, id, zone, day, avg({_LOSS}) AS loss, min(parse_ok::INT
 
 
 def _examples(v):
-    return E.per_example(E.with_fallback(E.common_ids(v.quant)))
+    return E.per_example(E.with_fallback(E.common_ids(v.quant, 2)))
 
 
 @job("m03_pinball_per_example", "run id zone day:d loss:4 width:4 covered:4 parse_ok:i below_p10:4 below_p50:4 below_p90:4", _PER_EX)
@@ -466,8 +466,7 @@ def _(v):
          SELECT id, CASE WHEN ok THEN skill ELSE -1 END AS skill, CASE WHEN ok THEN greatest(skill - 0.1, -1) ELSE -1 END AS reward_unordered FROM j""")
 def _(v):
     ex = _examples(v)
-    base = ex.filter("run = 'clim'").select("id", F.col("loss").alias("base"))
-    rows = ex.filter("run = 'hist'").join(base, "id")
+    rows = E.paired(ex, "clim").filter("run = 'hist'").withColumnRenamed("ref_loss", "base")
     ok = F.col("parse_ok") == 1
     return rows.select("id", M.percentile_reward(F.col("loss"), F.col("base"), ok, F.lit(False)).alias("skill"),
                        M.percentile_reward(F.col("loss"), F.col("base"), ok, F.lit(True)).alias("reward_unordered"))
@@ -592,9 +591,8 @@ def _(v):
                 avg(reward) FILTER (WHERE agreed) AS reward_models_agreed FROM s GROUP BY 1""")
 def _(v):
     ex = _examples(v)
-    base = ex.filter("run = 'clim'").select("id", F.col("loss").alias("baseline_pinball"))
     ok = F.col("parse_ok") == 1
-    rows = ex.join(base, "id").withColumns({
+    rows = E.paired(ex, "clim").withColumnRenamed("ref_loss", "baseline_pinball").withColumns({
         "reward": M.percentile_reward(F.col("loss"), F.col("baseline_pinball"), ok, F.lit(False)), "parse_ok": ok,
         "pinball": F.col("loss"), "models_agreed": F.day("day") % 2 == 0})
     return E.run_summary(rows)
@@ -627,9 +625,9 @@ def _(v):
      f"""WITH {_PAIRS}, {_DRAWS} SELECT replicate, run, sum(delta) / count(*) AS mean_delta FROM draws JOIN pairs USING (day) GROUP BY 1, 2""")
 def _(v):
     from gridspark.operators.bootstrap import day_draws, resampled_sums
-    p = _pairs(v)
-    per_day = p.groupBy("run", "day").agg(F.sum("delta").alias("d"), F.count("*").alias("n"))
-    return resampled_sums(per_day, ["run"], "day", ["d", "n"], day_draws(p, "day", _REPS)).withColumn("mean_delta", F.col("d") / F.col("n"))
+    from gridspark.session import cut_lineage
+    per_day = cut_lineage(_pairs(v).groupBy("run", "day").agg(F.sum("delta").alias("d"), F.count("*").alias("n")))
+    return resampled_sums(per_day, ["run"], "day", ["d", "n"], day_draws(per_day, "day", _REPS)).withColumn("mean_delta", F.col("d") / F.col("n"))
 
 
 @job("e07_zone_skill", "run zone_skill_pct:4 system_skill_pct:4",

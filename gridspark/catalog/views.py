@@ -223,12 +223,17 @@ class Views:
     @cached_property
     def quant(self) -> DataFrame:
         """Two runs on the same zone-days: climatology, and trailing quantiles (missing at first)."""
-        base = self.daily.select("zone", "hour_ending", "operating_date", F.col("error").alias("y"))
-        clim = base.join(self.climate, ["zone", "hour_ending"]).withColumn("run", F.lit("clim"))
-        hist = base.join(self.trailing, ["zone", "hour_ending", "operating_date"]).withColumn("run", F.lit("hist"))
-        both = clim.unionByName(hist)
-        return both.select("run", F.concat_ws("_", "zone", F.date_format("operating_date", "yyyy-MM-dd")).alias("id"), "zone",
-                           F.col("operating_date").alias("day"), "hour_ending", "p10", "p50", "p90", "y")
+        from gridspark.plans.baselines import trailing_quantiles
+        names = ("p10", "p50", "p90")
+        hist = trailing_quantiles(self.daily, keep=["error"])
+        clim = self.climate.withColumnsRenamed({k: f"c_{k}" for k in names})
+        both = F.explode(F.array(
+            F.struct(F.lit("clim").alias("run"), *[F.col(f"c_{k}").alias(k) for k in names]),
+            F.struct(F.lit("hist").alias("run"), *[cents(F.col(k), 2).alias(k) for k in names])))
+        rows = hist.join(clim, ["zone", "hour_ending"]).select("zone", "hour_ending", F.col("operating_date").alias("day"),
+                                                               F.col("error").alias("y"), both.alias("r"))
+        return rows.select("r.run", F.concat_ws("_", "zone", F.date_format("day", "yyyy-MM-dd")).alias("id"), "zone", "day",
+                           "hour_ending", "r.p10", "r.p50", "r.p90", "y")
 
     @cached_property
     def completions(self) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.constants import LOCAL_TZ, SPLITS
-from gridspark.functions.zones import by_year, in_range, summer_calendar
+from gridspark.functions.zones import by_year, contains, in_range, summer_calendar
 
 
 def col(c: Column | str) -> Column:
@@ -28,25 +28,29 @@ def minutes(n: Column | int) -> Column:
     return F.make_dt_interval(F.lit(0), F.lit(0), n.cast("int"))
 
 
+def _whole(delta: Column, unit: Column) -> Column:
+    """How many whole units fit into an interval."""
+    return F.call_function("div", delta, unit)
+
+
 def floor_minutes(ts: Column | str, n: int) -> Column:
-    """Start of the n-minute bucket (n divides 60)."""
-    ts = col(ts)
-    return ts - F.make_dt_interval(F.lit(0), F.lit(0), F.minute(ts) % n, F.extract(F.lit("SECOND"), ts))
+    """Start of the n-minute bucket of the day (n divides a day). One reference to `ts`, whole-number arithmetic."""
+    origin = F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")
+    width = minutes(n)
+    return origin + width * _whole(col(ts) - origin, width)
 
 
 def floor_hours(ts: Column | str, n: int = 1) -> Column:
     """Start of the n-hour bucket of the day (n divides 24)."""
-    ts = col(ts)
-    return ts - F.make_dt_interval(F.lit(0), F.hour(ts) % n, F.minute(ts), F.extract(F.lit("SECOND"), ts))
+    return floor_minutes(ts, 60 * n)
 
 
 def interval_minutes(delta: Column) -> Column:
-    part = lambda unit: F.extract(F.lit(unit), delta)
-    return (part("DAY") * 1440 + part("HOUR") * 60 + part("MINUTE")).cast("int")
+    return _whole(delta, minutes(1)).cast("int")
 
 
 def interval_seconds(delta: Column) -> Column:
-    return interval_minutes(delta).cast("double") * 60 + F.extract(F.lit("SECOND"), delta).cast("double")
+    return _whole(delta, F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0.000001))).cast("double") / 1e6
 
 
 # ---------------------------------------------------------------- zone conversion
@@ -118,15 +122,16 @@ def hours_in_day(day: Column | str, tz: str = LOCAL_TZ) -> Column:
     day = col(day)
     cal = summer_calendar(tz)
     if cal is not None:
-        y = F.year(day)
         shift = int((cal.summer - cal.standard).total_seconds() // 3600)
-        return (F.when(day == by_year([(t + cal.standard).date() for t in cal.starts], y), 24 - shift)
-                .when(day == by_year([(t + cal.summer).date() for t in cal.ends], y), 24 + shift).otherwise(24))
+        spring, autumn = contains(cal.spring_days, day), contains(cal.autumn_days, day)
+        return 24 - shift * spring.cast("int") + shift * autumn.cast("int")
     return (interval_minutes(midnight_utc(F.date_add(day, 1), tz) - midnight_utc(day, tz)) / 60).cast("int")
 
 
 def is_change_day(day: Column | str, tz: str = LOCAL_TZ) -> Column:
-    return hours_in_day(day, tz) != 24
+    """One reference to `day`: as a filter this is pushed below aggregates, where the day is a longer expression."""
+    cal = summer_calendar(tz)
+    return contains(cal.spring_days + cal.autumn_days, col(day)) if cal else hours_in_day(day, tz) != 24
 
 
 def cutoff_utc(day: Column | str, tz: str = LOCAL_TZ) -> Column:

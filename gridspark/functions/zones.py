@@ -24,6 +24,14 @@ class SummerCalendar:
     starts: tuple[dt.datetime, ...]
     ends: tuple[dt.datetime, ...]
 
+    @property
+    def spring_days(self) -> tuple[dt.date, ...]:
+        return tuple((t + self.standard).date() for t in self.starts)
+
+    @property
+    def autumn_days(self) -> tuple[dt.date, ...]:
+        return tuple((t + self.summer).date() for t in self.ends)
+
 
 def _change(zone: ZoneInfo, lo: dt.datetime, hi: dt.datetime) -> dt.datetime:
     """First UTC minute in (lo, hi] with another offset than at lo."""
@@ -67,8 +75,16 @@ def in_range(year: Column) -> Column:
     return year.between(FIRST_YEAR, LAST_YEAR)
 
 
-def by_year(values: list, year: Column) -> Column:
-    """values[year - FIRST_YEAR]. The list travels as one text literal that the optimizer folds to an array."""
+def _folded(values) -> Column:
+    """The list travels as one text literal that the optimizer folds to an array."""
     kind = "timestamp_ntz" if isinstance(values[0], dt.datetime) else "date"
-    text = ",".join(str(v) for v in values)
-    return F.get(F.split(F.lit(text), ",").cast(f"array<{kind}>"), year - FIRST_YEAR)
+    return F.split(F.lit(",".join(str(v) for v in values)), ",").cast(f"array<{kind}>")
+
+
+def by_year(values, year: Column) -> Column:
+    """values[year - FIRST_YEAR]"""
+    return F.get(_folded(values), year - FIRST_YEAR)
+
+
+def contains(values, c: Column) -> Column:
+    return F.array_contains(_folded(values), c)

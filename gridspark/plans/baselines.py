@@ -34,14 +34,17 @@ def climatology(train: DataFrame, keys: list[str] | None = None, value: str = "e
     return out.select(*keys, *_spread(F.col("_q")))
 
 
-def trailing_quantiles(df: DataFrame, window_days: int = 90, min_obs: int = 20, lag_days: int = 2) -> DataFrame:
-    """Quantiles of the last `window_days` of errors, as of the latest observed day at least `lag_days` back."""
+def trailing_quantiles(df: DataFrame, window_days: int = 90, min_obs: int = 20, lag_days: int = 2,
+                       keep: list[str] | None = None) -> DataFrame:
+    """Quantiles of the last `window_days` of errors, as of the latest observed day at least `lag_days` back.
+    Columns in `keep` are carried along."""
     w = Window.partitionBy("zone", "hour_ending").orderBy(day_number())
     window = w.rangeBetween(-(window_days - 1), 0)
     stat = F.when(F.count("error").over(window) >= min_obs, F.percentile("error", F.lit(TAUS)).over(window))
-    rows = df.select(*KEY, "error", stat.alias("_stat"))
+    extra = keep or []
+    rows = df.select(*KEY, *dict.fromkeys(["error", *extra]), stat.alias("_stat"))
     known = F.last(F.struct("_stat")).over(w.rangeBetween(Window.unboundedPreceding, -lag_days))
-    return rows.select(*KEY, known["_stat"].alias("_q")).select(*KEY, *_spread(F.col("_q")))
+    return rows.select(*KEY, *extra, known["_stat"].alias("_q")).select(*KEY, *extra, *_spread(F.col("_q")))
 
 
 def scale_heuristic(train: DataFrame, target: DataFrame, scale_columns: list[str], floor: float = 0.2) -> DataFrame:

@@ -33,8 +33,11 @@ LINES = "(?md)"  # line anchors at \n only
 FRAME, NAME_END = "\u0001", "\u0002"
 
 
+BLANKS = " \t\n\r\f\u000b"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def short(line: Column) -> Column:
@@ -120,7 +123,7 @@ def preamble(text: Column | str) -> Column:
     """Untitled text before the first section or end line, headline lines left out."""
     head = F.regexp_replace(col(text), LINES + r"(?:" + SECTION_LINE + "|" + END_LINE + ")", FRAME)
     lines = F.filter(F.split(F.substring_index(head, FRAME, 1), "\n"), lambda s: ~s.rlike(HEADLINE))
-    return strip(F.array_join(F.transform(lines, lambda s: F.regexp_replace(s, r"\s+$", "")), "\n"))
+    return strip(F.array_join(F.transform(lines, lambda s: F.rtrim(s, F.lit(BLANKS))), "\n"))
 
 
 def reasoning_text(secs: Column | str) -> Column:

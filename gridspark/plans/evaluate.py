@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridspark.constants import OUTCOMES, QUANTILES, THEMES, Z90
 from gridspark.functions import stats as S
 from gridspark.operators.bootstrap import day_draws, interval, resampled_sums
+from gridspark.session import cut_lineage
 
 Q = list(QUANTILES)
 RUN = ["model", "backend", "split"]
@@ -45,11 +46,12 @@ def report(samples: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- quantile runs
-def common_ids(runs: DataFrame, key: str = "id") -> DataFrame:
-    """Rows whose id occurs in every run."""
-    n_runs = runs.select(F.count_distinct("run")).scalar()
-    everywhere = runs.groupBy(key).agg(F.count_distinct("run").alias("_n")).filter(F.col("_n") == n_runs).select(key)
-    return runs.join(everywhere, key, "left_semi")
+def common_ids(runs: DataFrame, n_runs: int | None = None, key: str = "id") -> DataFrame:
+    """Rows whose id occurs in every run. An id's group is its few hours in each run, so one shuffle by id settles it;
+    pass the number of runs to save counting them."""
+    total = F.lit(n_runs) if n_runs else runs.select(F.count_distinct("run")).scalar()
+    seen = F.size(F.collect_set("run").over(Window.partitionBy(key)))
+    return runs.withColumn("_seen", seen).withColumn("_total", total).filter(F.col("_seen") == F.col("_total")).drop("_seen", "_total")
 
 
 def with_fallback(runs: DataFrame) -> DataFrame:
@@ -77,21 +79,27 @@ def run_summary(scored: DataFrame) -> DataFrame:
 
 
 def paired(examples: DataFrame, reference: str) -> DataFrame:
-    """Every run's examples next to the reference run's loss on the same id."""
-    ref = examples.filter(F.col("run") == reference).select("id", F.col("loss").alias("ref_loss"))
-    return examples.join(ref, "id").withColumn("delta", F.col("loss") - F.col("ref_loss"))
+    """Every run's examples next to the reference run's loss on the same id (one row per run and id)."""
+    ref = F.max(F.when(F.col("run") == reference, F.col("loss"))).over(Window.partitionBy("id"))
+    return (examples.withColumn("ref_loss", ref).filter(F.col("ref_loss").isNotNull())
+            .withColumn("delta", F.col("loss") - F.col("ref_loss")))
 
 
 def paired_comparison(pairs: DataFrame, replicates: int, seed: str = "") -> DataFrame:
-    """Mean difference to the reference with a day-clustered interval and the share of resamples that are better."""
-    per_day = pairs.groupBy("run", "day").agg(F.sum("delta").alias("_d"), F.count("*").alias("_n"))
-    draws = day_draws(pairs, "day", replicates, seed)
+    """Mean difference to the reference with a day-clustered interval and the share of resamples that are better.
+
+    The examples are read once: everything follows from one row per run and day, which is kept in a checkpoint."""
+    per_day = cut_lineage(pairs.groupBy("run", "day").agg(
+        F.sum("delta").alias("_d"), F.count("*").alias("_n"), F.sum("loss").alias("_l"), F.sum("ref_loss").alias("_r"),
+        F.sum("covered").alias("_c")))
+    draws = day_draws(per_day, "day", replicates, seed)
     boot = resampled_sums(per_day, ["run"], "day", ["_d", "_n"], draws).withColumn("_m", F.col("_d") / F.col("_n"))
     lo, hi = interval("_m")
     spread = boot.groupBy("run").agg(lo.alias("lo"), hi.alias("hi"), F.avg((F.col("_m") < 0).cast("double")).alias("p_better"))
-    point = pairs.groupBy("run").agg(
-        F.count("*").alias("n"), F.count_distinct("day").alias("days"), F.avg("loss").alias("loss"),
-        F.avg("ref_loss").alias("ref_loss"), F.avg("delta").alias("delta"), F.avg("covered").alias("coverage"))
+    mean = lambda c: F.sum(c) / F.sum("_n")
+    point = per_day.groupBy("run").agg(
+        F.sum("_n").alias("n"), F.count("*").alias("days"), mean("_l").alias("loss"), mean("_r").alias("ref_loss"),
+        mean("_d").alias("delta"), mean("_c").alias("coverage"))
     out = point.join(spread, "run")
     pct = lambda c: 100 * F.col(c) / F.col("ref_loss")
     return out.withColumns({"delta_pct": pct("delta"), "ci_lo_pct": pct("lo"), "ci_hi_pct": pct("hi")}).drop("lo", "hi")
@@ -107,9 +115,10 @@ def zone_skill(pairs: DataFrame, system_zone: str = "system_total") -> DataFrame
 
 def zone_skill_interval(pairs: DataFrame, replicates: int, system_zone: str = "system_total", seed: str = "") -> DataFrame:
     """Day-clustered interval of the zone skill; zones without rows in a resample drop out of its mean."""
-    rows = pairs.filter(F.col("zone") != system_zone)
-    per_day = rows.groupBy("run", "zone", "day").agg(F.sum("loss").alias("_l"), F.sum("ref_loss").alias("_r"))
-    sums = resampled_sums(per_day, ["run", "zone"], "day", ["_l", "_r"], day_draws(pairs, "day", replicates, seed))
+    per_day = cut_lineage(pairs.groupBy("run", "zone", "day").agg(F.sum("loss").alias("_l"), F.sum("ref_loss").alias("_r")))
+    draws = day_draws(per_day, "day", replicates, seed)
+    rows = per_day.filter(F.col("zone") != system_zone)
+    sums = resampled_sums(rows, ["run", "zone"], "day", ["_l", "_r"], draws)
     skill = sums.groupBy("replicate", "run").agg((100 * F.avg(1 - F.try_divide("_l", "_r"))).alias("_s"))
     lo, hi = interval("_s")
     return skill.groupBy("run").agg(lo.alias("lo"), hi.alias("hi"))
