@@ -478,7 +478,7 @@ def _(v):
          m AS (SELECT id, avg({_LOSS}) AS model FROM (SELECT id, y, p50 + scale * (p10 - p50) AS p10, p50, p50 + scale * (p90 - p50) AS p90 FROM s) GROUP BY 1)
          SELECT id, scale, CASE WHEN scale IS NULL THEN -1 ELSE greatest(-1, least(1, (base - model) / greatest(base, 5.0))) END AS reward FROM l JOIN m USING (id)""")
 def _(v):
-    base = v.quant.filter("run = 'clim'").select("id", "day", "y", "p10", "p50", "p90")
+    base = v.clim_run.select("id", "day", "y", "p10", "p50", "p90")
     d = F.day("day") % 5
     scales = base.select("id", F.when(d != 0, 0.5 + d * 0.5).alias("scale")).distinct()
     return M.scale_rewards(base.drop("day"), scales)
@@ -518,14 +518,14 @@ def _(v):
 def _(v):
     from gridspark.plans.answers import parse_quantiles
     parsed = parse_quantiles(v.completions, "text", "hours").withColumn("hours", F.col("hours_map"))
-    base = v.quant.filter("run = 'clim'").select("id", "hour_ending", "y", "p10", (F.col("p50") + 100).alias("p50"), (F.col("p90") + 200).alias("p90"))
+    base = v.clim_run.select("id", "hour_ending", "y", "p10", (F.col("p50") + 100).alias("p50"), (F.col("p90") + 200).alias("p90"))
     return M.score_completions(parsed, base)
 
 
 @job("m09_echo_run", "id reward:6",
      "SELECT DISTINCT id, 0 AS reward FROM quant WHERE run = 'clim'")
 def _(v):
-    q = v.quant.filter("run = 'clim'")
+    q = v.clim_run
     entry = F.struct("hour_ending", F.struct("p10", "p50", "p90").alias("q"))
     parsed = M.echo_run(q, "echo").groupBy("id").agg(F.map_from_entries(F.collect_list(entry)).alias("hours")).withColumns(
         {"parse_ok": F.lit(True), "reordered": F.lit(False)})
@@ -603,7 +603,7 @@ _DRAWS = f"""days AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS pos FR
     picks AS MATERIALIZED (SELECT r.r AS replicate, CAST('0x' || substr(md5(r.r || '-' || k.pos), 1, 8) AS BIGINT) % c.n AS pos
                            FROM range({_REPS}) r(r), days k, (SELECT count(*) AS n FROM days) c),
     draws AS (SELECT replicate, day FROM picks JOIN days USING (pos))"""
-_PAIRS = f"pairs AS (SELECT a.*, b.loss AS ref_loss, a.loss - b.loss AS delta FROM ({_PER_EX}) a JOIN ({_PER_EX}) b ON b.id = a.id AND b.run = 'clim')"
+_PAIRS = f"pairs AS (SELECT a.*, b.loss AS ref_loss, round(a.loss - b.loss, 6) AS delta FROM ({_PER_EX}) a JOIN ({_PER_EX}) b ON b.id = a.id AND b.run = 'clim')"
 
 
 def _pairs(v):

@@ -282,12 +282,12 @@ def _(v):
      """SELECT id, '{"hours":[' || string_agg('{"he":' || hour_ending || ',"p10":' || CAST(round_even(p10, 0) AS BIGINT) || ',"p50":' || CAST(round_even(p50, 0) AS BIGINT)
                || ',"p90":' || CAST(round_even(p90, 0) AS BIGINT) || '}', ',' ORDER BY hour_ending) || ']}' AS target FROM quant WHERE run = 'clim' GROUP BY 1""")
 def _(v):
-    return D.anchored_targets(v.quant.filter("run = 'clim'"))
+    return D.anchored_targets(v.clim_run)
 
 
 @job("n03_jittered_targets", "id width_factor:4 median_shift:3 target")
 def _(v):
-    return D.anchored_targets(v.quant.filter("run = 'clim'"), width_sd=0.2, shift_sd=0.1)
+    return D.anchored_targets(v.clim_run, width_sd=0.2, shift_sd=0.1)
 
 
 @job("n04_example_tasks", "id zone hours:a labels:i",
@@ -295,7 +295,7 @@ def _(v):
         FROM quant WHERE run = 'clim' AND zone IN ('A', 'R') GROUP BY 1, 2 HAVING count(*) FILTER (WHERE hour_ending < 20) > 0""")
 def _(v):
     he = F.col("hour_ending").cast("string")
-    rows = v.quant.filter("run = 'clim'").groupBy("id", "zone").agg(
+    rows = v.clim_run.groupBy("id", "zone").agg(
         F.map_from_entries(F.collect_list(F.struct(he, F.struct("p10", "p50", "p90")))).alias("baseline"),
         F.map_from_entries(F.collect_list(F.struct(he, "y"))).alias("actual_error"),
         F.array_sort(F.collect_list(F.when(F.col("hour_ending") < 20, F.col("hour_ending")))).alias("hours")).filter(F.size("hours") > 0)

@@ -18,6 +18,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with `value` evaluated once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def hours(n: Column | int | float) -> Column:
     n = n if isinstance(n, Column) else F.lit(n)
     return F.make_dt_interval(F.lit(0), F.lit(0), (n * 60).cast("int"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridspark.constants import MAX_ABS_VALUE, QUANTILES, SCALE_RANGE
 from gridspark.functions.stats import clip
-from gridspark.functions.timeconv import col
+from gridspark.functions.timeconv import col, let
 from gridspark.plans.bulletins import strip
 
 # --- fixed values: patterns of answer text ---------------------------------------------------
@@ -27,10 +27,12 @@ def extract_query(text: Column | str) -> Column:
     """Last non-empty fenced query after the last closed reasoning block; NULL without one, or when reasoning never ends."""
     t = F.coalesce(col(text), F.lit(""))
     after = F.element_at(F.split(t, THINK_CLOSE), -1)
-    body = F.regexp_replace(after, THINK_BLOCK, "")
-    body = F.when(F.lower(body).contains("<think>"), "").otherwise(body)
-    blocks = F.filter(F.transform(F.regexp_extract_all(body, F.lit(SQL_BLOCK), 1), strip), lambda b: F.length(b) > 0)
-    return F.try_element_at(blocks, F.lit(-1))
+
+    def last_block(body: Column) -> Column:
+        blocks = F.filter(F.transform(F.regexp_extract_all(body, F.lit(SQL_BLOCK), 1), strip), lambda b: F.length(b) > 0)
+        return F.when(~F.lower(body).contains("<think>"), F.try_element_at(blocks, F.lit(-1)))
+
+    return let(F.regexp_replace(after, THINK_BLOCK, ""), last_block)
 
 
 def normalize_query(sql: Column | str) -> Column:
@@ -57,12 +59,17 @@ def tokens_kept(before: Column | str, after: Column | str) -> Column:
 # ---------------------------------------------------------------- quantile answers
 def json_text(text: Column | str) -> Column:
     """The object of an answer: without fence or surrounding prose, and without plus signs before numbers."""
-    t = strip(F.coalesce(col(text), F.lit("")))
-    inner = F.when(t.rlike(FENCE), F.regexp_extract(t, FENCE, 1)).otherwise(t)
-    plain = F.regexp_replace(inner, LEADING_PLUS, "$1")
-    start, last = F.instr(plain, "{"), F.length(plain) - F.instr(F.reverse(plain), "}") + 1
-    cut = F.when((start > 0) & (F.instr(plain, "}") > 0) & (last > start), F.substring(plain, start, last - start + 1))
-    return F.when(plain.rlike(r"(?s)^\{.*\}$"), plain).when(plain.startswith("["), F.lit(None).cast("string")).otherwise(cut)
+    def unfenced(t: Column) -> Column:
+        inner = F.when(t.rlike(FENCE), F.regexp_extract(t, FENCE, 1)).otherwise(t)
+        return F.regexp_replace(inner, LEADING_PLUS, "$1")
+
+    def cut(plain: Column) -> Column:
+        start, last = F.instr(plain, "{"), F.length(plain) - F.instr(F.reverse(plain), "}") + 1
+        inner = F.when((start > 0) & plain.contains("}") & (last > start), F.substring(plain, start, last - start + 1))
+        whole = plain.startswith("{") & plain.endswith("}")
+        return F.when(whole, plain).when(~plain.startswith("["), inner)
+
+    return let(let(strip(F.coalesce(col(text), F.lit(""))), unfenced), cut)
 
 
 def balanced(json: Column) -> Column:
@@ -84,11 +91,12 @@ def parse_quantiles(df: DataFrame, text: str, hours: str) -> DataFrame:
     whole answer invalid; hours not asked for are ignored."""
     js = json_text(text)
     schema = "struct<hours: array<struct<he: string, p10: string, p50: string, p90: string>>>"
-    rows = F.from_json(js, schema)["hours"]
+    rows = F.from_json("_js", schema)["hours"]
 
     def numbers(r: Column) -> Column:
-        vals = F.array(*[_finite(r[q]) for q in Q])
-        return F.struct(_finite(r["he"]).cast("int").alias("he"), vals.alias("given"), F.array_sort(vals).alias("sorted"))
+        he = _finite(r["he"]).cast("int")
+        return let(F.array(*[_finite(r[q]) for q in Q]), lambda vals: F.struct(
+            he.alias("he"), vals.alias("given"), F.array_sort(vals).alias("sorted")))
 
     out = df.withColumn("_js", js).withColumn("_rows", F.transform(rows, numbers))
     r = F.col("_rows")
@@ -108,10 +116,11 @@ def parse_quantiles(df: DataFrame, text: str, hours: str) -> DataFrame:
 
 def parse_scale(text: Column | str) -> Column:
     """Width factor of an answer clipped to its range; NULL when it is not a positive number."""
-    js = json_text(text)
-    raw = F.get_json_object(js, "$.scale")
-    s = F.when(~js.rlike(r":\s*(true|false)"), _finite(raw))
-    return F.when(balanced(js) & (s > 0), clip(s, *SCALE_RANGE))
+    def factor(js: Column) -> Column:
+        s = F.when(~js.rlike(r":\s*(true|false)") & balanced(js), _finite(F.get_json_object(js, "$.scale")))
+        return let(s, lambda x: F.when(x > 0, clip(x, *SCALE_RANGE)))
+
+    return let(json_text(text), factor)
 
 
 # ---------------------------------------------------------------- replies

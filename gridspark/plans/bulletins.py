@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridspark.constants import THEMES, ZONE_ABBREV_OFFSET_HOURS
 from gridspark.functions import timeconv as T
-from gridspark.functions.timeconv import col
+from gridspark.functions.timeconv import col, let
 from gridspark.operators.asof import latest_before_cutoff
 from gridspark.operators.reshape import distinct_content
 
@@ -128,11 +128,15 @@ def preamble(text: Column | str) -> Column:
 
 def reasoning_text(secs: Column | str) -> Column:
     """Kept sections as titled text; only LONG TERM ones when nothing else qualifies."""
-    secs = col(secs)
-    kept = F.filter(secs, lambda s: s["name"].rlike(REASONING) & ~s["name"].rlike(NOT_REASONING))
-    spare = F.filter(secs, lambda s: s["name"].startswith("LONG TERM"))
-    use = F.when(F.size(kept) > 0, kept).otherwise(spare)
-    return F.array_join(F.transform(use, lambda s: F.concat(F.lit("."), s["name"], F.lit("...\n"), s["body"])), "\n\n")
+    def titled(use: Column) -> Column:
+        return F.array_join(F.transform(use, lambda s: F.concat(F.lit("."), s["name"], F.lit("...\n"), s["body"])), "\n\n")
+
+    def text(all_secs: Column) -> Column:
+        kept = F.filter(all_secs, lambda s: s["name"].rlike(REASONING) & ~s["name"].rlike(NOT_REASONING))
+        spare = F.filter(all_secs, lambda s: s["name"].startswith("LONG TERM"))
+        return let(kept, lambda k: titled(F.when(F.size(k) > 0, k).otherwise(spare)))
+
+    return let(col(secs), text)
 
 
 def parse_products(products: DataFrame, win_start: str = "win_start", win_end: str = "win_end") -> DataFrame:
@@ -167,9 +171,13 @@ def clean_text(text: Column | str, max_chars: int = 1800) -> Column:
         t = F.regexp_replace(t, pattern, "")
     t = F.regexp_replace(t, r"[ \t]+", " ")
     t = strip(F.regexp_replace(t, r"\n\s*\n+", "\n\n"))
-    cut = F.substring(t, 1, max_chars)
-    whole_words = F.when(cut.contains(" "), F.regexp_replace(cut, r"(?s) [^ ]*$", "")).otherwise(cut)
-    return F.when(F.length(t) > max_chars, F.concat(whole_words, F.lit(" [...]"))).otherwise(t)
+
+    def capped(whole: Column) -> Column:
+        head = let(F.substring(whole, 1, max_chars), lambda c: F.when(
+            c.contains(" "), F.regexp_replace(c, r"(?s) [^ ]*$", "")).otherwise(c))
+        return F.when(F.length(whole) > max_chars, F.concat(head, F.lit(" [...]"))).otherwise(whole)
+
+    return let(t, capped)
 
 
 def prompt_text(reasoning: Column | str, secs: Column | str, long_chars: int = 1000) -> Column:
