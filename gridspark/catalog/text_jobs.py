@@ -156,15 +156,19 @@ def _(v):
     return v.events.select("event_id", A.parse_scale(text).alias("scale"))
 
 
-@job("x13_last_replies", "conv_id:l trace_id logged_reward:2 digest",
-     """SELECT conv_id, 't' || conv_id AS trace_id, conv_id % 3 AS logged_reward, md5(regexp_replace(coalesce(arg_max(text, turn) FILTER (WHERE role = 'assistant'), ''), '^\\s+|\\s+$', '', 'g')) AS digest
-        FROM conversations GROUP BY 1""")
+@job("x13_last_replies", "conv_id:l turn:l trace_id logged_reward:2 digest",
+     """SELECT conv_id, turn, 't' || turn AS trace_id, conv_id % 3 AS logged_reward,
+               md5(CASE WHEN role = 'assistant' THEN regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') ELSE 'before' END) AS digest
+        FROM conversations""")
 def _(v):
-    node = F.struct(F.lit(True).alias("sampled"), F.struct("role", F.col("text").alias("content")).alias("message"))
-    nodes = F.transform(F.array_sort(F.collect_list(F.struct("turn", node.alias("n")))), lambda x: x["n"])
-    ep = v.table("conversations").groupBy("conv_id").agg(nodes.alias("nodes"))
-    trace = F.struct(F.concat(F.lit("t"), "conv_id").alias("id"), (F.col("conv_id") % 3).cast("double").alias("reward"), "nodes")
-    rows = ep.select("conv_id", F.to_json(F.struct(F.array(trace).alias("traces"))).alias("episode"))
+    # one small episode per turn: an earlier reply, the turn itself, and a reply that was not sampled
+    def node(role, content, sampled=True):
+        role = F.lit(role) if isinstance(role, str) else role
+        return F.struct(F.lit(sampled).alias("sampled"), F.struct(role.alias("role"), content.alias("content")).alias("message"))
+
+    nodes = F.array(node("assistant", F.lit("before")), node(F.col("role"), F.col("text")), node("assistant", F.lit("later"), False))
+    trace = F.struct(F.concat(F.lit("t"), "turn").alias("id"), (F.col("conv_id") % 3).cast("double").alias("reward"), nodes.alias("nodes"))
+    rows = v.table("conversations").select("conv_id", "turn", F.to_json(F.struct(F.array(trace).alias("traces"))).alias("episode"))
     return A.last_replies(rows, "episode").withColumn("digest", F.md5("reply"))
 
 

@@ -37,9 +37,21 @@ def hash_order(seed: Column | str, c: Column) -> Column:
 
 
 def hold_out(ids: DataFrame, column: str, fraction: float, seed: str) -> DataFrame:
-    """About `fraction` of the distinct ids (at least one), chosen by hash order whatever the input order.
-
-    A sorted top-k, so no single task ever ranks the whole id list."""
-    distinct = ids.select(column).distinct()
-    k = max(1, round(distinct.count() * fraction))
-    return distinct.orderBy(hash_order(seed, F.col(column))).limit(k)
+    """About `fraction` of the distinct ids (at least one): the smallest hashes, whatever the input order.
+
+    Ids are counted in 65,536 hash buckets. Buckets below the boundary are taken whole and only the boundary bucket is
+    ranked, so no task ever sorts the whole id list; the driver sees bucket counts alone."""
+    rows = ids.select(column).distinct().withColumn("_h", hash_order(seed, F.col(column)))
+    rows = rows.withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
+    counts = sorted((r["_b"], r["n"]) for r in rows.groupBy("_b").agg(F.count("*").alias("n")).collect())
+    want = max(1, round(sum(n for _, n in counts) * fraction))
+    edge, rest = -1, 0
+    for b, n in counts:
+        edge, rest = b, want
+        if n >= want:
+            break
+        want -= n
+    whole = rows.filter(F.col("_b") < edge).select(column)
+    w = Window.partitionBy("_b").orderBy("_h", column)
+    part = rows.filter(F.col("_b") == edge).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= rest).select(column)
+    return whole.unionByName(part)

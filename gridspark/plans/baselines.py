@@ -48,7 +48,10 @@ def trailing_quantiles(df: DataFrame, window_days: int = 90, min_obs: int = 20,
 
 
 def scale_heuristic(train: DataFrame, target: DataFrame, scale_columns: list[str], floor: float = 0.2) -> DataFrame:
-    """Zone quantiles of the error in units of a day-specific scale, times the target day's scale."""
+    """Zone quantiles of the error in units of a day-specific scale, times the target day's scale.
+
+    The overall medians run over published values with few decimals: an exact percentile keeps one counter per distinct
+    value, combined map-side, so its size follows the value range and not the rows."""
     centre = {c: train.select(F.percentile(c, F.lit(0.5))).scalar() for c in scale_columns}
 
     def scaled(df: DataFrame) -> DataFrame:

@@ -154,7 +154,7 @@ def pivot_slice(sliced: DataFrame, name: str, values: list[str]) -> DataFrame:
 def price_weights(rows: DataFrame, zero_as_missing: bool = True) -> DataFrame:
     """Non-negative price weights; a missing (or exactly zero) price takes the median of the run's known prices.
 
-    The median is taken over rows of evaluation grain (one per zone, day and hour)."""
+    Prices carry cents, so the exact median keeps one counter per distinct price, combined map-side."""
     known = F.col("price").isNotNull() & (~(F.col("price") == 0) if zero_as_missing else F.lit(True))
     w = F.when(known, F.greatest("price", F.lit(0.0)))
     med = (rows.groupBy("run").agg(F.percentile(F.when(known, F.col("price")), F.lit(0.5)).alias("_med")))

@@ -32,13 +32,16 @@ def commitment_fraction(width: Column | str, reference: Column | str) -> Column:
 
 
 def day_ahead_awards(da: DataFrame, fractions: DataFrame, fleet: dict = FLEET) -> DataFrame:
-    """Commit energy in the two dearest hours above the marginal cost; a group is one point-day of 24 hours."""
+    """Commit energy in the two dearest hours above the marginal cost, on days with all 24 prices.
+
+    A window group is one point-day of 24 hours; completeness comes from the same window as the prices."""
     power, energy = fleet_size(fleet)
     day = Window.partitionBy(*DAY)
     he = F.col("hour_ending")
     rows = da.withColumns({
+        "_hours": F.count("*").over(day),
         "night": F.avg(F.when(he <= 6, F.col("price"))).over(day), "_max": F.max("price").over(day),
-        "_rank": F.row_number().over(day.orderBy(F.desc("price"), "hour_ending"))})
+        "_rank": F.row_number().over(day.orderBy(F.desc("price"), "hour_ending"))}).filter(F.col("_hours") == 24)
     cost = F.col("night") / fleet["rte"] + fleet["degradation"]
     rows = rows.withColumn("_top", (F.col("_rank") <= 2) & (F.col("price") > cost)).join(fractions, DAY)
     tops = F.sum(F.col("_top").cast("int")).over(Window.partitionBy(*DAY, "policy"))
@@ -53,12 +56,14 @@ def held_back_dispatch(awards: DataFrame, rt: DataFrame, fleet: dict = FLEET) ->
     """Real-time discharge of the energy not committed, HE 7-22, after an interval whose price beat the threshold.
 
     Greedy use of a fixed amount in time order is min(cumulative capacity, amount), so a running sum replaces the
-    loop: what an interval gets is the growth of that minimum. A group is one point-day of 96 intervals."""
+    loop: what an interval gets is the growth of that minimum. A group is one point-day; only days with all 96
+    quarter-hours count."""
     power, energy = fleet_size(fleet)
     order = ["hour_ending", "quarter"]
-    prev = F.lag("price").over(Window.partitionBy(*DAY).orderBy(*order))
-    rows = rt.select(*DAY, *order, F.col("price").alias("rt_price"), prev.alias("_prev")).join(
-        awards.select(*DAY, "policy", "hour_ending", "award", "committed", "threshold"), DAY + ["hour_ending"])
+    point_day = Window.partitionBy(*DAY)
+    quarters = rt.select(*DAY, *order, F.col("price").alias("rt_price"), F.lag("price").over(point_day.orderBy(*order)).alias("_prev"),
+                         F.count("*").over(point_day).alias("_quarters")).filter(F.col("_quarters") == 96)
+    rows = quarters.join(awards.withColumnRenamed("price", "da_price"), DAY + ["hour_ending"])
     go = F.col("hour_ending").between(7, 22) & F.coalesce(F.col("_prev") > F.col("threshold"), F.lit(False))
     rows = rows.withColumn("_cap", F.when(go, (power - F.col("award")) * 0.25).otherwise(0.0))
     day = Window.partitionBy(*DAY, "policy").orderBy(*order)
@@ -68,15 +73,14 @@ def held_back_dispatch(awards: DataFrame, rt: DataFrame, fleet: dict = FLEET) ->
 
 
 def settle_days(da: DataFrame, rt: DataFrame, fractions: DataFrame, fleet: dict = FLEET) -> DataFrame:
-    """Money per point, day and policy. `fractions`: point, operating_date, policy, fraction."""
-    whole = complete_price_days(da, rt)
-    awards = day_ahead_awards(da.join(whole, DAY, "left_semi"), fractions, fleet)
-    sold = awards.groupBy(*DAY, "policy").agg(
-        F.sum(F.col("award") * F.col("price")).alias("da_rev"), F.max("committed").alias("committed"),
-        F.max("night").alias("night"), F.max("fraction").alias("fraction"))
-    extra = held_back_dispatch(awards, rt, fleet).groupBy(*DAY, "policy").agg(
+    """Money per point, whole price day and policy. `fractions`: point, operating_date, policy, fraction.
+
+    Every hour has four quarters on such a day, so day-ahead income is summed from the quarter rows as well."""
+    rows = held_back_dispatch(day_ahead_awards(da, fractions, fleet), rt, fleet).groupBy(*DAY, "policy").agg(
+        (F.sum(F.col("award") * F.col("da_price")) / 4).alias("da_rev"), F.max("committed").alias("committed"),
+        F.max("night").alias("night"), F.max("fraction").alias("fraction"),
         F.sum(F.col("extra_mwh") * F.col("rt_price")).alias("rt_rev"), F.sum("extra_mwh").alias("extra_mwh"))
-    rows = sold.join(extra, DAY + ["policy"]).withColumn("discharged", F.col("committed") + F.col("extra_mwh"))
+    rows = rows.withColumn("discharged", F.col("committed") + F.col("extra_mwh"))
     rows = rows.withColumns({"charge_cost": F.col("discharged") / fleet["rte"] * F.col("night"),
                              "wear": F.col("discharged") * fleet["degradation"]})
     return rows.withColumn("total", F.col("da_rev") + F.col("rt_rev") - F.col("charge_cost") - F.col("wear"))
