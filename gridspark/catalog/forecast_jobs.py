@@ -803,7 +803,11 @@ def _(v):
     return R.era_totals(_uplift(v))
 
 
-@job("w13_capped_allocation", "point operating_date:d hour_ending:i quarter:i policy extra_mwh:6")
+@job("w13_capped_allocation", "point operating_date:d hour_ending:i quarter:i policy extra_mwh:6",
+     _MONEY + """SELECT z.point, z.operating_date, z.hour_ending, z.quarter, z.policy, p.rem - s.rem AS extra_mwh FROM sim s
+        JOIN sim p ON p.point = s.point AND p.operating_date = s.operating_date AND p.policy = s.policy AND p.i = s.i - 1
+        JOIN z ON z.point = s.point AND z.operating_date = s.operating_date AND z.policy = s.policy AND z.i = s.i
+        WHERE s.policy = 'fixed' AND (s.point, s.operating_date) IN (SELECT (point, operating_date) FROM fin)""")
 def _(v):
     w, ref = _widths(v)
     fr = w.select("point", "operating_date", F.lit("fixed").alias("policy"), F.lit(0.8).alias("fraction"))
