@@ -97,8 +97,8 @@ def test_run_bounds(spark):
     got = df.select(*[F.date_format(T.run_init_bound("t", c, s), "MM-dd HH") for c, s in ((6, 1), (6, 3), (12, 3))]).first()
     assert tuple(got) == ("07-14 00", "07-14 06", "07-14 00")
     # a one-day lead would be issued after the cutoff
-    late = df.select(T.issued_bound("t", 6, 1, 8.0, lead_days=1) >= T.cutoff_utc(F.lit("2024-07-16").cast("date"))).first()[0]
-    assert not df.select(T.issued_bound("t", 6, 1, 8.0) >= T.cutoff_utc(F.lit("2024-07-16").cast("date"))).first()[0]
+    late = df.select(T.issued_bound("t", 6, 1, 8.0, lead_days=1) >= T.cutoff_utc(F.lit("2024-07-15").cast("date"))).first()[0]
+    assert not df.select(T.issued_bound("t", 6, 1, 8.0) >= T.cutoff_utc(F.lit("2024-07-15").cast("date"))).first()[0]
     assert late
 
 
