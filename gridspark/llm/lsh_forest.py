@@ -38,6 +38,7 @@ TREES, DEPTH, MIN_DEPTH = 16, 8, 3
 VALUES = TREES * DEPTH
 REGION = 1024
 TILE, TILE_SHINGLES = 4096, 1_000_000
+SPREAD, SPREAD_ROWS = 16, 128   # smaller blocks are spread over up to SPREAD tiles, none below SPREAD_ROWS rows
 SEED = 20_240_607
 
 
@@ -218,7 +219,8 @@ def confirm(ids: list[int], sets: list[np.ndarray], side: list[int] | None, perc
 def links(docs: DataFrame, classes: DataFrame, blocks: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """a, b: confirmed links that span every component of every block."""
     inside = classes.join(blocks.select(F.col("node").alias("rep"), F.col("component").alias("block")), "rep").select("rep", "tkey", "n", "block")
-    sums = inside.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
+    sums = inside.groupBy("block").agg(F.greatest(
+        F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES), F.least(F.lit(SPREAD), F.ceil(F.count("*") / SPREAD_ROWS))).cast("int").alias("tiles"))
     tile = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
     members = inside.join(sums, "block").withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))) \
         .select("rep", "tkey", "block", "tile", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"))
