@@ -38,14 +38,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", id_
     """id, host, path, rule, verdict of every page."""
     rules = rules.select("host", "path", "verdict").dropna().distinct().withColumns({
         "rule": F.concat("host", "path"), "digest": F.sha2(F.concat("host", F.lit("\n"), "path"), 256)})
-    lengths = rules.select(F.length("path").alias("n")).groupBy().agg(F.array_sort(F.collect_set("n")).alias("lengths"))
-    # the few lengths of rule paths travel with the rules' single summary row, joined on a constant key
-    urls = pages.select(F.col(url_col).alias("u")).filter("u is not null").distinct() \
-        .withColumns({"host": host_of(F.col("u")), "path": path_of(F.col("u")), "one": F.lit(1)}).filter(F.col("u").contains("://"))
-    urls = urls.join(F.broadcast(lengths.withColumn("one", F.lit(1))), "one")
-    tries = urls.select("u", "path", "lengths", F.explode(_suffixes(F.col("host"))).alias("suffix"))
-    tries = tries.select("u", "suffix", F.explode(F.array_distinct(F.transform(
-        F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n)))).alias("prefix"))
+    # the lengths of rule paths: as many numbers as there are different lengths
+    lengths = sorted(r.n for r in rules.select(F.length("path").alias("n")).distinct().collect())
+    urls = pages.select(F.col(url_col).alias("u")).filter(F.col("u").contains("://")).distinct() \
+        .withColumns({"host": host_of(F.col("u")), "path": path_of(F.col("u"))})
+    tries = urls.select("u", "path", F.explode(_suffixes(F.col("host"))).alias("suffix"))
+    fitting = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("path"))
+    tries = tries.select("u", "suffix", F.explode(F.transform(fitting, lambda n: F.substring(F.col("path"), F.lit(1), n))).alias("prefix"))
     tries = tries.withColumn("sought", F.sha2(F.concat("suffix", F.lit("\n"), "prefix"), 256))
     short = lambda c: F.conv(F.substring(c, 1, 8), 16, 10).cast("long")
     found = tries.withColumn("short", short("sought")).join(rules.withColumn("short", short("digest")), "short") \
