@@ -100,6 +100,8 @@ def _parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
         if not sep:
             raise ValueError("bad header line")
         head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+    if not {"warc-record-id", "warc-type", "warc-date"} <= set(head):
+        raise ValueError("mandatory field missing")
     length = head.get("content-length", "")
     if not length.isdigit():
         raise ValueError("bad length")

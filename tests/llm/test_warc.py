@@ -61,7 +61,7 @@ def members(n=12):
 
 def read(data):
     found = list(warc.salvage(data))
-    return [int(w[0]["warc-record-id"].rsplit(":", 1)[1][:-1]) for kind, _, _, w in found if kind == "record"], [x[1:] for x in found if x[0] == "gap"]
+    return [warc._page(w[0]["warc-record-id"]) for kind, _, _, w in found if kind == "record"], [x[1:] for x in found if x[0] == "gap"]
 
 
 def test_salvage_of_every_single_damage():
@@ -78,7 +78,7 @@ def test_salvage_of_every_single_damage():
             owner = max(k for k, s in enumerate(starts) if s <= at)
             ids, gaps = read(bytes(hurt))
             assert set(range(len(parts))) - set(ids) <= {owner}, at
-            if owner not in ids:
+            if len(ids) < len(parts):   # a changed header value outside a gzip member cannot be noticed
                 assert len(gaps) == 1 and gaps[0][0] == starts[owner] and gaps[0][1] <= (starts + [len(whole)])[owner + 1]
         ids, gaps = read(parts[0] + b"noise" * 9 + parts[1] + parts[2][:-20] + parts[3] + parts[4][:30])
         assert ids == [0, 1, 3] and len(gaps) == 3
