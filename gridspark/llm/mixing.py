@@ -100,7 +100,9 @@ def slots(plan: DataFrame, block: int = BLOCK, output_shards: int = OUTPUT_SHARD
     counts = plan.withColumn("counts", draw("rank", "slots")).withColumn("firsts", F.transform("counts", lambda c, i: F.aggregate(
         F.slice(F.col("counts"), F.lit(1), i), F.lit(0).cast("long"), lambda x, y: x + y)))
     shards = counts.select("source", "source_size", "take", "blocks", F.posexplode(F.arrays_zip("counts", "firsts")).alias("shard", "x")) \
-        .filter("x.counts > 0").repartition(F.col("source"), F.col("shard"))
+        .filter("x.counts > 0")
+    # few rows that explode to many: a set number of partitions is not coalesced for their small size
+    shards = shards.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "shard")
     drawn = shards.select("source", "source_size", "take", "blocks", "shard", F.explode(
         F.sequence(F.col("x.firsts"), F.col("x.firsts") + F.col("x.counts") - 1)).alias("slot"))
     # the full blocks of a pass are permuted; a short last block is read last
@@ -118,7 +120,8 @@ def pieces(sizes: DataFrame, plan: DataFrame, block: int = BLOCK, output_shards:
     end = F.col("at") + F.col("size")
     cut = streams(sizes).withColumn("block", F.explode(F.sequence(
         F.floor(F.col("at") / block).cast("long"), F.floor((end - 1) / block).cast("long")))).alias("d")
-    taken = slots(plan, block, output_shards, seed).alias("t")
+    # the few rows that slots come from look small enough to broadcast, the slots are not
+    taken = slots(plan, block, output_shards, seed).hint("merge").alias("t")
     both = cut.join(taken, F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.block") == F.col("t.block")))
     low = F.greatest(F.col("d.block") * block, F.col("at"))
     high = F.least(F.col("d.block") * block + F.col("words"), end)
