@@ -740,7 +740,7 @@ def _widths(v):
     return w, ref
 
 
-_MONEY = """WITH RECURSIVE cd AS (SELECT point, operating_date FROM da_full GROUP BY 1, 2 HAVING count(*) = 24),
+_MONEY = """WITH cd AS (SELECT point, operating_date FROM da_full GROUP BY 1, 2 HAVING count(*) = 24),
     wd AS (SELECT point, operating_date, max(price) - min(price) AS width FROM da_full GROUP BY 1, 2),
     rw AS (SELECT point, quantile_cont(width, 0.5) AS ref FROM wd GROUP BY 1),
     pol AS (SELECT point, operating_date, policy, CASE policy WHEN 'fixed' THEN 0.8 ELSE CASE WHEN width > 0 THEN least(greatest(0.8 * ref / width, 0.2), 1.0) ELSE 0.8 END END AS f
@@ -755,13 +755,10 @@ _MONEY = """WITH RECURSIVE cd AS (SELECT point, operating_date FROM da_full GROU
     q AS (SELECT point, operating_date, hour_ending, quarter, price AS rt, lag(price) OVER (PARTITION BY point, operating_date ORDER BY hour_ending, quarter) AS pr,
                  row_number() OVER (PARTITION BY point, operating_date ORDER BY hour_ending, quarter) AS i FROM rt_full),
     z AS (SELECT q.*, a.policy, a.award, a.com, (q.hour_ending BETWEEN 7 AND 22 AND pr > greatest(mx, night / 0.85 + 10)) AS go FROM q JOIN a USING (point, operating_date, hour_ending)),
-    sim(point, operating_date, policy, i, rem, rev) AS (
-        SELECT DISTINCT point, operating_date, policy, CAST(0 AS BIGINT), CAST(39.2 - com AS DOUBLE), CAST(0 AS DOUBLE) FROM z
-      UNION ALL
-        SELECT s.point, s.operating_date, s.policy, z.i, CASE WHEN go AND rem > 1e-9 THEN rem - least(20 - award, rem / 0.25) * 0.25 ELSE rem END,
-               rev + CASE WHEN go AND rem > 1e-9 THEN least(20 - award, rem / 0.25) * 0.25 * rt ELSE 0 END
-        FROM sim s JOIN z ON z.point = s.point AND z.operating_date = s.operating_date AND z.policy = s.policy AND z.i = s.i + 1),
-    fin AS (SELECT point, operating_date, policy, 39.2 - rem AS dis, rev AS rt_rev FROM sim WHERE i = 96),
+    cp AS (SELECT *, CASE WHEN go THEN (20 - award) / 4 ELSE 0 END AS cap FROM z),
+    us AS (SELECT *, sum(cap) OVER (PARTITION BY point, operating_date, policy ORDER BY i) AS used FROM cp),
+    fin AS (SELECT point, operating_date, policy, max(com) + max(least(used, 39.2 - com)) AS dis,
+                   sum((least(used, 39.2 - com) - least(used - cap, 39.2 - com)) * rt) AS rt_rev FROM us GROUP BY 1, 2, 3 HAVING count(*) = 96),
     m AS (SELECT a.point, a.operating_date, a.policy, max(a.f) AS fraction, sum(a.award * a.price) AS da_rev, max(a.night) AS night FROM a GROUP BY 1, 2, 3),
     money AS (SELECT m.*, rt_rev, dis AS discharged, dis / 0.85 * night AS charge_cost, dis * 10 AS wear, da_rev + rt_rev - dis / 0.85 * night - dis * 10 AS total
               FROM m JOIN fin USING (point, operating_date, policy)),

@@ -247,7 +247,7 @@ def _(v):
 @job("q27_days_rt_exceeded_list", "point month threshold:1 days:a",
      f"""SELECT point, month, x AS threshold, list(DISTINCT d ORDER BY d) AS days FROM (
             SELECT point, month, strftime(operating_date, '%Y-%m-%d') AS d, x FROM iv15, (VALUES {_thresholds}) t(x)
-            WHERE price > x AND x >= 75) GROUP BY 1, 2, 3 HAVING count(DISTINCT d) BETWEEN 1 AND 12""")
+            WHERE price > x AND x >= 75) GROUP BY 1, 2, 3""")
 def _(v):
     return P.days_exceeding(v.iv15)
 
@@ -255,7 +255,7 @@ def _(v):
 @job("q27_days_short_threshold", "point month threshold:1 days:a",
      """SELECT point, month, 65.0 AS threshold, list(DISTINCT d ORDER BY d) AS days FROM (
             SELECT point, month, strftime(operating_date, '%Y-%m-%d') AS d FROM iv15 WHERE price > 65)
-        GROUP BY 1, 2 HAVING count(DISTINCT d) BETWEEN 1 AND 12""")
+        GROUP BY 1, 2""")
 def _(v):
     return P.days_exceeding(v.iv15, [65.0])
 

@@ -282,16 +282,11 @@ def issued_bound(valid: Column | str, cycle_h: int, step_h: int, latency_h: floa
 # ---------------------------------------------------------------- day-hour-minute stamps
 def resolve_day_stamp(day: Column, hour: Column, minute: Column, win_start: Column, win_end: Column) -> Column:
     """Full instant of a DDHHMM stamp nearest to [win_start, win_end); NULL beyond three days."""
-    anchors = [F.trunc(win_start.cast("date"), "MM"),
-               F.trunc((win_end - F.expr("INTERVAL '1' SECOND")).cast("date"), "MM")]
-    months = F.array_sort(F.array_distinct(F.array(*[F.add_months(a, k) for a in anchors for k in (-1, 0, 1)])))
-
-    def candidate(m: Column) -> Column:
-        ts = F.try_make_timestamp_ntz(F.year(m), F.month(m), day.cast("int"), hour.cast("int"),
-                                      minute.cast("int"), F.lit(0))
-        dist = (F.when(ts < win_start, interval_seconds(win_start - ts))
-                .when(ts >= win_end, interval_seconds(ts - win_end)).otherwise(F.lit(0.0)))
-        return F.struct(dist.alias("dist"), ts.alias("ts"))
-
-    best = F.array_min(F.filter(F.transform(months, candidate), lambda c: c["ts"].isNotNull()))
-    return F.when(best["dist"] <= 3 * 86400, best["ts"])
+    months = F.sequence(F.add_months(F.trunc(win_start.cast("date"), "MM"), -1), F.add_months(F.trunc(win_end.cast("date"), "MM"), 1),
+                        F.expr("INTERVAL '1' MONTH"))
+    stamps = F.filter(F.transform(months, lambda m: F.try_make_timestamp_ntz(
+        F.year(m), F.month(m), day.cast("int"), hour.cast("int"), minute.cast("int"), F.lit(0))), lambda ts: ts.isNotNull())
+    ranked = F.transform(stamps, lambda ts: F.struct(
+        F.greatest(interval_seconds(win_start - ts), interval_seconds(ts - win_end), F.lit(0.0)).alias("away"), ts.alias("ts")))
+    nearest = F.array_min(ranked)
+    return F.when(nearest["away"] <= 3 * 86400, nearest["ts"])

@@ -40,11 +40,6 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
-def short(line: Column) -> Column:
-    """Stamp lines are short; a paragraph kept on one line is not worth matching against them."""
-    return F.length(line) <= 200
-
-
 # ---------------------------------------------------------------- framing
 def split_products(files: DataFrame, raw: str = "raw") -> DataFrame:
     """One row per product of a response file, framed by control characters or, without them, by header lines.
@@ -56,10 +51,10 @@ def split_products(files: DataFrame, raw: str = "raw") -> DataFrame:
 
     def product(chunk: Column) -> Column:
         plain = F.regexp_replace(F.replace(chunk, F.lit("\u0003"), F.lit("")), r"^\n+|\n+$", "")
-        top = F.split(plain, "\n", 6)
-        flags = F.transform(F.slice(top, 1, 5), lambda s: short(s) & strip(s).rlike(HEADER_LINE))
+        top = F.split(plain, "\n", -1)
+        flags = F.transform(top, lambda s: strip(s).rlike(HEADER_LINE))
         at = F.array_position(flags, F.lit(True)).cast("int")
-        body = F.array_join(F.slice(top, F.greatest(at, F.lit(1)), 6), "\n")
+        body = F.array_join(F.slice(top, F.greatest(at, F.lit(1)), F.size(top)), "\n")
         return F.struct(F.when(at > 0, strip(F.get(top, at - 1))).alias("wmo_header"), body.alias("body"))
 
     products = F.transform(F.split(framed, FRAME), product)
@@ -145,10 +140,10 @@ def parse_products(products: DataFrame, win_start: str = "win_start", win_end: s
     rows = products.withColumns({
         "issued_utc": T.resolve_day_stamp(head["day"], head["hour"], head["minute"], F.col(win_start), F.col(win_end)),
         "office": F.substring(head["station"], 2, 3), "bbb": head["bbb"]}).filter(F.col("issued_utc").isNotNull())
-    rows = rows.withColumn("_top", F.split("body", "\n", 16))
-    near = F.transform(F.slice("_top", 2, 14), lambda s: F.when(short(s), issue_line_time(strip(s)).isNotNull()).otherwise(False))
+    rows = rows.withColumn("_top", F.split("body", "\n", -1))
+    near = F.transform(F.slice("_top", F.lit(2), F.size("_top")), lambda s: issue_line_time(strip(s)).isNotNull())
     rows = rows.withColumn("_issue_at", F.nullif(F.array_position(near, F.lit(True)), F.lit(0)).cast("int"))
-    after = F.array_join(F.slice("_top", F.col("_issue_at") + 2, 16), "\n")
+    after = F.array_join(F.slice("_top", F.col("_issue_at") + 2, F.size("_top")), "\n")
     rows = rows.withColumns({"issue_line": strip(F.get("_top", F.col("_issue_at"))),
                              "_pre": F.when(F.col("_issue_at").isNotNull(), preamble(after)), "_secs": sections("body")})
     with_pre = F.concat(F.array(F.struct(F.lit("PREAMBLE").alias("name"), F.col("_pre").alias("body"))), F.col("_secs"))
@@ -164,13 +159,15 @@ def build_archive(parsed: DataFrame, row_id: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- cleaning
-def clean_text(text: Column | str, max_chars: int = 1800) -> Column:
-    """Drop date stamps, issue lines and years, collapse blanks, cut at a word end."""
+def clean_text(text: Column | str, max_chars: int | None = None) -> Column:
+    """Drop date stamps, issue lines and years, collapse blanks; cut at a word end only where a length is given."""
     t = F.coalesce(col(text), F.lit(""))
     for pattern in (DATE_LINE, ISSUED_LINE, STAMP, YEAR):
         t = F.regexp_replace(t, pattern, "")
     t = F.regexp_replace(t, r"[ \t]+", " ")
     t = strip(F.regexp_replace(t, r"\n\s*\n+", "\n\n"))
+    if max_chars is None:
+        return t
 
     def capped(whole: Column) -> Column:
         head = let(F.substring(whole, 1, max_chars), lambda c: F.when(
@@ -180,15 +177,14 @@ def clean_text(text: Column | str, max_chars: int = 1800) -> Column:
     return let(t, capped)
 
 
-def prompt_text(reasoning: Column | str, secs: Column | str, long_chars: int = 1000) -> Column:
-    """Cleaned reasoning, followed by the start of the first LONG section unless it is already there."""
+def prompt_text(reasoning: Column | str, secs: Column | str, max_chars: int | None = None, long_chars: int | None = None) -> Column:
+    """Cleaned reasoning, followed by the first LONG section unless it is already there; cut only where lengths are given."""
     reasoning = col(reasoning)
     found = F.filter(col(secs), lambda s: F.upper(s["name"]).contains("LONG"))
     body = F.coalesce(F.get(found, F.lit(0))["body"], F.lit(""))
-    head = F.substring(strip(body), 1, 200)
     extra = F.concat(F.lit("\n\n.LONG TERM...\n"), clean_text(body, long_chars))
-    add = (F.length(body) > 0) & ~F.coalesce(reasoning, F.lit("")).contains(head)
-    return F.concat(clean_text(reasoning), F.when(add, extra).otherwise(F.lit("")))
+    add = (F.length(body) > 0) & ~F.coalesce(reasoning, F.lit("")).contains(strip(body))
+    return F.concat(clean_text(reasoning, max_chars), F.when(add, extra).otherwise(F.lit("")))
 
 
 def theme_flags(text: Column | str) -> dict[str, Column]:

@@ -131,13 +131,12 @@ def peak_local_time(rt: DataFrame) -> DataFrame:
     return peak.filter(~T.is_ambiguous("start_local"))
 
 
-def days_exceeding(rt: DataFrame, thresholds: list[float] = PRICE_THRESHOLDS[2:], most: int = 12) -> DataFrame:
-    """Sorted list of days with any price above a threshold, for months with 1..most such days."""
+def days_exceeding(rt: DataFrame, thresholds: list[float] = PRICE_THRESHOLDS[2:]) -> DataFrame:
+    """Sorted list of days with any price above a threshold, for months with any such day."""
     daily = rt.groupBy(*MONTH, "operating_date").agg(F.max("price").alias("_top"))
     flags = F.array(*[F.when(F.col("_top") > x, F.lit(float(x))) for x in thresholds])
     hits = daily.select(*MONTH, "operating_date", F.explode(F.filter(flags, lambda t: t.isNotNull())).alias("threshold"))
-    lists = hits.groupBy(*MONTH, "threshold").agg(F.array_sort(F.collect_set("operating_date")).alias("days"))
-    return lists.filter(F.size("days") <= most)
+    return hits.groupBy(*MONTH, "threshold").agg(F.array_sort(F.collect_set("operating_date")).alias("days"))
 
 
 def spike_events(rt: DataFrame, thresholds: list[float], min_lengths: list[int]) -> DataFrame:

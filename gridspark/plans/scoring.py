@@ -136,13 +136,14 @@ def outcome_reward(outcome: Column | str) -> Column:
                   F.when(outcome == "correct", REWARDS["correct"]))
 
 
-def grade(truth: DataFrame, answers: DataFrame, max_rows: int = 1000) -> DataFrame:
+def grade(truth: DataFrame, answers: DataFrame) -> DataFrame:
     """Grade submitted answers. answers: task_id, has_sql, ran, n_columns, values (array), one row per task.
 
-    A list longer than the cap counts as truncated, as the row cap of a query run would make it."""
+    A boolean column `truncated`, if the answers have it, says which lists a query run has cut."""
     rows = truth.join(answers, "task_id")
     matches = answer_matches(F.col("answer_type"), F.col("expected"), F.col("values"), F.col("tol_abs"), F.col("tol_rel"),
                              F.col("tz"), F.col("ordered"))
     n = F.size("values")
-    outcome = answer_outcome(F.col("answer_type"), F.col("has_sql"), F.col("ran"), F.col("n_columns"), n, n > max_rows, matches)
+    cut = F.coalesce("truncated", F.lit(False)) if "truncated" in answers.columns else F.lit(False)
+    outcome = answer_outcome(F.col("answer_type"), F.col("has_sql"), F.col("ran"), F.col("n_columns"), n, cut, matches)
     return rows.select("task_id", "answer_type", outcome.alias("outcome")).withColumn("reward", outcome_reward("outcome"))

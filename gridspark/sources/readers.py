@@ -27,9 +27,25 @@ def read_json_lines(spark: SparkSession, path: str | list[str], schema: ST.Struc
 
 
 def _csv(spark: SparkSession, path) -> DataFrame:
-    """All columns as trimmed-header strings; types are decided by the caller."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    return raw.toDF(*[c.strip() for c in raw.columns])
+    """All columns as trimmed-header strings, files aligned by column name; types are decided by the caller.
+
+    Files are read in groups of one header each, so no file's columns are taken under another's header; a column that a
+    group lacks is null. `_file` is the file's name."""
+    paths = [path] if isinstance(path, str) else list(path)
+    tops = spark.read.text(paths).filter("_metadata.file_block_start = 0").groupBy(F.col("_metadata.file_path").alias("file")) \
+        .agg(F.first("value").alias("top"))
+    groups: dict[str, list[str]] = {}
+    for r in tops.orderBy("file").collect():
+        groups.setdefault(r.top, []).append(r.file)
+    out = None
+    for files in groups.values():
+        raw = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False).csv(files)
+        part = raw.select("*", F.col("_metadata.file_name").alias("_file"))
+        part = part.toDF(*[c.strip() for c in part.columns])
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no file with a header line under {paths}")
+    return out
 
 
 def number(c: Column | str) -> Column:
@@ -48,14 +64,12 @@ def read_balancing_area(spark: SparkSession, path, area: str) -> DataFrame:
 
 def read_service_prices(spark: SparkSession, path) -> DataFrame:
     """Wide service price files with trimmed headers."""
-    return _csv(spark, path)
+    return _csv(spark, path).drop("_file")
 
 
 def read_model_forecasts(spark: SparkSession, path) -> DataFrame:
     """Forecast-by-model files to rows by zone. The document id is the file name up to its first dot."""
-    raw = spark.read.option("header", True).csv(path)
-    raw = raw.select("*", F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1).alias("doc_id"))
-    raw = raw.toDF(*[c.strip() for c in raw.columns])
+    raw = _csv(spark, path).withColumn("doc_id", F.regexp_extract("_file", r"^([^.]*)", 1)).drop("_file")
     flag = next((c for c in ("DSTFlag", "Repeated Hour Flag") if c in raw.columns), None)
     repeated = F.coalesce(F.trim(F.col(f"`{flag}`")) == "Y", F.lit(False)) if flag else F.lit(False)
     zones = {c: z for c, z in FORECAST_ZONE_COLUMNS.items() if c in raw.columns}

@@ -100,39 +100,47 @@ def test_time_blocks_follow_even_split(spark):
         assert got == [b for b, s in enumerate(sizes) for _ in range(s)]
 
 
-def loop_day(f, da, rt):
-    """The greedy day written as a loop, to check the running-minimum form against."""
-    power, energy, rte, wear = 20.0, 39.2, 0.85, 10.0
-    night = sum(da[:6]) / 6
-    cost = night / rte + wear
-    top = [h for h in sorted(range(24), key=lambda h: (-da[h], h))[:2] if da[h] > cost]
-    committed = min(f * power * len(top), f * energy) if top else 0.0
-    award = [committed / len(top) if h in top else 0.0 for h in range(24)]
-    left, rt_rev = energy - committed, 0.0
-    for t in range(24, 88):
-        if rt[t - 1] > max(max(da), cost) and left > 1e-9:
-            mw = min(power - award[t // 4], left / 0.25)
-            rt_rev += mw * 0.25 * rt[t]
-            left -= mw * 0.25
-    out = energy - left
-    return sum(a * p for a, p in zip(award, da)) + rt_rev - out / rte * night - out * wear
-
-
-def test_settled_days_match_the_loop(spark):
+def test_dispatch_keeps_its_bounds(spark):
+    """Whatever the prices: nothing is sold without a trigger or beyond the capacity, and all of the store goes if capacity allows."""
     rnd = random.Random(11)
-    da_rows, rt_rows, want = [], [], {}
+    da_rows, rt_rows = [], []
     for d in range(12):
         day = dt.date(2024, 5, 1) + dt.timedelta(days=d)
-        da = [rnd.uniform(5, 120) for _ in range(24)]
-        rt = [rnd.uniform(0, 250) for _ in range(96)]
-        da_rows += [("A", day, h + 1, p) for h, p in enumerate(da)]
-        rt_rows += [("A", day, t // 4 + 1, t % 4 + 1, p) for t, p in enumerate(rt)]
-        want[day] = loop_day(0.8, da, rt)
+        da_rows += [("A", day, h, rnd.uniform(5, 120)) for h in range(1, 25)]
+        rt_rows += [("A", day, h, q, rnd.uniform(0, 250)) for h in range(1, 25) for q in range(1, 5)]
     da = spark.createDataFrame(da_rows, "point string, operating_date date, hour_ending int, price double")
     rt = spark.createDataFrame(rt_rows, "point string, operating_date date, hour_ending int, quarter int, price double")
     fr = da.select("point", "operating_date").distinct().withColumns({"policy": F.lit("fixed"), "fraction": F.lit(0.8)})
-    got = {r.operating_date: r for r in R.settle_days(da, rt, fr).collect()}
-    assert all(got[d].total == pytest.approx(w) and got[d].discharged <= 39.2 + 1e-9 for d, w in want.items())
+    rows = R.held_back_dispatch(R.day_ahead_awards(da, fr), rt).orderBy("operating_date", "hour_ending", "quarter").collect()
+    assert len(rows) == 12 * 96
+    price = {(r[1], r[2], r[3]): r[4] for r in rt_rows}
+    for day in {r.operating_date for r in rows}:
+        mine = [r for r in rows if r.operating_date == day]
+        room = 0.0
+        for r in mine:
+            before = price.get((day, r.hour_ending, r.quarter - 1) if r.quarter > 1 else (day, r.hour_ending - 1, 4))
+            triggered = 7 <= r.hour_ending <= 22 and before is not None and before > r.threshold
+            room += (20.0 - r.award) / 4 if triggered else 0.0
+            assert -1e-9 <= r.extra_mwh <= (20.0 - r.award) / 4 + 1e-9 and (triggered or r.extra_mwh == 0)
+        assert sum(r.extra_mwh for r in mine) == pytest.approx(min(room, 39.2 - mine[0].committed))
+    settled = R.settle_days(da, rt, fr).collect()
+    assert len(settled) == 12
+    assert all(r.discharged <= 39.2 + 1e-9 and r.total == pytest.approx(r.da_rev + r.rt_rev - r.charge_cost - r.wear) for r in settled)
+
+
+def test_a_settled_day_by_hand(spark):
+    day = dt.date(2024, 5, 1)
+    da = spark.createDataFrame([("A", day, h, 100.0 if h == 20 else 20.0) for h in range(1, 25)], "point string, operating_date date, hour_ending int, price double")
+    rt = spark.createDataFrame([("A", day, h, q, 500.0 if (h, q) in ((10, 1), (10, 2)) else 0.0) for h in range(1, 25) for q in range(1, 5)],
+                               "point string, operating_date date, hour_ending int, quarter int, price double")
+    fr = spark.createDataFrame([("A", day, "fixed", 0.8)], "point string, operating_date date, policy string, fraction double")
+    r = R.settle_days(da, rt, fr).first()
+    # one hour beats 20 / 0.85 + 10: 16 MWh sold ahead; the prices of 10:1 and 10:2 trigger 10:2 and 10:3, 5 MWh each
+    assert (r.da_rev, r.rt_rev, r.discharged) == (pytest.approx(1600.0), pytest.approx(2500.0), pytest.approx(26.0))
+    assert r.total == pytest.approx(1600 + 2500 - 26 / 0.85 * 20 - 26 * 10)
+
+
+def test_commitment_fraction(spark):
     f = lambda w: spark.range(1).select(R.commitment_fraction(F.lit(w), F.lit(100.0))).first()[0]
     assert (f(100.0), f(50.0), f(10000.0), f(0.0), f(None if False else float("nan"))) == (0.8, 1.0, 0.2, 0.8, 0.8)
 

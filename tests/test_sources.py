@@ -146,3 +146,11 @@ def test_reports(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).first().run == "a"
     with pytest.raises(ValueError):
         sinks.markdown(spark.range(5), "T", limit=3)
+
+
+def test_service_prices_with_different_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Date,REGUP ,REGDN\n1,1.0,2.0\n")
+    (tmp_path / "b.csv").write_text("Date,REGDN,REGUP,ECRS\n2,4.0,3.0,5.0\n")
+    (tmp_path / "c.csv").write_text("Date,REGUP ,REGDN\n3,6.0,7.0\n")
+    got = {r.Date: (r.REGUP, r.REGDN, r.ECRS) for r in readers.read_service_prices(spark, str(tmp_path)).collect()}
+    assert got == {"1": ("1.0", "2.0", None), "2": ("3.0", "4.0", "5.0"), "3": ("6.0", "7.0", None)}

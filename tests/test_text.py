@@ -151,3 +151,13 @@ def test_example_tasks_keep_listed_hours(spark):
     assert out.actual_error == {16: 1.0, 17: 2.0}
     with pytest.raises(Exception, match="lack a label"):
         D.example_tasks(spark.createDataFrame([("a", "z", [16, 19], {"16": q}, {"16": 1.0})], schema)).collect()
+
+
+def test_nothing_is_cut_by_length(spark):
+    long_head = "FXUS64 KHGX 161134" + " " * 210
+    late = "\n".join(f"note {k}" for k in range(8)) + "\nFXUS64 KEWX 161200\nbody two"
+    raw = "\u0001" + long_head + "\nbody one\u0003\u0001" + late + "\u0003"
+    got = [(r.wmo_header, r.body.splitlines()[-1]) for r in N.split_products(spark.createDataFrame([(raw,)], "raw string")).collect()]
+    assert got == [("FXUS64 KHGX 161134", "body one"), ("FXUS64 KEWX 161200", "body two")]
+    text = "word " * 1000
+    assert value(spark, text, N.clean_text) == text.strip()
