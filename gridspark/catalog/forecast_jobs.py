@@ -62,8 +62,7 @@ def _(v):
 
 
 @job("j16_peak_ratio", "operating_date:d fc_peak:2 ref_peak:2 sys_peak_ratio:6",
-     """WITH d AS (SELECT operating_date, max(quantity) AS fc_peak, max(spread) AS act_peak FROM daily
-                   WHERE day(operating_date) % 5 <> 1 OR month(operating_date) % 2 = 0 GROUP BY 1),
+     """WITH d AS (SELECT operating_date, max(quantity) AS fc_peak, max(spread) AS act_peak FROM daily GROUP BY 1),
         h AS (SELECT d.operating_date, d.fc_peak, max(p.act_peak) AS all_max,
                      max(p.act_peak) FILTER (WHERE month(p.operating_date) = month(d.operating_date)) AS month_max,
                      count(p.act_peak) FILTER (WHERE month(p.operating_date) = month(d.operating_date)) AS n
@@ -72,9 +71,7 @@ def _(v):
         SELECT operating_date, fc_peak, CASE WHEN n >= 3 THEN month_max ELSE all_max END AS ref_peak,
                CASE WHEN ref_peak > 0 THEN fc_peak / ref_peak END AS sys_peak_ratio FROM h""")
 def _(v):
-    d = F.col("operating_date")
-    live = v.daily.filter((F.day(d) % 5 != 1) | (F.month(d) % 2 == 0))
-    return X.peak_ratio(live.groupBy("operating_date").agg(F.max("quantity").alias("fc_peak"), F.max("spread").alias("act_peak")))
+    return X.peak_ratio(v.daily.groupBy("operating_date").agg(F.max("quantity").alias("fc_peak"), F.max("spread").alias("act_peak")))
 
 
 # ---------------------------------------------------------------- forecast features
@@ -111,14 +108,14 @@ def _(v):
 
 @job("f08_vintage_long", "doc_id:l operating_date:d vintage publish_time:t event_type value:2",
      """WITH s AS (SELECT CAST(ts AS DATE) AS operating_date, max(event_id) AS doc_id, max(ts) AS publish_time, v.vintage FROM events, (VALUES ('dam'), ('prev')) v(vintage)
-                   WHERE (vintage = 'dam' AND event_id % 2 = 0) OR (vintage = 'prev' AND event_id % 3 = 0) GROUP BY 1, 4)
+                   WHERE vintage = 'dam' OR extract(hour FROM ts) < 12 GROUP BY 1, 4)
         SELECT e.event_id AS doc_id, s.operating_date, s.vintage, s.publish_time, e.event_type, e.value
         FROM events e JOIN s ON s.doc_id = e.event_id AND s.operating_date = CAST(e.ts AS DATE)""")
 def _(v):
     docs = v.events.select(F.col("event_id").alias("doc_id"), F.to_date("ts").alias("operating_date"), "event_type", "value", "ts")
     pick = lambda cond, name: (docs.filter(cond).groupBy("operating_date").agg(
         F.max("doc_id").alias("doc_id"), F.max("ts").alias("post_time_utc")).withColumn("vintage", F.lit(name)))
-    sel = pick(F.col("doc_id") % 2 == 0, "dam").unionByName(pick(F.col("doc_id") % 3 == 0, "prev"))
+    sel = pick(F.lit(True), "dam").unionByName(pick(F.hour("ts") < 12, "prev"))
     return X.vintage_long(sel, docs.drop("ts"))
 
 
@@ -827,7 +824,7 @@ def _(v):
 
 
 @job("r07_imbalance", "run zone_hours:l mwh_model:3 mwh_plain:3 cost_model:1 cost_plain:1 risk_model:1 risk_plain:1 mwh_change_pct:4 risk_change_pct:4",
-     f"""WITH p AS (SELECT zone, operating_date AS day, hour_ending, y / 1000 AS da, y / 1000 + spread - 5 AS rt FROM daily WHERE hour_ending <> 20),
+     f"""WITH p AS (SELECT zone, operating_date AS day, hour_ending, y / 1000 AS da, y / 1000 + spread - 5 AS rt FROM daily),
          l AS (SELECT zone, avg(y) AS load FROM daily GROUP BY 1),
          r AS (SELECT run, (y - p50) * 1000.0 / load AS m, y * 1000.0 / load AS pl, rt - da AS s FROM ({_FILLED}) JOIN p USING (zone, day, hour_ending) JOIN l USING (zone))
          SELECT run, count(*) AS zone_hours, sum(abs(m)) AS mwh_model, sum(abs(pl)) AS mwh_plain, sum(m * s) AS cost_model, sum(pl * s) AS cost_plain,
@@ -835,7 +832,7 @@ def _(v):
                 100 * (sum(abs(m) * abs(s)) / sum(abs(pl) * abs(s)) - 1) AS risk_change_pct FROM r GROUP BY 1""")
 def _(v):
     da = F.col("y") / 1000
-    prices = v.daily.filter("hour_ending <> 20").select("zone", F.col("operating_date").alias("day"), "hour_ending", da.alias("da"),
-                                                        (da + F.col("spread") - 5).alias("rt"))
+    prices = v.daily.select("zone", F.col("operating_date").alias("day"), "hour_ending", da.alias("da"),
+                            (da + F.col("spread") - 5).alias("rt"))
     loads = v.daily.groupBy("zone").agg(F.avg("y").alias("load"))
     return R.imbalance(E.with_fallback(v.quant), prices, loads)

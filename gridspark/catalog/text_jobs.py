@@ -267,7 +267,7 @@ def _(v):
     return D.coverage(r, D.correct_examples(r, _task_list(v)))
 
 
-_N2 = """WITH t AS (SELECT DISTINCT task_id FROM samples), r AS (SELECT task_id, avg((outcome = 'correct')::INT) AS p FROM samples WHERE sample_idx % 40 < 3 GROUP BY 1),
+_N2 = """WITH t AS (SELECT DISTINCT task_id FROM samples), r AS (SELECT task_id, avg((outcome = 'correct')::INT) AS p FROM samples GROUP BY 1),
     k AS (SELECT t.task_id, CASE WHEN p IS NULL THEN 'unseen' WHEN p = 0 THEN 'never' WHEN p < 1 THEN 'mixed'
               WHEN CAST('0x' || substr(md5('keep-' || t.task_id), 1, 8) AS BIGINT) / 4294967296.0 < 0.5 THEN 'always_kept' ELSE 'always_dropped' END AS kind
           FROM t LEFT JOIN r USING (task_id))
@@ -275,8 +275,7 @@ _N2 = """WITH t AS (SELECT DISTINCT task_id FROM samples), r AS (SELECT task_id,
 
 
 def _weights(v):
-    some = v.samples.filter("sample_idx % 40 < 3")
-    return D.prompt_weights(v.samples.select("task_id").distinct(), some, keep_fraction=0.5)
+    return D.prompt_weights(v.samples.select("task_id").distinct(), v.samples, keep_fraction=0.5)
 
 
 @job("n02_prompt_weights", "task_id kind copies:i", _N2)
