@@ -50,7 +50,7 @@ def split_products(files: DataFrame, raw: str = "raw") -> DataFrame:
     framed = F.when(text.contains(FRAME), text).otherwise(starts)
 
     def product(chunk: Column) -> Column:
-        plain = F.regexp_replace(F.replace(chunk, F.lit("\u0003"), F.lit("")), r"^\n+|\n+$", "")
+        plain = F.regexp_replace(F.translate(chunk, NAME_END + "\u0003", ""), r"^\n+|\n+$", "")
         top = F.split(plain, "\n", -1)
         flags = F.transform(top, lambda s: strip(s).rlike(HEADER_LINE))
         at = F.array_position(flags, F.lit(True)).cast("int")
