@@ -33,6 +33,7 @@ from gridspark.llm.textvec import SPACE_WORDS, Texts, slices
 WEIGHTS = (3, 1, 2)
 BLOCK = 128
 OUTPUT_SHARDS = 64
+RUN = 1 << 14
 SEED = "mix-1"
 
 
@@ -101,10 +102,14 @@ def slots(plan: DataFrame, block: int = BLOCK, output_shards: int = OUTPUT_SHARD
         F.slice(F.col("counts"), F.lit(1), i), F.lit(0).cast("long"), lambda x, y: x + y)))
     shards = counts.select("source", "source_size", "take", "blocks", F.posexplode(F.arrays_zip("counts", "firsts")).alias("shard", "x")) \
         .filter("x.counts > 0")
-    # few rows that explode to many: a set number of partitions is not coalesced for their small size
-    shards = shards.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "shard")
-    drawn = shards.select("source", "source_size", "take", "blocks", "shard", F.explode(
-        F.sequence(F.col("x.firsts"), F.col("x.firsts") + F.col("x.counts") - 1)).alias("slot"))
+    # slots are listed in runs of at most RUN, so no array grows with the source; the few rows that explode to many keep a set
+    # number of partitions, which is not coalesced for their small size
+    last = F.col("x.firsts") + F.col("x.counts") - 1
+    runs = shards.select("source", "source_size", "take", "blocks", "shard", last.alias("last"),
+                         F.explode(F.sequence(F.col("x.firsts"), last, F.lit(RUN).cast("long"))).alias("low"))
+    runs = runs.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "low")
+    drawn = runs.select("source", "source_size", "take", "blocks", "shard", F.explode(
+        F.sequence(F.col("low"), F.least(F.col("low") + RUN - 1, F.col("last")))).alias("slot"))
     # the full blocks of a pass are permuted; a short last block is read last
     full = F.floor(F.col("source_size") / block).cast("long")
     drawn = drawn.withColumn("turn", F.floor(F.col("slot") / F.col("blocks")).cast("long")).withColumn("j", F.col("slot") % F.col("blocks"))
