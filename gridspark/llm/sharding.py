@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from gridspark.llm.permute import permuted
 
 BUCKET_DIGITS = 3   # hexadecimal: 4096 buckets
+RUN = 1 << 14
 
 
 def numbered(df: DataFrame, columns: list[str], digits: int = BUCKET_DIGITS) -> DataFrame:
@@ -31,8 +32,11 @@ def numbered(df: DataFrame, columns: list[str], digits: int = BUCKET_DIGITS) ->
                           F.sum("n").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
     inside = Window.partitionBy("bucket").orderBy(*columns).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = counted.withColumn("upto", F.sum("copies").over(inside)).join(offsets, "bucket")
-    start = F.col("offset") + F.col("upto") - F.col("copies")
-    return placed.select(*columns, "total", F.explode(F.sequence(start, start + F.col("copies") - 1)).alias("number"))
+    end = F.col("offset") + F.col("upto") - 1
+    # rows repeated in full are listed in runs of at most RUN, and the runs spread, so no array or task grows with the copies
+    runs = placed.select(*columns, "total", end.alias("end"), F.explode(
+        F.sequence(end - F.col("copies") + 1, end, F.lit(RUN).cast("long"))).alias("low")).repartition("low")
+    return runs.select(*columns, "total", F.explode(F.sequence(F.col("low"), F.least(F.col("low") + RUN - 1, F.col("end")))).alias("number"))
 
 
 def shards(docs: DataFrame, n_shards: int = 8, seed: str = "shuffle-1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -137,6 +137,16 @@ def test_shards(docs_of, sample):
     assert sharding.shards(docs_of([])).collect() == []
 
 
+def test_runs_of_numbers_and_slots(docs_of, sample, monkeypatch):
+    whole = mixing.mix(docs_of(sample)).collect()
+    rows = [(7, "é")] * 50 + [(i, t) for i, t, _ in sample]
+    want = Counter(map(tuple, sharding.shards(docs_of(rows)).collect()))
+    monkeypatch.setattr(sharding, "RUN", 4)
+    monkeypatch.setattr(mixing, "RUN", 4)
+    assert Counter(map(tuple, sharding.shards(docs_of(rows)).collect())) == want
+    assert Counter(map(tuple, mixing.mix(docs_of(sample)).collect())) == Counter(map(tuple, whole))
+
+
 def water(sizes, weights=(3, 1, 2), share=1.5, most=2):
     order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     w = {s: weights[k % 3] for k, s in enumerate(order)}
