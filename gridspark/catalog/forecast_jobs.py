@@ -595,7 +595,7 @@ def _(v):
     return E.run_summary(rows)
 
 
-_REPS = 200
+_REPS = 2000
 _DRAWS = f"""days AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS pos FROM (SELECT DISTINCT day FROM quant)),
     picks AS MATERIALIZED (SELECT r.r AS replicate, CAST('0x' || substr(md5(r.r || '-' || k.pos), 1, 8) AS BIGINT) % c.n AS pos
                            FROM range({_REPS}) r(r), days k, (SELECT count(*) AS n FROM days) c),

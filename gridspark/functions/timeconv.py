@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.constants import LOCAL_TZ, SPLITS
-from gridspark.functions.zones import by_year, contains, in_range, summer_calendar
+from gridspark.functions.zones import SummerCalendar, by_year, contains, in_range, out_of_range, summer_calendar
 
 
 def col(c: Column | str) -> Column:
@@ -59,9 +59,36 @@ def interval_seconds(delta: Column) -> Column:
 
 
 # ---------------------------------------------------------------- zone conversion
+# The built-in resolves the zone for every row; it serves zones and years without a lookup.
+def _zone_local(ts: Column, tz: str) -> Column:
+    return F.convert_timezone(F.lit("UTC"), F.lit(tz), ts)
+
+
+def _zone_ambiguous(local: Column, tz: str) -> Column:
+    first = F.convert_timezone(F.lit(tz), F.lit("UTC"), local)
+    return (_zone_local(first, tz) == local) & (_zone_local(first + hours(1), tz) == local)
+
+
+def _zone_utc(local: Column, repeated: Column | None, tz: str) -> Column:
+    first = F.convert_timezone(F.lit(tz), F.lit("UTC"), local)
+    out = F.when(_zone_local(first, tz) != local, floor_hours(first)).otherwise(first)
+    return out if repeated is None else F.when(repeated & _zone_ambiguous(local, tz), first + hours(1)).otherwise(out)
+
+
+def _zone_repeated(ts: Column, tz: str) -> Column:
+    before = ts - hours(1)
+    now_local, before_local = _zone_local(ts, tz), _zone_local(before, tz)
+    return ((now_local - ts) < (before_local - before)) & (F.hour(now_local) == F.hour(before_local))
+
+
+def _zone_hours(day: Column, tz: str) -> Column:
+    midnight = lambda d: _zone_utc(d.cast("timestamp_ntz"), None, tz)
+    return (interval_minutes(midnight(F.date_add(day, 1)) - midnight(day)) / 60).cast("int")
+
+
 def utc_to_local(ts: Column | str, tz: str = LOCAL_TZ) -> Column:
     ts = col(ts)
-    slow = F.convert_timezone(F.lit("UTC"), F.lit(tz), ts)
+    slow = _zone_local(ts, tz)
     cal = summer_calendar(tz)
     if cal is None:
         return slow
@@ -76,47 +103,46 @@ def local_to_utc(local: Column | str, repeated: Column | None = None, tz: str =
     times inside a spring gap move forward to the end of the gap."""
     local = col(local)
     cal = summer_calendar(tz)
+    slow = _zone_utc(local, repeated, tz)
     if cal is None:
-        first = F.convert_timezone(F.lit(tz), F.lit("UTC"), local)
-        out = F.when(utc_to_local(first, tz) != local, floor_hours(first)).otherwise(first)
-        if repeated is not None:
-            out = F.when(repeated & is_ambiguous(local, tz), first + hours(1)).otherwise(out)
-        return out
+        return slow
     y = F.year(local)
     gap_start = by_year([t + cal.standard for t in cal.starts], y)
     gap_end = by_year([t + cal.summer for t in cal.starts], y)
     back = by_year([t + cal.summer for t in cal.ends], y)
     summer = (local >= gap_start) & (local < back)
     if repeated is not None:
-        summer = summer & ~(F.coalesce(repeated, F.lit(False)) & is_ambiguous(local, tz))
+        summer = summer & ~(F.coalesce(repeated, F.lit(False)) & _ambiguous_by_year(local, cal))
     fast = (F.when((local >= gap_start) & (local < gap_end), by_year(cal.starts, y))
             .otherwise(local - F.when(summer, F.lit(cal.summer)).otherwise(F.lit(cal.standard))))
-    return F.when(in_range(y), fast).otherwise(F.convert_timezone(F.lit(tz), F.lit("UTC"), local))
+    return F.when(in_range(y), fast).otherwise(slow)
+
+
+def _ambiguous_by_year(local: Column, cal: SummerCalendar) -> Column:
+    y = F.year(local)
+    return F.coalesce((local >= by_year([t + cal.standard for t in cal.ends], y))
+                      & (local < by_year([t + cal.summer for t in cal.ends], y)), F.lit(False))
 
 
 def is_ambiguous(local: Column | str, tz: str = LOCAL_TZ) -> Column:
     """True for wall times that happen twice."""
     local = col(local)
     cal = summer_calendar(tz)
-    if cal is None:
-        first = F.convert_timezone(F.lit(tz), F.lit("UTC"), local)
-        return (utc_to_local(first, tz) == local) & (utc_to_local(first + hours(1), tz) == local)
-    y = F.year(local)
-    return F.coalesce((local >= by_year([t + cal.standard for t in cal.ends], y))
-                      & (local < by_year([t + cal.summer for t in cal.ends], y)), F.lit(False))
+    slow = _zone_ambiguous(local, tz)
+    return slow if cal is None else F.when(out_of_range(F.year(local)), slow).otherwise(_ambiguous_by_year(local, cal))
 
 
 def is_repeated_hour(ts: Column | str, tz: str = LOCAL_TZ) -> Column:
     """True when the clock went back within the last hour and this wall hour already happened."""
     ts = col(ts)
     cal = summer_calendar(tz)
-    if cal is not None:
-        y = F.year(ts)
-        shift = cal.summer - cal.standard
-        return F.coalesce((ts >= by_year(cal.ends, y)) & (ts < by_year([t + shift for t in cal.ends], y)), F.lit(False))
-    before = ts - hours(1)
-    now_local, before_local = utc_to_local(ts, tz), utc_to_local(before, tz)
-    return ((now_local - ts) < (before_local - before)) & (F.hour(now_local) == F.hour(before_local))
+    slow = _zone_repeated(ts, tz)
+    if cal is None:
+        return slow
+    y = F.year(ts)
+    shift = cal.summer - cal.standard
+    fast = F.coalesce((ts >= by_year(cal.ends, y)) & (ts < by_year([t + shift for t in cal.ends], y)), F.lit(False))
+    return F.when(out_of_range(y), slow).otherwise(fast)
 
 
 def midnight_utc(day: Column | str, tz: str = LOCAL_TZ) -> Column:
@@ -126,17 +152,19 @@ def midnight_utc(day: Column | str, tz: str = LOCAL_TZ) -> Column:
 def hours_in_day(day: Column | str, tz: str = LOCAL_TZ) -> Column:
     day = col(day)
     cal = summer_calendar(tz)
-    if cal is not None:
-        shift = int((cal.summer - cal.standard).total_seconds() // 3600)
-        spring, autumn = contains(cal.spring_days, day), contains(cal.autumn_days, day)
-        return 24 - shift * spring.cast("int") + shift * autumn.cast("int")
-    return (interval_minutes(midnight_utc(F.date_add(day, 1), tz) - midnight_utc(day, tz)) / 60).cast("int")
+    slow = _zone_hours(day, tz)
+    if cal is None:
+        return slow
+    shift = int((cal.summer - cal.standard).total_seconds() // 3600)
+    spring, autumn = contains(cal.spring_days, day), contains(cal.autumn_days, day)
+    return F.when(out_of_range(F.year(day)), slow).otherwise(24 - shift * spring.cast("int") + shift * autumn.cast("int"))
 
 
 def is_change_day(day: Column | str, tz: str = LOCAL_TZ) -> Column:
-    """One reference to `day`: as a filter this is pushed below aggregates, where the day is a longer expression."""
-    cal = summer_calendar(tz)
-    return contains(cal.spring_days + cal.autumn_days, col(day)) if cal else hours_in_day(day, tz) != 24
+    """Few references to `day`: as a filter this is pushed below aggregates, where the day is a longer expression."""
+    cal, day = summer_calendar(tz), col(day)
+    slow = _zone_hours(day, tz) != 24
+    return F.when(out_of_range(F.year(day)), slow).otherwise(contains(cal.spring_days + cal.autumn_days, day)) if cal else slow
 
 
 def cutoff_utc(day: Column | str, tz: str = LOCAL_TZ) -> Column:

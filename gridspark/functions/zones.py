@@ -75,6 +75,10 @@ def in_range(year: Column) -> Column:
     return year.between(FIRST_YEAR, LAST_YEAR)
 
 
+def out_of_range(year: Column) -> Column:
+    return ~in_range(year)
+
+
 def _folded(values) -> Column:
     """The list travels as one text literal that the optimizer folds to an array."""
     kind = "timestamp_ntz" if isinstance(values[0], dt.datetime) else "date"

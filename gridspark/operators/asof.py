@@ -1,8 +1,8 @@
 """As-of lookups without a range join.
 
 Daily cutoffs: every instant belongs to exactly one "next cutoff", so the right side shrinks to one row per key and
-day (combined map-side) before anything is matched. Arbitrary instants: rows are matched inside (key, day) groups and
-the last value of earlier days is carried in from a per-day summary, so no group spans a key's whole history.
+day (combined map-side) before anything is matched. Arbitrary instants: rows are matched inside groups of a key and some
+minutes, and the last value of earlier groups is carried in from their summary, so no group spans a key's whole history.
 """
 
 from __future__ import annotations
@@ -57,29 +57,31 @@ def select_vintages(posts: DataFrame, days: DataFrame, max_age_days: int = 6) ->
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str],
-              strict: bool = False, max_age_minutes: int | None = None, tie: list[str] | None = None) -> DataFrame:
+              strict: bool = False, max_age_minutes: int | None = None, tie: list[str] | None = None, bucket_minutes: int = 15) -> DataFrame:
     """For every left row the latest right row at or before (strict: before) its time, per key.
 
-    Adds `values` and the matched `right_time`; left rows without a match keep nulls."""
+    Adds `values` and the matched `right_time`; left rows without a match keep nulls. Rows are sorted per key and bucket of
+    `bucket_minutes`, so a busy key and day is spread over many tasks."""
     tie = tie or []
     row = F.struct(F.col(right_time).alias("_t"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(tie)],
                    *[F.col(c).alias(f"_v{i}") for i, c in enumerate(values)])
-    r = right.filter(F.col(right_time).isNotNull()).select(*by, F.to_date(right_time).alias("_day"), row.alias("_row"))
+    r = right.filter(F.col(right_time).isNotNull()).select(*by, T.floor_minutes(right_time, bucket_minutes).alias("_bucket"), row.alias("_row"))
     row_type = r.schema["_row"].dataType
-    l = left.withColumns({"_day": F.to_date(left_time), "_at": F.col(left_time)})
+    l = left.withColumns({"_bucket": T.floor_minutes(left_time, bucket_minutes), "_at": F.col(left_time)})
     # at equal times a right row sorts before the left row it may match, after it when strict
     both = (l.withColumns({"_row": F.lit(None).cast(row_type), "_side": F.lit(1)})
             .unionByName(r.withColumns({"_at": F.col("_row")["_t"], "_side": F.lit(2 if strict else 0)}),
                          allowMissingColumns=True))
-    w = (Window.partitionBy(*by, "_day").orderBy("_at", "_side", *[F.col("_row")[f"_k{i}"] for i in range(len(tie))])
+    w = (Window.partitionBy(*by, "_bucket").orderBy("_at", "_side", *[F.col("_row")[f"_k{i}"] for i in range(len(tie))])
          .rowsBetween(Window.unboundedPreceding, 0))
     inside = both.withColumn("_hit", F.last("_row", ignorenulls=True).over(w)).filter(F.col("_side") == 1)
-    ends = r.groupBy(*by, "_day").agg(F.max("_row").alias("_end"))
-    days = (ends.unionByName(l.select(*by, "_day").distinct().withColumn("_end", F.lit(None).cast(row_type)))
-            .groupBy(*by, "_day").agg(F.max("_end").alias("_end")))
-    before = Window.partitionBy(*by).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    carry = days.select(*by, "_day", F.last("_end", ignorenulls=True).over(before).alias("_carry"))
-    out = inside.join(carry, [*by, "_day"], "left").withColumn("_hit", F.coalesce("_hit", "_carry"))
+    ends = r.groupBy(*by, "_bucket").agg(F.max("_row").alias("_end"))
+    steps = (ends.unionByName(l.select(*by, "_bucket").distinct().withColumn("_end", F.lit(None).cast(row_type)))
+            .groupBy(*by, "_bucket").agg(F.max("_end").alias("_end")))
+    # one row per key and bucket is left, so a key's group is bounded by the calendar
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = steps.select(*by, "_bucket", F.last("_end", ignorenulls=True).over(before).alias("_carry"))
+    out = inside.join(carry, [*by, "_bucket"], "left").withColumn("_hit", F.coalesce("_hit", "_carry"))
     if max_age_minutes is not None:
         fresh = F.col("_hit")["_t"] >= F.col(left_time) - T.minutes(max_age_minutes)
         out = out.withColumn("_hit", F.when(fresh, F.col("_hit")))

@@ -73,8 +73,9 @@ def json_text(text: Column | str) -> Column:
 
 
 def balanced(json: Column) -> Column:
-    """JSON readers accept a trailing brace; a strict reader does not."""
-    count = lambda ch: F.length(json) - F.length(F.replace(json, F.lit(ch), F.lit("")))
+    """JSON readers accept a trailing brace; a strict reader does not. Braces inside strings do not count."""
+    bare = F.regexp_replace(json, r'"(?:\\.|[^"\\])*+"', '""')
+    count = lambda ch: F.length(bare) - F.length(F.replace(bare, F.lit(ch), F.lit("")))
     return (count("{") == count("}")) & (count("[") == count("]"))
 
 

@@ -23,11 +23,15 @@ def task_rows(answers: DataFrame, template: str, params: list[str], answer: str)
 
 
 def pick_tasks(tasks: DataFrame, per_template: int, seed: str, by: list[str] | None = None) -> DataFrame:
-    """Up to n distinct tasks per template (and split) in hash order; the bound is applied before the shuffle."""
+    """Up to n distinct tasks per template (and split) in hash order; the bound is applied before the shuffle.
+
+    Of rows that share a task id the smallest by its other columns stays."""
+    rest = [c for c in tasks.columns if c != "task_id"]
+    single = tasks.groupBy("task_id").agg(F.min(F.struct(*rest)).alias("_r")).select("task_id", "_r.*").select(*tasks.columns)
     keys = by or ["template_id"]
     order = hash_order(seed, F.col("task_id"))
     w = Window.partitionBy(*keys).orderBy(order, "task_id")
-    return (tasks.dropDuplicates(["task_id"]).withColumn("_rn", F.row_number().over(w))
+    return (single.withColumn("_rn", F.row_number().over(w))
             .filter(F.col("_rn") <= per_template).drop("_rn"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gridspark.constants import PEAK_HOURS, QUANTILES, WEATHER_MODELS, WEATHER_POINTS, WEATHER_VARIABLES, ZONE_LABEL
 from gridspark.functions import stats as S
 from gridspark.functions import timeconv as T
-from gridspark.operators.reshape import model_stats, models_to_columns, recode, row_stats
+from gridspark.operators.reshape import recode, row_stats
 
 KEY = ["zone", "operating_date", "hour_ending"]
 WEATHER_COLUMNS = list(WEATHER_VARIABLES.values())
@@ -41,19 +41,25 @@ def vintage_long(selection: DataFrame, documents: DataFrame) -> DataFrame:
 def forecast_frame(vintage: DataFrame, models: list[str]) -> DataFrame:
     """In-use forecast, spread over all models, revision since the prior vintage, per-model deviation."""
     rows = vintage.filter(~F.col("repeated_hour"))
-    dam, prev = rows.filter(F.col("vintage") == "dam"), rows.filter(F.col("vintage") == "prev")
-
-    def in_use(df: DataFrame) -> DataFrame:
-        first = F.min_by(F.struct("forecast", "model"), "model")
-        return (df.filter(F.col("in_use") & F.col("forecast").isNotNull()).groupBy(*KEY)
-                .agg(first.alias("_f"), F.max("publish_time").alias("_p")))
-
-    now = in_use(dam).select(*KEY, F.col("_f.forecast").alias("fc_inuse"), F.col("_f.model").alias("inuse_model"),
-                             F.col("_p").alias("fc_publish_utc"))
-    before = in_use(prev).select(*KEY, F.col("_f.forecast").alias("fc_prev"), F.col("_p").alias("prev_publish_utc"))
-    stats = model_stats(dam, KEY, "forecast").drop("fc_mean")
-    wide = models_to_columns(dam, KEY, models, "forecast", prefix="_m_")
-    out = now.join(stats, KEY, "left").join(before, KEY, "left").join(wide, KEY, "left")
+
+    def per_model_parts(name: str) -> list[Column]:
+        live = (F.col("vintage") == name) & F.col("in_use") & F.col("forecast").isNotNull()
+        return [F.min(F.when(live, F.col("forecast"))).alias(f"{name}_f"), F.max(F.when(live, F.col("publish_time"))).alias(f"{name}_p")]
+
+    per_model = rows.groupBy(*KEY, "model").agg(
+        F.avg(F.when(F.col("vintage") == "dam", F.col("forecast"))).alias("_v"), *per_model_parts("dam"), *per_model_parts("prev"))
+
+    def first(name: str) -> Column:
+        # the first model by name that is in use
+        return F.min_by(F.struct(F.col(f"{name}_f").alias("f"), "model"), F.when(F.col(f"{name}_f").isNotNull(), F.col("model")))
+
+    both = per_model.groupBy(*KEY).agg(
+        first("dam").alias("_now"), F.max("dam_p").alias("fc_publish_utc"), first("prev").alias("_before"), F.max("prev_p").alias("prev_publish_utc"),
+        F.count("_v").alias("n_models"), F.min("_v").alias("fc_min"), F.max("_v").alias("fc_max"), F.stddev_samp("_v").alias("fc_std"),
+        F.percentile("_v", F.lit(0.5)).alias("fc_median"), *[F.max(F.when(F.col("model") == m, F.col("_v"))).alias(f"_m_{m}") for m in models])
+    out = both.filter(F.col("_now").isNotNull()).select(
+        *KEY, F.col("_now.f").alias("fc_inuse"), F.col("_now.model").alias("inuse_model"), "fc_publish_utc", "n_models", "fc_min", "fc_max", "fc_std",
+        "fc_median", F.col("_before.f").alias("fc_prev"), "prev_publish_utc", *[f"_m_{m}" for m in models])
     return out.withColumns({
         **{f"dev_{m}": F.col(f"_m_{m}") - F.col("fc_inuse") for m in models},
         "fc_range": F.col("fc_max") - F.col("fc_min"),

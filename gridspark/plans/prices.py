@@ -5,7 +5,7 @@ Every job takes interval frames with the standard time columns and answers for a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.constants import PRICE_THRESHOLDS
@@ -165,7 +165,8 @@ def share_above_market(rt: DataFrame, da: DataFrame) -> DataFrame:
 def year_over_year(da: DataFrame, floor: float = 1.0) -> DataFrame:
     """Percent change of the monthly average against the same month a year earlier."""
     now = da.groupBy("point", F.trunc("operating_date", "MM").alias("_m")).agg(F.avg("price").alias("new_avg"))
-    old = now.select("point", F.add_months("_m", 12).alias("_m"), F.col("new_avg").alias("old_avg"))
-    both = now.join(old, ["point", "_m"]).filter(F.abs("old_avg") >= floor)
+    # one row per point and month is left, so a point's group is bounded by the calendar
+    year_ago = Window.partitionBy("point").orderBy(F.year("_m") * 12 + F.month("_m")).rangeBetween(-12, -12)
+    both = now.withColumn("old_avg", F.max("new_avg").over(year_ago)).filter(F.abs("old_avg") >= floor)
     return both.select("point", T.month_key("_m").alias("month"),
                        ((F.col("new_avg") - F.col("old_avg")) / F.col("old_avg") * 100).alias("change_pct"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.constants import INVALID_REWARD, QUANTILES, REWARDS, UNORDERED_PENALTY
+from gridspark.constants import INVALID_REWARD, LOCAL_TZ, QUANTILES, REWARDS, UNORDERED_PENALTY
 from gridspark.functions import stats as S
 from gridspark.functions import timeconv as T
 from gridspark.functions.timeconv import col
@@ -97,7 +97,8 @@ def as_minute(v: Column, tz: Column) -> Column:
                                                    + F.substring(digits, 3, 2).try_cast("int"))).otherwise(0)
     has_zone = F.length(zone) > 0
     utc = naive - T.minutes(F.coalesce(offset, F.lit(0)))
-    local = F.when(tz == "UTC", utc).otherwise(T.utc_to_local(utc))
+    tz = F.coalesce(tz, F.lit(LOCAL_TZ))
+    local = F.when(tz == "UTC", utc).when(tz == LOCAL_TZ, T.utc_to_local(utc)).otherwise(F.convert_timezone(F.lit("UTC"), tz, utc))
     return T.floor_minutes(F.when(has_zone, local).otherwise(naive), 1)
 
 

@@ -14,8 +14,7 @@ def localize_post_times(df: DataFrame, local: str, order: str, tz: str = LOCAL_T
     standard time. Only posts inside repeated hours (one hour a year) are grouped to find their first."""
     hour = T.floor_hours(local)
     first = (df.filter(T.is_ambiguous(local, tz)).groupBy(hour.alias("_hour")).agg(F.min(order).alias("_first")))
-    # at most one row per year, so the join side is small by construction
-    out = df.withColumn("_hour", hour).join(F.broadcast(first), "_hour", "left")
+    out = df.withColumn("_hour", hour).join(first, "_hour", "left")
     repeated = F.col(order) != F.col("_first")
     return out.withColumn("post_time_utc", T.local_to_utc(local, repeated, tz)).drop("_hour", "_first")
 

@@ -13,22 +13,29 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _months(spark: SparkSession, path: str) -> list[str]:
+    """Labels of the month folders under a path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [s.getPath().getName() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)] if _exists(spark, path) else []
+    return sorted(n.removeprefix("month=") for n in names if n.startswith("month="))
+
+
 def write_months(df: DataFrame, path: str, overwrite_months: list[str] | None = None, column: str = "start_local") -> list[str]:
     """One partition per local month. Months already written stay as they are unless listed; returns those written.
 
-    Only month labels (bounded by the calendar) ever reach the driver."""
+    Month labels come from the folder names; a large month is split by size at run time. Only listed months that were already
+    there are looked for in the input apart from the write."""
     spark = df.sparkSession
     rows = df.withColumn("month", T.month_key(column))
-    if _exists(spark, path):
-        settled = [r["month"] for r in spark.read.parquet(path).select(F.col("month").cast("string")).distinct().collect()]
-        keep = [m for m in settled if m not in (overwrite_months or [])]
-        if keep:
-            rows = rows.filter(~F.col("month").isin(keep))
-    written = sorted(r["month"] for r in rows.select("month").distinct().collect())
-    if written:
-        (rows.repartition("month", F.pmod(F.hash(*df.columns), F.lit(16))).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path))
-    return written
+    settled = _months(spark, path)
+    again = [m for m in settled if m in (overwrite_months or [])]
+    keep = [m for m in settled if m not in again]
+    if keep:
+        rows = rows.filter(~F.col("month").isin(keep))
+    redone = [r["month"] for r in rows.filter(F.col("month").isin(again)).select("month").distinct().collect()] if again else []
+    (rows.hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("month").parquet(path))
+    return sorted({*redone, *_months(spark, path)} - set(keep) - (set(again) - set(redone)))
 
 
 def recent_months(today, n: int = 2) -> list[str]:
@@ -45,10 +52,16 @@ def build_table(df: DataFrame, path: str, sort_keys: list[str], partitions: int
     ranged.sortWithinPartitions(*sort_keys).write.mode("overwrite").parquet(staging)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = jvm_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(jvm_path(path)):
-        fs.delete(jvm_path(path), True)
-    if not fs.rename(jvm_path(staging), jvm_path(path)):
+    here, old = jvm_path(path), jvm_path(path.rstrip("/") + "__replaced")
+    fs.delete(old, True)
+    held = fs.exists(here)
+    if held and not fs.rename(here, old):
+        raise OSError(f"could not set {path} aside")
+    if not fs.rename(jvm_path(staging), here):
+        if held:
+            fs.rename(old, here)
         raise OSError(f"could not move {staging} to {path}")
+    fs.delete(old, True)
 
 
 def write_json_lines(df: DataFrame, path: str, by: list[str], order: str) -> None:

@@ -75,3 +75,9 @@ def test_report_smoke(spark):
     o = out["overall"]
     assert (o.tasks, o.samples, o.k_min, o.pass_10, o.total_cost_usd) == (2, 10, 5, None, None)
     assert o.pass_1 == pytest.approx(0.6) and o.pass_5 == 1.0 and o.consistency == 0.5
+
+
+def test_answer_times_follow_the_answers_zone(spark):
+    rows = spark.createDataFrame([("2024-07-01 12:00:00Z", "Europe/Berlin"), ("2024-07-01 12:00:00Z", "UTC"), ("2024-07-01 12:00:00Z", None)], "t string, tz string")
+    got = [str(r.m) for r in rows.select(M.as_minute(F.col("t"), F.col("tz")).alias("m")).collect()]
+    assert got == ["2024-07-01 14:00:00", "2024-07-01 12:00:00", "2024-07-01 07:00:00"]

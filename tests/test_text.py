@@ -161,3 +161,9 @@ def test_nothing_is_cut_by_length(spark):
     assert got == [("FXUS64 KHGX 161134", "body one"), ("FXUS64 KEWX 161200", "body two")]
     text = "word " * 1000
     assert value(spark, text, N.clean_text) == text.strip()
+
+
+def test_braces_inside_strings(spark):
+    from gridspark.plans.answers import balanced
+    rows = spark.createDataFrame([('{"a": "}{{", "b": [1]}',), ('{"a": "\\"}"}',), ('{"a": 1}}',), ('{"a": [1}',)], "j string")
+    assert [r.ok for r in rows.select(balanced(F.col("j")).alias("ok")).collect()] == [True, True, False, False]

@@ -121,3 +121,14 @@ def test_spines(spark):
     assert fixed == [(d(2024, 1, 1), d(2024, 7, 1)), (d(2024, 7, 2), d(2024, 8, 1))]
     assert [r.year for r in spines.years(spark, 2022, d(2024, 1, 2)).collect()] == [2022, 2023, 2024]
     assert spines.month_starts(spark, d(2024, 1, 5), d(2024, 3, 1)).count() == 3
+
+
+def test_years_beyond_the_lookup(spark):
+    rows = spark.createDataFrame([("2105-11-01 01:30", False), ("2105-11-01 01:30", True), ("2105-03-08 02:30", False), ("1960-01-01 12:00", False)],
+                                 "s string, again boolean").select(F.col("s").cast("timestamp_ntz").alias("at"), "again")
+    got = rows.select(T.local_to_utc("at", F.col("again")).alias("utc"), T.is_ambiguous("at").alias("twice"),
+                      T.hours_in_day(F.to_date("at")).alias("hours")).collect()
+    assert [str(r.utc) for r in got] == ["2105-11-01 06:30:00", "2105-11-01 07:30:00", "2105-03-08 08:00:00", "1960-01-01 18:00:00"]
+    assert [r.twice for r in got] == [True, True, False, False] and [r.hours for r in got] == [25, 25, 23, 24]
+    back = spark.createDataFrame([("2105-11-01 06:30",), ("2105-11-01 07:30",)], "s string").select(T.is_repeated_hour(F.col("s").cast("timestamp_ntz")).alias("r"))
+    assert [r.r for r in back.collect()] == [False, True]
