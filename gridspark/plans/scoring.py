@@ -60,13 +60,14 @@ def zone_reward_scale(examples: DataFrame, is_train: Column) -> DataFrame:
 def score_completions(parsed: DataFrame, baseline: DataFrame) -> DataFrame:
     """Score parsed completions. parsed: id, parse_ok, reordered, hours map he -> (p10, p50, p90);
     baseline: id, he, base quantiles, y. Unparsed rows keep null model scores."""
-    flat = parsed.select("id", "parse_ok", "reordered", F.explode_outer("hours").alias("hour_ending", "_q"))
-    rows = baseline.select("id", "hour_ending", "y", *[F.col(q).alias(f"b_{q}") for q in Q]).join(
-        flat.select("id", "hour_ending", *[F.col("_q")[q].alias(q) for q in Q]), ["id", "hour_ending"], "left")
-    sums = rows.groupBy("id").agg(
+    # an id has a few hours, so its baseline folds to one row and the answers are read once
+    hourly = baseline.groupBy("id").agg(F.collect_list(F.struct("hour_ending", "y", *[F.col(q).alias(f"b_{q}") for q in Q])).alias("_rows"))
+    given = F.try_element_at("hours", F.col("_r.hour_ending").cast("int"))
+    rows = parsed.join(hourly, "id").select("id", "parse_ok", "reordered", "hours", F.explode("_rows").alias("_r")).select(
+        "id", "parse_ok", "reordered", "_r.*", *[given[q].alias(q) for q in Q])
+    out = rows.groupBy("id", "parse_ok", "reordered").agg(
         F.avg(S.quantile_loss("y")).alias("pinball"), F.avg(S.quantile_loss("y", "b_")).alias("baseline_pinball"),
         F.avg(S.covered("y")).alias("covered"), F.avg(F.col("p90") - F.col("p10")).alias("width"))
-    out = sums.join(parsed.select("id", "parse_ok", "reordered"), "id")
     reward = percentile_reward(F.col("pinball"), F.col("baseline_pinball"), F.col("parse_ok"), F.col("reordered"))
     blank = lambda c: F.when(F.col("parse_ok"), F.col(c)).alias(c)
     return out.select("id", reward.alias("reward"), "parse_ok", blank("pinball"), "baseline_pinball", blank("covered"), blank("width"))
