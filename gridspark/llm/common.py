@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SALTS = 16
+
 _own: dict[str, str] = {}
 
 
@@ -56,6 +58,17 @@ def row_key(*columns: str) -> Column:
     return F.md5(F.concat_ws("|", *parts).cast("binary"))
 
 
+def join_spread(rows: DataFrame, found: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Join what was found per text (one row per key) to all rows with that text.
+
+    One text may be that of a third of all rows, so rows are dealt over SALTS parts by their position in the scan, and the
+    rows of `found`, which are only those of texts with a find, are repeated for each part.
+    """
+    dealt = rows.withColumn("__salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
+    repeated = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(repeated, [key, "__salt"], how).drop("__salt")
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
     """(node, component) with the smallest node reachable, for every node of the links.
 

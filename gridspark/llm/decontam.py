@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import row_key, written
+from gridspark.llm.common import join_spread, row_key, written
 from gridspark.llm.textvec import ALNUM_WORDS, Texts, Words, slices
 
 WINDOW = 10
@@ -156,7 +156,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     covered = spans.groupBy("key").agg(F.sum(F.greatest(F.col("end") - F.greatest("start", "done"), F.lit(0))).alias("n_hit"))
     named = hits.select("key", F.explode("items").alias("item")).groupBy("key").agg(F.collect_set("item").alias("items"))
     none = F.array().cast("array<string>")
-    out = scanned.select("i", "key", "n_words").join(covered.join(named, "key", "left"), "key", "left")
+    out = join_spread(scanned.select("i", "key", "n_words"), covered.join(named, "key", "left"), "key")
     return out.select(F.col("i").alias(id_col), "key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                       F.size(F.coalesce("items", none)).cast("long").alias("n_items"), _sorted_hex(F.coalesce("items", none)).alias("items_sha256"),
                       (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
@@ -165,4 +165,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents without a benchmark window, with all their columns."""
     hit = contamination(docs, benchmark, text_col=text_col, **options).filter("contaminated").select(F.col("key").alias("__key")).distinct()
-    return docs.withColumn("__key", row_key(text_col)).join(hit, "__key", "left_anti").select(*docs.columns)
+    return join_spread(docs.withColumn("__key", row_key(text_col)), hit, "__key", "left_anti").select(*docs.columns)
