@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import row_key, written
+from gridspark.llm.common import join_spread, row_key, written
 from gridspark.llm.textvec import ALNUM_WORDS, Texts, gram_hash, slices
 
 GRAM = 4
@@ -127,7 +127,7 @@ def scan(docs: DataFrame, templates: list = TEMPLATES, phrases: list = PHRASES,
     scanned = written(_hits(docs, templates, phrases, gram, id_col, text_col), "licenses")
     voted = spans(scanned, templates, gram, slack, cover).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
     none = F.array().cast("array<string>")
-    out = scanned.drop("hits").join(voted, "key", "left")
+    out = join_spread(scanned.drop("hits"), voted, "key")
     return out.select(
         F.col("i").alias(id_col), "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("base", F.coalesce("more", none))), ",").alias("labels"),
