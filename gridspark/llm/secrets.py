@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import row_key, written
+from gridspark.llm.common import join_spread, row_key, written
 
 SCOPE = 256
 
@@ -99,6 +99,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     linked = linked.groupBy("key").agg(F.collect_list(F.struct("s", "rank", "e", "kind")).alias("weak"))
     strong = F.transform(tagged(STRONG), lambda x: F.struct(x["s"], x["rank"], x["e"], x["kind"]))
     out = rows.select("i", "key", *(F.size(f"k_{k}").cast("long").alias(f"n_{k}") for k in STRONG), strong.alias("strong"))
-    return out.join(linked, "key", "left").select(
+    return join_spread(out, linked, "key").select(
         F.col("i").alias(id_col), "n_assign", "n_access", "n_hex", F.sha2(_listed(F.col("strong")).cast("binary"), 256).alias("base_sha256"),
         _listed(F.when(F.col("weak").isNull(), F.col("strong")).otherwise(F.concat("strong", "weak"))).alias("spans"))
