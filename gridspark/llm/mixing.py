@@ -5,7 +5,8 @@ sources' targets are shares of `share` times all words by weight, none above `mo
 reshared by weight. Each output shard draws how many slots it gives each source: multinomial draws over the shards,
 conditioned on the source's total, so the sum keeps the target. Slot k of a source reads block perm(k mod blocks), where
 perm is a Feistel permutation of the source's block numbers; the last slot takes only the words still wanted. Slots
-and documents meet in one equi-join on (source, block).
+and documents meet in one equi-join on (source, block). Slots are numbered by source, shard after shard, so every slot
+belongs to one output shard; `mix` returns the shard, the slot and its words with each document.
 
 Bounds: only rows with one line per source, per (source, bucket) and per (source, output shard) pass through small windows
 or a single sort; streams of any length are numbered in buckets, and a hot source's blocks and slots are spread by block
@@ -121,7 +122,7 @@ def slots(plan: DataFrame, block: int = BLOCK, output_shards: int = OUTPUT_SHARD
 
 
 def pieces(sizes: DataFrame, plan: DataFrame, block: int = BLOCK, output_shards: int = OUTPUT_SHARDS, seed: str = SEED) -> DataFrame:
-    """What the mix reads of each document: uid, turn, and the words first..last (exclusive) of the document."""
+    """What the mix reads of each document: uid, output shard, slot, turn, and the words first..last (exclusive) of the document."""
     end = F.col("at") + F.col("size")
     cut = streams(sizes).withColumn("block", F.explode(F.sequence(
         F.floor(F.col("at") / block).cast("long"), F.floor((end - 1) / block).cast("long")))).alias("d")
@@ -130,18 +131,22 @@ def pieces(sizes: DataFrame, plan: DataFrame, block: int = BLOCK, output_shards:
     both = cut.join(taken, F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.block") == F.col("t.block")))
     low = F.greatest(F.col("d.block") * block, F.col("at"))
     high = F.least(F.col("d.block") * block + F.col("words"), end)
-    return both.select("uid", "turn", (low - F.col("at")).alias("first"), (high - F.col("at")).alias("last")).filter("last > first")
+    return both.select("uid", "shard", "slot", "turn", (low - F.col("at")).alias("first"), (high - F.col("at")).alias("last")).filter("last > first")
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: int = 2, block: int = BLOCK, output_shards: int = OUTPUT_SHARDS,
         seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """id, size, source_size, target, taken of every row."""
+    """id, size, source_size, target, taken, reads of every row; `reads` lists shard:slot:words of each slot that reads it, by slot."""
     sizes = written(word_counts(docs, id_col, text_col, source_col), "sizes")
     plan = targets(sizes, weights, share, most)
-    got = pieces(sizes, plan, block, output_shards, seed).groupBy("uid").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
+    words = F.col("last") - F.col("first")
+    got = pieces(sizes, plan, block, output_shards, seed).groupBy("uid").agg(
+        F.sum(words).alias("taken"), F.array_sort(F.collect_list(F.struct("slot", "shard", words.alias("words")))).alias("reads"))
+    reads = F.array_join(F.transform("reads", lambda x: F.concat_ws(":", x["shard"], x["slot"], x["words"])), ",")
     p = plan.select(F.col("source").alias("s2"), "source_size", "target")
     out = sizes.join(got, "uid", "left").join(p, F.col("source").eqNullSafe(F.col("s2")))
-    return out.select(F.col("i").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select(F.col("i").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+                      F.coalesce(reads, F.lit("")).alias("reads"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: int = 2, block: int = BLOCK,

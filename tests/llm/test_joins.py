@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from conftest import SF
 from llm.brute import SPACE, contamination, gapless, near_components
@@ -181,6 +182,30 @@ def test_mix(docs_of, sample):
     assert mixing.mix(docs_of([])).collect() == []
 
 
+@pytest.mark.parametrize(("block", "output_shards"), [(128, 64), (16, 5)])
+def test_mix_by_output_shard_has_the_drawn_counts(docs_of, sample, block, output_shards):
+    rows = [*sample, (900, None, "src0"), (901, "a b c", None)]
+    got = mixing.mix(docs_of(rows), block=block, output_shards=output_shards).collect()
+    source, sizes = {i: s for i, _, s in rows}, defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(SPACE.findall(t or ""))
+    slots = defaultdict(Counter)
+    for r in got:
+        reads = [tuple(map(int, x.split(":"))) for x in r.reads.split(",") if x]
+        assert sum(n for *_, n in reads) == r.taken and [x[1] for x in reads] == sorted({x[1] for x in reads})
+        for shard, slot, n in reads:
+            slots[source[r.doc_id]][shard, slot] += n
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None]
+    for rank, s in enumerate(order):
+        take = int(water(sizes)[s] + 0.5)
+        passes, rest = divmod(take, sizes[s])
+        n = passes * -(-sizes[s] // block) + -(-rest // block)
+        drawn = np.random.Generator(np.random.PCG64([int.from_bytes(b"mix-1", "big"), rank])).multinomial(n, [1 / output_shards] * output_shards)
+        shards = [shard for shard, _ in sorted(slots[s], key=lambda x: x[1])]
+        assert shards == [k for k in range(output_shards) for _ in range(drawn[k])] and gapless([x[1] for x in slots[s]])
+        assert sum(slots[s].values()) == take and max(slots[s].values()) <= block
+
+
 def test_mixed_documents_hold_the_words_taken(bare_docs, sample):
     rows = [*sample, (900, None, "src0"), (901, "a b c", None)]
     docs = bare_docs(rows)
