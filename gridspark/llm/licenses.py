@@ -3,8 +3,10 @@
 Every rolling k-gram of the words of every text is hashed on the workers; those whose hash occurs in a template (the
 template hashes are a small constant set, so nothing else can join) go on, the words compared first. Hits are Spark-joined
 to the template positions and counted per (text, template, diagonal), a diagonal being place in the text minus place in
-the template. Diagonals at most `SLACK` apart are merged, so short insertions do not split a match, and a merged span is
-verified: its hits must cover at least `COVER` of the template's words.
+the template. Spans come from two mergers of hits: diagonals at most `SLACK` apart, and hits that follow each other in the
+text and in the template with a gap of at most the template's length, so a long insertion does not split a match. A span is
+verified: its hits must cover at least `COVER` of the template's words and, in place, every word of `REQUIRED` in it; no word
+of `ABSENT` may stand in the span or right behind it.
 
 Base labels come from short fixed phrases found in the same scan. Defined cases: a null text has no words; repeated rows get
 a row each; no match gives empty labels, null places and score 0; a base phrase scores 1; other columns are ignored; an empty
@@ -46,9 +48,13 @@ TEMPLATES = [
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution non commercial 4 0 international license"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
+#: By label, the words that tell a license from its neighbours, and the words that make it another one.
+REQUIRED = {"mit": ["mit"], "apache-2": ["2"], "gpl-3": ["3"], "cc-by-nc": ["nc", "noncommercial", "commercial"], "mpl-2": ["2"]}
+ABSENT = {"gpl-3": ["lesser", "affero"], "cc-by-nc": ["sa", "nd", "sharealike", "noderivatives", "noderivs"]}
 
 
 def _grams(texts: list[str], k: int) -> dict[int, list[bytes]]:
@@ -65,6 +71,8 @@ def _hits(docs: DataFrame, templates: list, phrases: list, gram: int, id_col: st
     wanted = _grams([t for _, t in templates], gram)
     known = np.sort(np.array(list(wanted), np.uint64))
     named = [(label, p.encode().split()) for label, p in phrases]
+    barred = {w.encode(): gram_hash([w.encode()]) for x in ABSENT.values() for w in x}
+    stops_type = pa.list_(pa.struct([("word", pa.string()), ("at", pa.int64())]))
     hits_type = pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int64())]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,6 +81,7 @@ def _hits(docs: DataFrame, templates: list, phrases: list, gram: int, id_col: st
                 words = Texts.of(part.column("t")).words(ALNUM_WORDS, lower=True)
                 size = part.num_rows
                 hits, places, labels = [[] for _ in range(size)], [[] for _ in range(size)], [set() for _ in range(size)]
+                stops = [[] for _ in range(size)]
 
                 def same(i: int, text: list[bytes], words=words) -> bool:
                     return all(words.text(i + j) == w for j, w in enumerate(text))
@@ -83,6 +92,12 @@ def _hits(docs: DataFrame, templates: list, phrases: list, gram: int, id_col: st
                     if same(i, wanted[value]):
                         row = int(words.row[i])
                         hits[row].append({"hash": int(np.uint64(value).view(np.int64)), "at": i - int(words.first[row])})
+                at, h = words.grams(1)
+                for word, value in barred.items():
+                    for i in at[h == np.uint64(value)].tolist():
+                        row = int(words.row[i])
+                        if hits[row] and same(i, [word]):
+                            stops[row].append({"word": word.decode(), "at": i - int(words.first[row])})
                 for label, text in named:
                     at, h = words.grams(len(text))
                     for i in at[h == np.uint64(gram_hash(text))].tolist():
@@ -93,12 +108,13 @@ def _hits(docs: DataFrame, templates: list, phrases: list, gram: int, id_col: st
                 yield pa.RecordBatch.from_arrays(
                     [part.column("i"), part.column("key"), pa.array(words.per_row), pa.array([len(p) for p in places], pa.int64()),
                      pa.array([min(p, default=None) for p in places], pa.int64()), pa.array([max(p, default=None) for p in places], pa.int64()),
-                     pa.array([sorted(x) for x in labels], pa.list_(pa.string())), pa.array(hits, hits_type)],
-                    ["i", "key", "n_words", "n_base", "first_word", "last_word", "base", "hits"])
+                     pa.array([sorted(x) for x in labels], pa.list_(pa.string())), pa.array(hits, hits_type),
+                     pa.array(stops, stops_type)],
+                    ["i", "key", "n_words", "n_base", "first_word", "last_word", "base", "hits", "stops"])
 
     part = docs.select(F.col(id_col).alias("i"), row_key(text_col).alias("key"), F.col(text_col).cast("string").alias("t"))
     return part.mapInArrow(rows, f"i {kind}, key string, n_words long, n_base long, first_word long, last_word long, base array<string>, "
-                                 "hits array<struct<hash:bigint,at:bigint>>")
+                                 "hits array<struct<hash:bigint,at:bigint>>, stops array<struct<word:string,at:bigint>>")
 
 
 def spans(scanned: DataFrame, templates: list, gram: int, slack: int, cover: float) -> DataFrame:
@@ -107,7 +123,7 @@ def spans(scanned: DataFrame, templates: list, gram: int, slack: int, cover: flo
     places = [(int(np.uint64(gram_hash(w[i:i + gram])).view(np.int64)), n, label, i, len(w))
               for n, (label, t) in enumerate(templates) for w in [t.encode().split()] for i in range(len(w) - gram + 1)]
     positions = spark.createDataFrame(places, "hash long, template int, label string, place int, length int")
-    once = scanned.filter(F.size("hits") > 0).groupBy("key").agg(F.first("hits").alias("hits"))
+    once = scanned.filter(F.size("hits") > 0).groupBy("key").agg(F.first("hits").alias("hits"), F.first("stops").alias("stops"))
     hits = once.select("key", F.explode("hits").alias("x")).select("key", "x.hash", "x.at").join(positions, "hash") \
         .withColumn("diagonal", F.col("at") - F.col("place"))
     votes = hits.groupBy("key", "template", "label", "length", "diagonal").agg(
@@ -117,8 +133,19 @@ def spans(scanned: DataFrame, templates: list, gram: int, slack: int, cover: flo
     merged = votes.withColumn("apart", apart).withColumn("cluster", F.sum("apart").over(order)) \
         .groupBy("key", "template", "label", "length", "cluster").agg(
             F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min("low").alias("start"), F.max("high").alias("end"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + gram - 1)))))
-    return merged.withColumn("score", covered / F.col("length")).filter(F.col("score") >= cover).select("key", "template", "label", "start", "end", "score")
+    # hits in the order of the text; a new chain starts where the template's order breaks or the gap outgrows the template
+    walk = Window.partitionBy("key", "template").orderBy("at", "place")
+    broken = (F.col("place") <= F.lag("place").over(walk)) | (F.col("at") - F.lag("at").over(walk) - gram > F.col("length"))
+    chained = hits.withColumn("apart", F.coalesce(broken, F.lit(True)).cast("int")).withColumn("cluster", F.sum("apart").over(walk)) \
+        .groupBy("key", "template", "label", "length", "cluster").agg(
+            F.collect_set("place").alias("places"), F.min("at").alias("start"), (F.max("at") + gram).alias("end"))
+    covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + gram - 1))))
+    need = F.array(*(F.array(*(F.lit(k) for k, w in enumerate(t.split()) if w in REQUIRED.get(label, []))).cast("array<int>") for label, t in templates))
+    barred = F.array(*(F.array(*map(F.lit, ABSENT.get(label, []))).cast("array<string>") for label, _ in templates))
+    found = merged.unionByName(chained).withColumn("covered", covered).withColumn("score", F.size("covered") / F.col("length")) \
+        .filter((F.col("score") >= cover) & (F.size(F.array_except(F.get(need, F.col("template")), F.col("covered").cast("array<int>"))) == 0))
+    stopped = F.exists("stops", lambda x: x["at"].between(F.col("start"), F.col("end")) & F.array_contains(F.get(barred, F.col("template")), x["word"]))
+    return found.join(once.select("key", "stops"), "key").filter(~stopped).select("key", "template", "label", "start", "end", "score")
 
 
 def scan(docs: DataFrame, templates: list = TEMPLATES, phrases: list = PHRASES, gram: int = GRAM, slack: int = SLACK, cover: float = COVER,
@@ -127,7 +154,7 @@ def scan(docs: DataFrame, templates: list = TEMPLATES, phrases: list = PHRASES,
     scanned = written(_hits(docs, templates, phrases, gram, id_col, text_col), "licenses")
     voted = spans(scanned, templates, gram, slack, cover).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
     none = F.array().cast("array<string>")
-    out = join_spread(scanned.drop("hits"), voted, "key")
+    out = join_spread(scanned.drop("hits", "stops"), voted, "key")
     return out.select(
         F.col("i").alias(id_col), "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("base", F.coalesce("more", none))), ",").alias("labels"),
