@@ -8,6 +8,10 @@ separator; a member that does not is followed by an empty one that does. Of reco
 Reading. A file is walked member by member (or, uncompressed, record by record). A member that fails to inflate, a bad
 version line, a bad length or a digest that does not match starts a gap: the reader searches on from the next byte for a gzip magic whose
 member inflates to a version line, or for a version line, resumes there, and logs the gap's byte range and reason.
+A damaged or cut member is inflated as far as it goes, and its records before and after a fault are read by a search for
+version lines in what inflated; such gaps have the member's range, their place in the inflated bytes is in the reason.
+A member of one record whose checksum alone is wrong is a gap, as its header cannot be trusted; of several records that all pass
+their checks, all are read and the gap is logged.
 
 Bounds: files hold at most `records` records, so a task reads a bounded file. Only digests and ids are grouped; a frequent
 payload is pre-aggregated, and its rows are spread by Spark's skew join.
@@ -33,6 +37,7 @@ from gridspark.llm.common import new_path
 
 RECORDS_PER_FILE = 2000
 MAGIC = b"\x1f\x8b\x08"
+CUT, CHECKSUM = "member is cut", "member's checksum is wrong"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -114,16 +119,58 @@ def _parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
     return head, block, stop + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at `at`; raises ValueError if it is damaged or cut."""
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """What inflates of the gzip member at `at`, its end or how far it was read, and the fault if it is damaged or cut."""
+    view = memoryview(data)[at:]
     unpack = zlib.decompressobj(31)
     try:
-        content = unpack.decompress(memoryview(data)[at:])
+        content = unpack.decompress(view)
+        return content, len(data) - len(unpack.unused_data), None if unpack.eof else CUT
     except zlib.error as e:
-        raise ValueError("member does not inflate") from e
-    if not unpack.eof:
-        raise ValueError("member is cut")
-    return content, len(data) - len(unpack.unused_data)
+        fault = CHECKSUM if "incorrect" in str(e) and "check" in str(e) and "header" not in str(e) else "member does not inflate"
+    # an error discards the output of its call: feed steps, then single bytes, up to the fault
+    unpack, out, done, step = zlib.decompressobj(31), [], 0, 4096
+    while done < len(view):
+        before = unpack.copy()
+        try:
+            out.append(unpack.decompress(view[done:done + step]))
+        except zlib.error:
+            if step == 1:
+                break
+            unpack, step = before, 1
+            continue
+        done += step
+    return b"".join(out), at + done, fault
+
+
+def _records(content: bytes) -> list[tuple[str, int, int, object]]:
+    """Records and gaps of inflated bytes, as of `salvage`."""
+    out, at = [], 0
+    while at < len(content):
+        try:
+            head, block, end = _parse(content, at)
+            out.append(("record", at, end, (head, block)))
+        except ValueError as e:
+            found = VERSION.search(content, at + 1)
+            end = found.start() if found else len(content)
+            if out and out[-1][0] == "gap":
+                out[-1] = ("gap", out[-1][1], end, out[-1][3])
+            else:
+                out.append(("gap", at, end, str(e)))
+        at = end
+    return out
+
+
+def _resume(data: bytes, at: int, plain: int) -> int:
+    """The next member from `at` that starts with a version line, or the next version line from `plain`, or the end."""
+    while at < len(data):
+        version = VERSION.search(data, max(at, plain))
+        places = [p for p in (data.find(MAGIC, at), version.start() if version else -1) if p >= 0]
+        at = min(places, default=len(data))
+        if at == len(data) or not data.startswith(MAGIC, at) or _begins(data, at):
+            break
+        at += 1
+    return min(at, len(data))
 
 
 def _begins(data: bytes, at: int) -> bool:
@@ -141,30 +188,28 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
     while at < size:
         try:
             if data.startswith(MAGIC, at):
-                content, end = _member(data, at)
-                found, inner = [], 0
-                while inner < len(content):
-                    head, block, inner = _parse(content, inner)
-                    found.append((head, block))
+                content, end, fault = _inflate(data, at)
+                found = _records(content)
+                good, bad = ([x for x in found if x[0] == kind] for kind in ("record", "gap"))
+                if (fault or bad) and (not good or fault == CHECKSUM and len(found) == 1):
+                    raise ValueError(fault or bad[0][3])
+                if fault:
+                    end = _resume(data, at + 1, end)
+                    if not bad:
+                        found.append(("gap", len(content), len(content), fault))
             else:
                 head, block, end = _parse(data, at)
-                found = [(head, block)]
+                found = [("record", at, end, (head, block))]
         except ValueError as e:
             if gap is None:
                 gap = (at, str(e))
-            at += 1
-            while at < size:
-                places = [p for p in (data.find(MAGIC, at), getattr(VERSION.search(data, at), "start", lambda: -1)()) if p >= 0]
-                at = min(places, default=size)
-                if at == size or not data.startswith(MAGIC, at) or _begins(data, at):
-                    break
-                at += 1
+            at = _resume(data, at + 1, at + 1)
             continue
         if gap is not None:
             yield "gap", gap[0], at, gap[1]
             gap = None
-        for head, block in found:
-            yield "record", at, end, (head, block)
+        for kind, low, high, what in found:
+            yield kind, at, end, what if kind == "record" else f"{what} (inflated bytes {low} to {high})"
         at = end
     if gap is not None:
         yield "gap", gap[0], size, gap[1]

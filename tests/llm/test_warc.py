@@ -87,6 +87,32 @@ def test_salvage_of_every_single_damage():
     assert read(mixed)[0] == [0, 1, 2]
 
 
+def test_salvage_inside_members_of_several_records():
+    plain = members()
+    n = len(plain)
+    starts = [sum(map(len, plain[:k])) for k in range(n)]
+    hurt = bytearray(b"".join(plain))
+    hurt[starts[5] + len(plain[5]) - 8] ^= 1   # in the block of record 5, before packing
+    ids, gaps = read(warc.gzip_member(bytes(hurt)))
+    assert ids == [0, 1, 2, 3, 4, *range(6, n)] and len(gaps) == 1 and f"inflated bytes {starts[5]} to {starts[6]}" in gaps[0][2]
+    rng = random.Random(9)
+    long = [warc.record(k, "u", p, None, sha(p)) for k, p in ((k, rng.randbytes(3000)) for k in range(8))]
+    packed, after = warc.gzip_member(b"".join(long)), warc.gzip_member(plain[9])
+    for at in (len(packed) * 9 // 16, len(packed) * 13 // 16, len(packed) - 20):   # inside records 4, 6 and 7
+        for rest in (b"", after):
+            ids, gaps = read(packed[:at] + rest)
+            assert ids == [*range(at // (len(packed) // 8)), *([9] if rest else [])] and gaps, at
+    for at in range(3000, len(packed), 2500):
+        flipped = bytearray(packed)
+        flipped[at] ^= 0x10
+        ids, gaps = read(bytes(flipped) + after)
+        assert len(gaps) >= 1 and len(ids) == len(set(ids)) and ids[-1] == 9 and set(range(at // (len(packed) // 8) - 1)) <= set(ids), at
+    ids, gaps = read(packed[:-1] + bytes([packed[-1] ^ 1]))   # a wrong length in the trailer
+    assert ids == list(range(8)) and len(gaps) == 1
+    ids, gaps = read(warc.gzip_member(plain[0] + plain[1]) + warc.gzip_member(plain[2] + plain[3][:-9]) + after)
+    assert ids == [0, 1, 2, 9] and len(gaps) == 1
+
+
 def test_pipeline_stage_by_stage(spark):
     import corpus_pipeline as cp
     from gridspark.llm.common import written
