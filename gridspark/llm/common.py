@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SALTS = 16
@@ -69,30 +69,44 @@ def join_spread(rows: DataFrame, found: DataFrame, key: str, how: str = "left")
     return dealt.join(repeated, [key, "__salt"], how).drop("__salt")
 
 
+def labelled(rows: DataFrame, labels: DataFrame, key: list[str], salt: str) -> DataFrame:
+    """Left join with at most one label per key, for rows whose key may be that of a third of them.
+
+    `salt` deals the rows of a key over parts. Labels meet the distinct (key, salt) pairs first, at most one a part, and only
+    these pairs meet the rows, so nothing is repeated for keys that have few rows. Keys must not be null.
+    """
+    parts = rows.select(*key, salt).distinct().join(labels, key)
+    return rows.join(parts, [*key, salt], "left")
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """a, b and m, the least b of a; a hub's edges stay dealt over SALTS parts in the aggregate and in the join."""
+    dealt = edges.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    part = dealt.groupBy("a", "s").agg(F.min("b").alias("m"))
+    whole = part.groupBy("a").agg(F.min("m").alias("m"))
+    return dealt.join(part.select("a", "s").join(whole, "a"), ["a", "s"]).select("a", "b", "m")
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
     """(node, component) with the smallest node reachable, for every node of the links.
 
-    Alternates large-star and small-star contraction. A node's neighbourhood is only ever reduced to its minimum and
-    joined back, so a hub's links stay spread over tasks; rounds grow with the logarithm of the longest chain.
+    Alternates large-star and small-star contraction. A node's least neighbour is found in two levels, per part of its edges
+    and per node, and joined back by node and part, so a hub's links stay spread over tasks; rounds grow with the logarithm
+    of the longest chain. What a round writes is counted while it is written.
     """
-    def both(df: DataFrame) -> DataFrame:
-        return df.select("a", "b").unionByName(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first())
+    def kept(df: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        out = written(df.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b") % (1 << 32)), F.lit(0)).alias("h")), name)
+        return out, (seen.get["n"], seen.get["h"])
 
-    edges = written(links.select(F.least(a, b).alias("b"), F.greatest(a, b).alias("a")).filter("a <> b").distinct(), name)
-    before = state(edges)
+    edges, before = kept(links.select(F.least(a, b).alias("b"), F.greatest(a, b).alias("a")).filter("a <> b").distinct())
     while before[0]:
-        sides = both(edges)
-        least = sides.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = sides.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(
-            F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        after = written(small.filter("a <> b").distinct(), name)
-        now = state(after)
+        sides = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = _with_least(sides).withColumn("m", F.least("m", "a"))
+        large = written(least.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), name)
+        pair = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        after, now = kept(_with_least(large).select(F.explode(pair).alias("e")).select("e.*").filter("a <> b").distinct())
+        drop_written(large)
         drop_written(edges)
         edges = after
         if now == before:

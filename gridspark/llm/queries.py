@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import decontam, licenses, lsh_forest, mixing, quality, secrets, sharding, tokens, urls, warc
+from gridspark.llm import conversations, decontam, licenses, lsh_forest, mixing, phrases, quality, secrets, sharding, simhash, tokens, urls, warc
 from gridspark.llm.common import table
 from gridspark.llm.sql import ORACLES
 
@@ -55,6 +55,18 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.assess(table(spark, sf_dir, "conversations"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -62,5 +74,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_rules, op2_token_counts, op3_warc, op4_license_scan, op5_url_filter, op6_secret_scan, op7_source_mix, op8_decontamination,
-    op9_lsh_forest, op10_feistel_shards, pipeline)}
+    op9_lsh_forest, op10_feistel_shards, op11_conversation_repair, op12_collocations, op13_simhash, pipeline)}
 SQL: dict[str, str] = {k: v for k, v in ORACLES.items() if k in QUERIES}

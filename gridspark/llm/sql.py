@@ -123,5 +123,24 @@ SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, CAST(y % 8 AS INTEGER) AS
 FROM num JOIN (SELECT id, y FROM walk WHERE y < n) USING (id)
 """
 
+OP12 = f"""
+WITH p AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_low("text")}, '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents)),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM (
+  SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3)) v(k)) GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.k, c.phrase, c.f AS a, x.f AS l, y.f AS r, cut, CAST(1000000::HUGEINT * c.f * c.f // (x.f::HUGEINT * y.f) AS BIGINT) AS score,
+             row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY 1000000::HUGEINT * c.f * c.f // (x.f::HUGEINT * y.f), cut) AS k1
+      FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:cut], ' ')
+      JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:c.k], ' ')),
+inside AS (SELECT lang, phrase, max(f) AS f FROM (
+  SELECT lang, f, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS phrase
+  FROM f WHERE k = 3) GROUP BY ALL),
+ranked AS (SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+           FROM s LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase WHERE k1 = 1 AND coalesce(100 * i.f < 50 * a, true))
+SELECT lang, rank, phrase, a, l, r, n, score, CAST(cut AS BIGINT) AS cut FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {"op3_warc": OP3, "op5_url_filter": OP5, "op6_secret_scan": _op6(), "op8_decontamination": OP8, "op9_lsh_forest": OP9,
-                           "op10_feistel_shards": OP10}
+                           "op10_feistel_shards": OP10, "op12_collocations": OP12}

@@ -139,6 +139,20 @@ class Words:
             out = (out ^ self.hash[at + i]) * _P + U(i + 1)
         return at, mix(out)
 
+    def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """All words with one space after each, and where each starts and ends there: a run of words is one byte range."""
+        length = self.end - self.start
+        end = np.cumsum(length + 1) - 1
+        out = np.full(int(end[-1]) + 1 if len(end) else 0, 0x20, np.uint8)
+        word = np.ones(len(out), bool)
+        word[end] = False
+        edge = np.zeros(len(self.texts.data) + 1, np.int8)
+        edge[self.start] += 1
+        edge[self.end] -= 1
+        raw = self.texts.data[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)]
+        out[word] = _LOWER[raw] if self.lower else raw
+        return out.tobytes(), end - length, end
+
     def text(self, i: int) -> bytes:
         raw = self.texts.data[self.start[i]:self.end[i]]
         return (_LOWER[raw] if self.lower else raw).tobytes()
