@@ -9,6 +9,7 @@ from gridspark.catalog.views import sql_cutoff, sql_local
 from gridspark.constants import THEMES, WEATHER_MODELS, WEATHER_VARIABLES
 from gridspark.functions import stats as S
 from gridspark.functions import timeconv as T
+from gridspark.operators.bootstrap import resampled_sums
 from gridspark.operators import blocks, reshape
 from gridspark.plans import baselines as B
 from gridspark.plans import evaluate as E
@@ -621,10 +622,8 @@ def _(v):
 @job("e06_cluster_bootstrap", "replicate:l run mean_delta:4",
      f"""WITH {_PAIRS}, {_DRAWS} SELECT replicate, run, sum(delta) / count(*) AS mean_delta FROM draws JOIN pairs USING (day) GROUP BY 1, 2""")
 def _(v):
-    from gridspark.operators.bootstrap import day_draws, resampled_sums
-    from gridspark.session import cut_lineage
-    per_day = cut_lineage(_pairs(v).groupBy("run", "day").agg(F.sum("delta").alias("d"), F.count("*").alias("n")))
-    return resampled_sums(per_day, ["run"], "day", ["d", "n"], day_draws(per_day, "day", _REPS)).withColumn("mean_delta", F.col("d") / F.col("n"))
+    per_day = _pairs(v).groupBy("run", "day").agg(F.sum("delta").alias("d"), F.count("*").alias("n"))
+    return resampled_sums(per_day, ["run"], "day", ["d", "n"], _REPS).withColumn("mean_delta", F.col("d") / F.col("n"))
 
 
 @job("e07_zone_skill", "run zone_skill_pct:4 system_skill_pct:4",
@@ -765,6 +764,13 @@ _MONEY = """WITH cd AS (SELECT point, operating_date FROM da_full GROUP BY 1, 2
 """
 
 
+def _policies(v):
+    w, ref = _widths(v)
+    pol = F.explode(F.array(F.struct(F.lit("fixed").alias("policy"), F.lit(0.8).alias("fraction")),
+                            F.struct(F.lit("adaptive").alias("policy"), R.commitment_fraction("width", "ref_width").alias("fraction"))))
+    return w.join(ref, "point").select("point", "operating_date", pol.alias("p")).select("point", "operating_date", "p.policy", "p.fraction")
+
+
 def _uplift(v):
     import datetime as dt
     return R.commitment_uplift(v.da_full, v.rt_full, *_widths(v), redesign=dt.date(2024, 1, 16))
@@ -772,11 +778,7 @@ def _uplift(v):
 
 @job("r03_settled_days", "point operating_date:d policy fraction:4 da_rev:2 rt_rev:2 discharged:4 charge_cost:2 wear:4 total:2", _MONEY + "SELECT * FROM money")
 def _(v):
-    w, ref = _widths(v)
-    pol = F.explode(F.array(F.struct(F.lit("fixed").alias("policy"), F.lit(0.8).alias("fraction")),
-                            F.struct(F.lit("adaptive").alias("policy"), R.commitment_fraction("width", "ref_width").alias("fraction"))))
-    fr = w.join(ref, "point").select("point", "operating_date", pol.alias("p")).select("point", "operating_date", "p.policy", "p.fraction")
-    return R.settle_days(v.da_full, v.rt_full, fr)
+    return R.settle_days(v.da_full, v.rt_full, _policies(v))
 
 
 @job("r05_complete_price_days", "point operating_date:d",
@@ -798,14 +800,10 @@ def _(v):
 
 
 @job("w13_capped_allocation", "point operating_date:d hour_ending:i quarter:i policy extra_mwh:6",
-     _MONEY + """SELECT z.point, z.operating_date, z.hour_ending, z.quarter, z.policy, p.rem - s.rem AS extra_mwh FROM sim s
-        JOIN sim p ON p.point = s.point AND p.operating_date = s.operating_date AND p.policy = s.policy AND p.i = s.i - 1
-        JOIN z ON z.point = s.point AND z.operating_date = s.operating_date AND z.policy = s.policy AND z.i = s.i
-        WHERE s.policy = 'fixed' AND (s.point, s.operating_date) IN (SELECT (point, operating_date) FROM fin)""")
+     _MONEY + """SELECT point, operating_date, hour_ending, quarter, policy, least(used, 39.2 - com) - least(used - cap, 39.2 - com) AS extra_mwh
+        FROM us JOIN fin USING (point, operating_date, policy)""")
 def _(v):
-    w, ref = _widths(v)
-    fr = w.select("point", "operating_date", F.lit("fixed").alias("policy"), F.lit(0.8).alias("fraction"))
-    return R.held_back_dispatch(R.day_ahead_awards(v.da_full, fr), v.rt_full)
+    return R.held_back_dispatch(R.day_ahead_awards(v.da_full, _policies(v)), v.rt_full)
 
 
 @job("r01_two_settlement", "point operating_date:d da_rev:2 rt_rev:2 discharged:4 total:2",

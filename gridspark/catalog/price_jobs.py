@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from gridspark.catalog.registry import job
 from gridspark.catalog.views import sql_hours, sql_local
-from gridspark.constants import EFFICIENCIES, PRICE_THRESHOLDS, SPIKE_MIN_LENGTHS, SPIKE_THRESHOLDS
+from gridspark.constants import EFFICIENCIES, NET_LOAD_QUANTILES, PRICE_THRESHOLDS, SPIKE_MIN_LENGTHS, SPIKE_THRESHOLDS
 from gridspark.plans import conditional as C
 from gridspark.plans import prices as P
 from gridspark.plans import storage as S
@@ -167,13 +167,13 @@ def _net(v):
     return C.net_load(v.load60, v.fuel15, wind="view", solar="click").filter("net_load IS NOT NULL")
 
 
-@job("q18_rt_avg_high_netload_month", "point month threshold:2 avg_price:6",
-     f"""WITH net AS ({_NET}), q AS (SELECT month, floor(quantile_cont(net, 0.75) / 10) * 10 AS x FROM net GROUP BY 1)
-         SELECT r.point, n.month, max(q.x) AS threshold, avg(r.price) AS avg_price
+@job("q18_rt_avg_high_netload_month", "point month q:2 threshold:2 avg_price:6",
+     f"""WITH net AS ({_NET}), q AS ({" UNION ALL ".join(f"SELECT month, {q} AS q, floor(quantile_cont(net, {q}) / 10) * 10 AS x FROM net GROUP BY 1" for q in NET_LOAD_QUANTILES)})
+         SELECT r.point, n.month, q.q, max(q.x) AS threshold, avg(r.price) AS avg_price
          FROM iv15 r JOIN net n ON date_trunc('hour', r.start_utc) = n.start_utc JOIN q ON q.month = n.month
-         WHERE n.net > q.x GROUP BY 1, 2""")
+         WHERE n.net > q.x GROUP BY 1, 2, 3""")
 def _(v):
-    return C.price_in_high_net_load(v.iv15, _net(v), 0.75, 10)
+    return C.price_in_high_net_load(v.iv15, _net(v), NET_LOAD_QUANTILES, 10)
 
 
 @job("q19_solar_share_max_day", "month fuel operating_date:d",

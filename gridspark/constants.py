@@ -14,7 +14,8 @@ HUB_PAIRS = [("HB_WEST", "HB_NORTH"), ("HB_HOUSTON", "HB_NORTH"),
 PRICE_THRESHOLDS = [25, 50, 75, 100, 150, 200, 300, 500, 1000]
 SPIKE_THRESHOLDS = [50, 75, 100, 150, 200]
 SPIKE_MIN_LENGTHS = [1, 2, 4]
-EFFICIENCIES = [0.85, 0.90, 1.0]
+EFFICIENCIES = [0.80, 0.85, 0.88, 0.90, 1.0]
+NET_LOAD_QUANTILES = [0.75, 0.9]
 PEAK_HOURS = [16, 17, 18, 19, 20]
 QUANTILES = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
 OUTCOMES = ["correct", "wrong_answer", "sql_error", "format_error"]

@@ -82,7 +82,7 @@ def _zone_repeated(ts: Column, tz: str) -> Column:
 
 
 def _zone_hours(day: Column, tz: str) -> Column:
-    midnight = lambda d: _zone_utc(d.cast("timestamp_ntz"), None, tz)
+    midnight = lambda d: F.convert_timezone(F.lit(tz), F.lit("UTC"), d.cast("timestamp_ntz"))
     return (interval_minutes(midnight(F.date_add(day, 1)) - midnight(day)) / 60).cast("int")
 
 
@@ -161,10 +161,15 @@ def hours_in_day(day: Column | str, tz: str = LOCAL_TZ) -> Column:
 
 
 def is_change_day(day: Column | str, tz: str = LOCAL_TZ) -> Column:
-    """Few references to `day`: as a filter this is pushed below aggregates, where the day is a longer expression."""
-    cal, day = summer_calendar(tz), col(day)
-    slow = _zone_hours(day, tz) != 24
-    return F.when(out_of_range(F.year(day)), slow).otherwise(contains(cal.spring_days + cal.autumn_days, day)) if cal else slow
+    """The day is bound once: as a filter this is pushed below aggregates, where the day stands for a long expression, and a
+    copy of it per use would make one method that the JVM refuses to compile."""
+    cal = summer_calendar(tz)
+
+    def judged(d: Column) -> Column:
+        slow = _zone_hours(d, tz) != 24
+        return F.when(in_range(F.year(d)), contains(cal.spring_days + cal.autumn_days, d)).otherwise(slow) if cal else slow
+
+    return let(col(day), judged)
 
 
 def cutoff_utc(day: Column | str, tz: str = LOCAL_TZ) -> Column:

@@ -27,14 +27,19 @@ def _floored(value, q: float, step: float):
     return (F.floor(quantile_at(value, F.lit(q)) / step) * step).alias("threshold")
 
 
-def price_in_high_net_load(rt: DataFrame, net: DataFrame, q: float, step: float) -> DataFrame:
-    """Average price inside the month's hours above a floored net-load quantile."""
-    limit = net.groupBy("month").agg(_floored("net_load", q, step))
-    hot = net.join(limit, "month").filter(F.col("net_load") > F.col("threshold")).select(
-        "start_utc", F.col("month").alias("net_month"), "threshold")
-    prices = rt.select("point", "price", T.floor_hours("start_utc").alias("start_utc"))
-    return (prices.join(hot, "start_utc").groupBy("point", F.col("net_month").alias("month"))
-            .agg(F.avg("price").alias("avg_price"), F.max("threshold").alias("threshold")))
+def price_in_high_net_load(rt: DataFrame, net: DataFrame, quantiles: list[float], step: float) -> DataFrame:
+    """Average price inside the month's hours above each floored net-load quantile.
+
+    All quantiles come from one grouping; an hour keeps the list of those it passes, which is expanded only after the join and
+    the first, per hour, sums."""
+    limit = net.groupBy("month").agg(*[_floored("net_load", q, step).alias(f"_q{i}") for i, q in enumerate(quantiles)])
+    cells = F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"_q{i}").alias("threshold")) for i, q in enumerate(quantiles)])
+    hot = net.join(limit, "month").withColumn("_hot", F.filter(cells, lambda c: F.col("net_load") > c["threshold"])).filter(F.size("_hot") > 0)
+    hot = hot.select("start_utc", F.col("month").alias("net_month"), "_hot")
+    prices = rt.groupBy("point", T.floor_hours("start_utc").alias("start_utc")).agg(F.sum("price").alias("_s"), F.count("price").alias("_n"))
+    rows = prices.join(hot, "start_utc").select("point", F.col("net_month").alias("month"), "_s", "_n", F.explode("_hot").alias("_h"))
+    return rows.groupBy("point", "month", F.col("_h.q").alias("q")).agg(
+        (F.sum("_s") / F.sum("_n")).alias("avg_price"), F.max("_h.threshold").alias("threshold"))
 
 
 def fuel_share_peak_day(fuel: DataFrame, fuels: list[str], excluded: str, margin: float = 1e-4) -> DataFrame:

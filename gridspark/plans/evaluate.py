@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from gridspark.constants import OUTCOMES, QUANTILES, THEMES, Z90
 from gridspark.functions import stats as S
-from gridspark.operators.bootstrap import day_draws, interval, resampled_sums
-from gridspark.session import cut_lineage
+from gridspark.operators.bootstrap import interval, resampled_sums
 
 Q = list(QUANTILES)
 RUN = ["model", "backend", "split"]
@@ -88,12 +87,11 @@ def paired(examples: DataFrame, reference: str) -> DataFrame:
 def paired_comparison(pairs: DataFrame, replicates: int, seed: str = "") -> DataFrame:
     """Mean difference to the reference with a day-clustered interval and the share of resamples that are better.
 
-    The examples are read once: everything follows from one row per run and day, which is kept in a checkpoint."""
-    per_day = cut_lineage(pairs.groupBy("run", "day").agg(
+    Everything follows from one row per run and day."""
+    per_day = pairs.groupBy("run", "day").agg(
         F.sum("delta").alias("_d"), F.count("*").alias("_n"), F.sum("loss").alias("_l"), F.sum("ref_loss").alias("_r"),
-        F.sum("covered").alias("_c")))
-    draws = day_draws(per_day, "day", replicates, seed)
-    boot = resampled_sums(per_day, ["run"], "day", ["_d", "_n"], draws).withColumn("_m", F.col("_d") / F.col("_n"))
+        F.sum("covered").alias("_c"))
+    boot = resampled_sums(per_day, ["run"], "day", ["_d", "_n"], replicates, seed).withColumn("_m", F.col("_d") / F.col("_n"))
     lo, hi = interval("_m")
     spread = boot.groupBy("run").agg(lo.alias("lo"), hi.alias("hi"), F.avg((F.col("_m") < 0).cast("double")).alias("p_better"))
     mean = lambda c: F.sum(c) / F.sum("_n")
@@ -115,10 +113,8 @@ def zone_skill(pairs: DataFrame, system_zone: str = "system_total") -> DataFrame
 
 def zone_skill_interval(pairs: DataFrame, replicates: int, system_zone: str = "system_total", seed: str = "") -> DataFrame:
     """Day-clustered interval of the zone skill; zones without rows in a resample drop out of its mean."""
-    per_day = cut_lineage(pairs.groupBy("run", "zone", "day").agg(F.sum("loss").alias("_l"), F.sum("ref_loss").alias("_r")))
-    draws = day_draws(per_day, "day", replicates, seed)
-    rows = per_day.filter(F.col("zone") != system_zone)
-    sums = resampled_sums(rows, ["run", "zone"], "day", ["_l", "_r"], draws)
+    per_day = pairs.groupBy("run", "zone", "day").agg(F.sum("loss").alias("_l"), F.sum("ref_loss").alias("_r"))
+    sums = resampled_sums(per_day, ["run", "zone"], "day", ["_l", "_r"], replicates, seed).filter(F.col("zone") != system_zone)
     skill = sums.groupBy("replicate", "run").agg((100 * F.avg(1 - F.try_divide("_l", "_r"))).alias("_s"))
     lo, hi = interval("_s")
     return skill.groupBy("run").agg(lo.alias("lo"), hi.alias("hi"))
