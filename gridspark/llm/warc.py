@@ -37,6 +37,7 @@ from gridspark.llm.common import new_path
 
 RECORDS_PER_FILE = 2000
 MAGIC = b"\x1f\x8b\x08"
+PIECE = 64 << 10
 CUT, CHECKSUM = "member is cut", "member's checksum is wrong"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 DATE = "2024-01-01T00:00:00Z"
@@ -122,10 +123,12 @@ def _parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
 def _inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
     """What inflates of the gzip member at `at`, its end or how far it was read, and the fault if it is damaged or cut."""
     view = memoryview(data)[at:]
-    unpack = zlib.decompressobj(31)
+    unpack, out, done = zlib.decompressobj(31), [], 0
     try:
-        content = unpack.decompress(view)
-        return content, len(data) - len(unpack.unused_data), None if unpack.eof else CUT
+        while done < len(view) and not unpack.eof:     # in pieces: what follows the member is never copied
+            out.append(unpack.decompress(view[done:done + PIECE]))
+            done = min(done + PIECE, len(view))
+        return b"".join(out), at + done - len(unpack.unused_data), None if unpack.eof else CUT
     except zlib.error as e:
         fault = CHECKSUM if "incorrect" in str(e) and "check" in str(e) and "header" not in str(e) else "member does not inflate"
     # an error discards the output of its call: feed steps, then single bytes, up to the fault
@@ -164,8 +167,10 @@ def _records(content: bytes) -> list[tuple[str, int, int, object]]:
 def _resume(data: bytes, at: int, plain: int) -> int:
     """The next member from `at` that starts with a version line, or the next version line from `plain`, or the end."""
     while at < len(data):
-        version = VERSION.search(data, max(at, plain))
-        places = [p for p in (data.find(MAGIC, at), version.start() if version else -1) if p >= 0]
+        member = data.find(MAGIC, at)
+        # no version line behind the member matters here, so the search never runs past it
+        version = VERSION.search(data, max(at, plain), len(data) if member < 0 else min(member + 32, len(data)))
+        places = [p for p in (member, version.start() if version else -1) if p >= 0]
         at = min(places, default=len(data))
         if at == len(data) or not data.startswith(MAGIC, at) or _begins(data, at):
             break

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import random
+import time
 
 from conftest import SF
 from llm.brute import contamination, gapless, near_components
@@ -35,6 +36,23 @@ def test_round_trip(spark):
     assert long_ones == {"response"}
 
 
+def test_reading_many_records_takes_time_in_proportion():
+    def seconds(n, spoil):
+        parts = [warc.gzip_member(warc.record(k, f"http://x/{k}", b"page %d" % k * 9, None, sha(b"page %d" % k * 9))) for k in range(n)]
+        for k in range(5, n, 50) if spoil else ():
+            parts[k] = parts[k][:40] + b"\0" * 20 + parts[k][60:]
+        data = b"".join(parts)
+        t = time.process_time()
+        found = list(warc.salvage(data))
+        t = time.process_time() - t
+        records = sum(kind == "record" for kind, *_ in found)
+        assert records == n - len(range(5, n, 50)) * spoil and sum(b - a for _, a, b, _ in found) == len(data)
+        return t
+
+    for spoil in (False, True):
+        assert seconds(50_000, spoil) < 12 * seconds(10_000, spoil) + 1
+
+
 def test_files_are_standard_gzip(spark, tmp_path):
     pages = spark.createDataFrame([(k, f"http://x/{k}", "page %d " % k * 50) for k in range(30)], "page_id long, url string, html string").coalesce(1)
     warc.write_archive(pages, str(tmp_path / "a"), records=10)
