@@ -52,6 +52,19 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, *names: str) -> dict[str, str]:
+    """Helper column names that the frame does not have, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    out = {}
+    for name in names:
+        new = f"__{name}"
+        while new in taken:
+            new += "_"
+        out[name] = new
+        taken.add(new)
+    return out
+
+
 def row_key(*columns: str) -> Column:
     """One string per distinct content of the columns; nulls differ from empty strings. Rows alike in all of them share it."""
     parts = [F.coalesce(F.concat(F.lit("v"), F.md5(F.col(c).cast("string").cast("binary"))), F.lit("n")) for c in columns]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import components, row_key, written
+from gridspark.llm.common import components, fresh, labelled, row_key, written
 from gridspark.llm.textvec import SPACE_WORDS, Texts, mix, slices
 
 SHINGLE = 5
@@ -40,6 +40,7 @@ REGION = 1024
 TILE, TILE_SHINGLES = 4096, 1_000_000
 SPREAD, SPREAD_ROWS = 16, 128   # smaller blocks are spread over up to SPREAD tiles, none below SPREAD_ROWS rows
 SEED = 20_240_607
+PARTS = 64
 
 
 def shingle_sets(texts: Texts, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -218,14 +219,15 @@ def confirm(ids: list[int], sets: list[np.ndarray], side: list[int] | None, perc
 
 def links(docs: DataFrame, classes: DataFrame, blocks: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """a, b: confirmed links that span every component of every block."""
-    inside = classes.join(blocks.select(F.col("node").alias("rep"), F.col("component").alias("block")), "rep").select("rep", "tkey", "n", "block")
+    inside = classes.join(blocks.select("node", F.col("component").alias("block")), "node").select("node", "rep", "tkey", "n", "block")
     sums = inside.groupBy("block").agg(F.greatest(
         F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES), F.least(F.lit(SPREAD), F.ceil(F.count("*") / SPREAD_ROWS))).cast("int").alias("tiles"))
-    tile = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
+    tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     members = inside.join(sums, "block").withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))) \
-        .select("rep", "tkey", "block", "tile", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"))
+        .select("node", "rep", "tkey", "block", "tile", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"))
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), row_key(text_col).alias("tkey"), F.col(text_col).cast("string").alias("t"))
-    grouped = members.join(texts, ["rep", "tkey"]).repartition("block", "ta", "tb").sortWithinPartitions("block", "ta", "tb", "rep")
+    grouped = members.join(texts, ["rep", "tkey"]).repartition("block", "ta", "tb").sortWithinPartitions("block", "ta", "tb", "node") \
+        .select("block", "ta", "tb", F.col("node").alias("rep"), "tile", "t")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, sets, side = None, [], [], []
@@ -251,29 +253,43 @@ def links(docs: DataFrame, classes: DataFrame, blocks: DataFrame, k: int, percen
         if at is not None:
             yield close()
 
-    return grouped.select("block", "ta", "tb", "rep", "tile", "t").mapInArrow(rows, "a long, b long")
+    return grouped.mapInArrow(rows, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id, kept of every row."""
-    rows = written(sketches(docs, shingle, id_col, text_col), "sketches")
+def judged(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """i, tkey, n of every row, and `first`, the smallest (i, tkey) of its component (null for empty sets and null ids).
+
+    A class of equal sets is a node of its own, so texts under one id stay apart. Rows and classes that share a key with many
+    others meet their label by key and part."""
+    rows = written(sketches(docs, shingle, id_col, text_col).withColumn("part", (F.monotonically_increasing_id() % PARTS).cast("int")), "sketches")
     classes = written(rows.filter("n > 0 and i is not null").groupBy("n", "d1", "d2").agg(
         F.min(F.struct("i", "tkey")).alias("rep"), F.first("sig").alias("sig"))
-        .select("n", "d1", "d2", F.col("rep.i").alias("rep"), F.col("rep.tkey").alias("tkey"), "sig"), "classes")
-    blocks = components(chains(classes, percent), name="blocks")
+        .select("n", "d1", "d2", F.col("rep.i").alias("rep"), F.col("rep.tkey").alias("tkey"), "sig", F.monotonically_increasing_id().alias("node")), "classes")
+    blocks = components(chains(classes.select(F.col("node").alias("rep"), "n", "sig"), percent), name="blocks")
     found = components(links(docs, classes, blocks, shingle, percent, id_col, text_col), name="links")
-    named = classes.join(found, F.col("rep") == F.col("node"), "left").select(
-        "n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("i", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
-    component = F.when(F.col("i").isNull(), None).otherwise(F.coalesce("component", "i"))
-    return out.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      component.eqNullSafe(F.col("i")).alias("kept"))
+    named = classes.join(found, "node", "left").select("n", "d1", "d2", "rep", "tkey", F.coalesce("component", "node").alias("component"),
+                                                       F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int").alias("part"))
+    least = named.groupBy("component").agg(F.min(F.struct(F.col("rep").alias("i"), "tkey")).alias("first"))
+    label = labelled(named, least, ["component"], "part").select("n", "d1", "d2", "first")
+    out = labelled(rows.select("i", "tkey", "n", "d1", "d2", "part"), label, ["n", "d1", "d2"], "part")
+    return out.select("i", "tkey", "n", F.when(F.col("i").isNotNull(), F.col("first")).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id, kept of every row."""
+    component = F.coalesce("first.i", "i")
+    return judged(docs, shingle, percent, id_col, text_col).select(
+        F.col("i").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("i")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component with all its columns; rows that repeat an id are one document, the first by content."""
-    gone = near_duplicates(docs, shingle, percent, id_col, text_col).filter("not kept").select(F.col(id_col)).distinct()
-    left = docs.join(gone, id_col, "left_anti")
-    first = Window.partitionBy(id_col).orderBy(row_key(*docs.columns))
-    known = left.filter(F.col(id_col).isNotNull()).withColumn("__n", F.row_number().over(first)).filter("__n = 1")
-    return known.select(*docs.columns).unionByName(left.filter(F.col(id_col).isNull()).select(*docs.columns))
+    """One row of each component with all its columns. A document is an id with a text: another text under the same id is
+    another document, and rows alike in both are one, the first by content."""
+    names = fresh(docs, "i", "tkey", "k")
+    found = judged(docs, shingle, percent, id_col, text_col).filter("first <> struct(i, tkey)")
+    gone = found.select(F.col("i").alias(names["i"]), F.col("tkey").alias(names["tkey"])).distinct()
+    keyed = docs.withColumn(names["i"], F.col(id_col).cast("long")).withColumn(names["tkey"], row_key(text_col))
+    left = keyed.join(gone, [names["i"], names["tkey"]], "left_anti")
+    first = Window.partitionBy(names["i"], names["tkey"]).orderBy(row_key(*docs.columns))
+    known = left.filter(F.col(names["i"]).isNotNull()).withColumn(names["k"], F.row_number().over(first)).filter(F.col(names["k"]) == 1)
+    return known.select(*docs.columns).unionByName(left.filter(F.col(names["i"]).isNull()).select(*docs.columns))

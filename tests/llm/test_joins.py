@@ -70,6 +70,15 @@ def test_near_duplicates_special_rows(docs_of, bare_docs):
     assert sorted(str(r.doc_id) for r in kept) == ["3", "7", "8", "None", "None"]
 
 
+def test_keep_one_loses_no_text_of_a_repeated_id(bare_docs):
+    a, b, c = (" ".join(words(50, k)) for k in (21, 22, 23))
+    for rows, want in (([(1, a), (2, a), (2, b), (3, b)], [(1, a), (2, b)]),
+                       ([(1, a), (1, b), (1, a)], [(1, a), (1, b)]),
+                       ([(5, a), (5, b), (4, b), (6, c), (7, a), (7, c)], [(4, b), (5, a), (6, c)])):
+        kept = lsh_forest.keep_one(bare_docs(rows).withColumnsRenamed({"source": "__i", "lang": "__tkey"}))
+        assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted(want)
+
+
 def test_components(spark):
     r = random.Random(1)
     pairs = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 60)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(70)]
