@@ -9,13 +9,14 @@ from gridspark.catalog.views import sql_cutoff, sql_local
 from gridspark.constants import THEMES, WEATHER_MODELS, WEATHER_VARIABLES
 from gridspark.functions import stats as S
 from gridspark.functions import timeconv as T
-from gridspark.operators.bootstrap import resampled_sums
 from gridspark.operators import blocks, reshape
+from gridspark.operators.bootstrap import resampled_sums
 from gridspark.plans import baselines as B
 from gridspark.plans import evaluate as E
 from gridspark.plans import features as X
 from gridspark.plans import money as R
 from gridspark.plans import scoring as M
+from gridspark.session import cut_lineage
 
 COLS = list(WEATHER_VARIABLES.values())
 TRAIN_END = "1999-01-01"
@@ -411,35 +412,42 @@ _ZONES = ["A", "N", "R"]
 
 
 def _train_test(v):
+    """Training rows, and the later rows to predict: validation and test split."""
     rows = _hourly(v).select(*X.KEY, "error", "split", *[c for c in _FEATS if c != "hour_ending"])
-    return rows.filter("split = 'train'"), rows.filter("split = 'val'")
+    return rows.filter("split = 'train'"), rows.filter("split IN ('val', 'test')")
 
 
 @job("b04_quantile_forest", "zone operating_date:d hour_ending:i p10:2 p50:2 p90:2")
 def _(v):
-    tr, te = _train_test(v)
-    return B.quantile_forest(tr, te, _FEATS, _ZONES, trees=8, depth=4)
+    tr, te = map(cut_lineage, _train_test(v))    # read by the fit, the leaf counts and the lookup
+    return B.quantile_forest(tr, te, _FEATS, _ZONES)
 
 
 @job("b06_blocked_out_of_fold", "zone operating_date:d hour_ending:i block:i p10:2 p50:2 p90:2")
 def _(v):
     tr, te = _train_test(v)
-    oof, test = B.blocked_predictions(tr, te, lambda a, b: B.quantile_forest(a, b, _FEATS, _ZONES, trees=4, depth=3), n_blocks=3)
-    calibrated = B.calibrate_out_of_fold(oof, tr, 3)
+    oof, test = B.blocked_predictions(tr, te, lambda a, b: B.quantile_forest(a, b, _FEATS, _ZONES), n_blocks=5)
+    calibrated = B.calibrate_out_of_fold(oof, tr, 5)
     return reshape.stack_all([calibrated, B.apply_adjustment(test, B.conformal_adjustment(oof, tr)).withColumn("block", F.lit(-1))])
 
 
 @job("b08_two_stage", "zone operating_date:d hour_ending:i p10:2 p50:2 p90:2")
 def _(v):
     tr, te = _train_test(v)
-    return B.two_stage(tr, te, _FEATS, _ZONES, trees=4, depth=3)
+    return B.two_stage(tr, te, _FEATS, _ZONES)
+
+
+_PERIOD_B = ("1997-01-01", "1997-01-08")
 
 
 @job("b12_ablation_grid", "experiment period n:l loss:4 coverage:4 vs_first_pct:4")
 def _(v):
     tr, te = _train_test(v)
-    return B.ablation_grid({"A": (tr, te)}, {"base": {}, "wider": {"extra": ["err_mean7"]}, "recent": {"half_life": 365.0},
-                                             "two_seeds": {"seeds": [0, 1]}}, ["hour_ending", "fc_range", "err_mae30"], _ZONES, trees=4, depth=3)
+    day = F.col("operating_date")
+    periods = {"A": (tr, te.filter("split = 'val'")),
+               "B": (tr.filter(day < F.lit(_PERIOD_B[0]).cast("date")), tr.filter(day >= F.lit(_PERIOD_B[1]).cast("date")))}
+    return B.ablation_grid(periods, {"base": {}, "wider": {"extra": ["err_mean7"]}, "recent": {"half_life": 365.0},
+                                     "two_seeds": {"seeds": [0, 1]}}, ["hour_ending", "fc_range", "err_mae30"], _ZONES)
 
 
 # ---------------------------------------------------------------- scoring

@@ -1,11 +1,14 @@
 """Quantile-forecast baselines: climatology, trailing errors, forests, calibration, selection.
 
 Exact percentiles here are taken per zone (and hour) over rows of daily grain, so a group is bounded by the calendar.
-Forest leaves have no such bound and use the mergeable approximate percentile instead.
+Forest leaves have no such bound and use mergeable counts per error bin instead.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -22,6 +25,9 @@ from gridspark.session import cut_lineage
 
 Q = list(QUANTILES)
 TAUS = list(QUANTILES.values())
+TREES, DEPTH = 300, 6
+BINS_PER_E = 25
+FIT_MEMORY_MB, FITS_AT_ONCE = 1024, 3
 
 
 def _spread(quantiles: Column, names: list[str] = Q) -> list[Column]:
@@ -143,44 +149,71 @@ def _features(df: DataFrame, features: list[str], zones: list[str]) -> DataFrame
 
 def _forest(train: DataFrame, label: str, trees: int, depth: int, min_leaf: int, seed: int, weight: str | None) -> Model:
     rf = RandomForestRegressor(featuresCol="_vec", labelCol=label, leafCol="_leaves", numTrees=trees, maxDepth=depth,
-                               minInstancesPerNode=min_leaf, seed=seed, subsamplingRate=0.8)
+                               minInstancesPerNode=min_leaf, seed=seed, subsamplingRate=0.8, maxMemoryInMB=FIT_MEMORY_MB)
     return (rf.setWeightCol(weight) if weight else rf).fit(train)
 
 
-def quantile_forest(train: DataFrame, test: DataFrame, features: list[str], zones: list[str], trees: int = 20,
-                    depth: int = 5, min_leaf: int = 20, seed: int = 0, weight: str | None = None) -> DataFrame:
+def side_by_side(jobs: list) -> list:
+    """Results of the calls in their order; the fits of several folds or experiments share the cluster instead of queueing."""
+    with ThreadPoolExecutor(max_workers=FITS_AT_ONCE) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+
+
+def leaf_quantiles(model: Model, train: DataFrame, taus: list[float] = TAUS) -> Column:
+    """One value, found when the query runs: by tree, by leaf, the quantiles of the training errors there.
+
+    Errors are counted per tree, leaf and bin of about four per cent, which combines before the shuffle however many rows
+    there are; a quantile is the mean of the bin that holds its rank. The value has trees x 2^depth entries."""
+    at = model.transform(train).select("error", F.posexplode(vector_to_array("_leaves")).alias("tree", "leaf"))
+    bins = at.groupBy("tree", F.col("leaf").cast("int").alias("leaf"), F.floor(F.asinh("error") * BINS_PER_E).alias("bin")).agg(
+        F.count("error").alias("n"), F.sum("error").alias("s")).filter("n > 0")
+    leaves = bins.groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(F.struct("bin", "n", "s"))).alias("h"), F.sum("n").alias("total"))
+
+    def at_rank(tau: float) -> Column:
+        start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("v"))
+        return F.aggregate("h", start, lambda a, x: F.struct(
+            (a["n"] + x["n"]).alias("n"),
+            F.when(a["v"].isNull() & (a["n"] + x["n"] > tau * (F.col("total") - 1)), x["s"] / x["n"]).otherwise(a["v"]).alias("v")))["v"]
+
+    by_tree = leaves.select("tree", "leaf", F.array(*[at_rank(t) for t in taus]).alias("q")).groupBy("tree").agg(
+        F.collect_list(F.struct("leaf", "q")).alias("e"))
+    dense = F.transform(F.sequence(F.lit(0), F.array_max("e.leaf")), lambda i: F.get(F.filter("e", lambda x: x["leaf"] == i), F.lit(0))["q"])
+    return by_tree.select("tree", dense.alias("q")).agg(F.sort_array(F.collect_list(F.struct("tree", "q")))["q"].alias("t")).scalar()
+
+
+def quantile_forest(train: DataFrame, test: DataFrame, features: list[str], zones: list[str], trees: int = TREES,
+                    depth: int = DEPTH, min_leaf: int = 20, seed: int = 0, weight: str | None = None) -> DataFrame:
     """Quantile regression by forest: errors of the training rows in each leaf give the leaf's quantiles, a row's
-    prediction is their mean over the trees. The leaf table has trees x 2^depth rows, whatever the data size."""
+    prediction is their mean over the trees, looked up in the row: test rows are neither repeated nor shuffled."""
     xtr, xte = _features(train, features, zones), _features(test, features, zones)
     model = _forest(xtr, "error", trees, depth, min_leaf, seed, weight)
-
-    def leaves(df: DataFrame, extra: list[str]) -> DataFrame:
-        return model.transform(df).select(*extra, F.posexplode(vector_to_array("_leaves")).alias("_tree", "_leaf"))
-
-    table = leaves(xtr, ["error"]).groupBy("_tree", "_leaf").agg(
-        F.percentile_approx("error", F.lit(TAUS), F.lit(10000)).alias("_q"))
-    hit = leaves(xte, KEY).join(F.broadcast(table), ["_tree", "_leaf"])
-    means = hit.groupBy(*KEY).agg(*[F.avg(F.get("_q", F.lit(i))).alias(q) for i, q in enumerate(Q)])
-    return means.withColumns(sorted_quantiles(*Q))
+    rows = model.transform(xte).select(*KEY, vector_to_array("_leaves").alias("_l")).withColumn("_t", leaf_quantiles(model, xtr))
+    found = F.filter(F.zip_with("_l", "_t", lambda leaf, tree: F.get(tree, leaf.cast("int"))), lambda q: q.isNotNull())
+    sums = F.aggregate(found, F.array_repeat(F.lit(0.0), len(Q)), lambda acc, q: F.zip_with(acc, q, lambda x, y: x + y))
+    rows = rows.select(*KEY, F.size(found).alias("_n"), sums.alias("_s"))
+    return rows.select(*KEY, *[F.try_divide(F.get("_s", F.lit(i)), F.col("_n")).alias(q) for i, q in enumerate(Q)]).withColumns(sorted_quantiles(*Q))
 
 
 def blocked_predictions(train: DataFrame, test: DataFrame, fit, n_blocks: int = 5, embargo_days: int = 7):
     """Out-of-fold predictions over contiguous day blocks with an embargo around the held block, and a fit on all
-    training days for the test days. `fit(train, test)` returns quantiles; only n_blocks day ranges reach the driver."""
+    training days for the test days. `fit(train, test)` returns quantiles; only n_blocks day ranges reach the driver.
+    All fits read one checkpointed frame and run side by side."""
     marked = cut_lineage(train.join(time_blocks(train, "operating_date", n_blocks), "operating_date"))
     test = cut_lineage(test)
     spans = {r["block"]: (r["lo"], r["hi"]) for r in marked.groupBy("block").agg(
         F.min("operating_date").alias("lo"), F.max("operating_date").alias("hi")).collect()}
-    parts = []
-    for b, (lo, hi) in sorted(spans.items()):
+
+    def fold(b: int, lo, hi) -> DataFrame:
         d = F.col("operating_date")
         outside = (d < F.date_sub(F.lit(lo), embargo_days)) | (d > F.date_add(F.lit(hi), embargo_days))
-        held = marked.filter(F.col("block") == b)
-        parts.append(fit(marked.filter(outside), held).withColumn("block", F.lit(b)))
-    return stack_all(parts), fit(marked.drop("block"), test)
+        return fit(marked.filter(outside), marked.filter(F.col("block") == b)).withColumn("block", F.lit(b))
 
+    *parts, whole = side_by_side([*(lambda b=b, lo=lo, hi=hi: fold(b, lo, hi) for b, (lo, hi) in sorted(spans.items())),
+                                  lambda: fit(marked.drop("block"), test)])
+    return stack_all(parts), whole
 
-def two_stage(train: DataFrame, test: DataFrame, features: list[str], zones: list[str], trees: int = 10, depth: int = 4,
+
+def two_stage(train: DataFrame, test: DataFrame, features: list[str], zones: list[str], trees: int = TREES, depth: int = DEPTH,
               n_blocks: int = 3) -> DataFrame:
     """Median by forest, error size by a second forest on out-of-fold residuals, tails as multiples of the size."""
     def median(tr: DataFrame, te: DataFrame) -> DataFrame:
@@ -188,7 +221,7 @@ def two_stage(train: DataFrame, test: DataFrame, features: list[str], zones: lis
 
     train, test = cut_lineage(train), cut_lineage(test)
     oof, med = blocked_predictions(train, test, median, n_blocks, embargo_days=0)
-    resid = train.join(oof.drop("block"), KEY).withColumn("_resid", F.col("error") - F.col("_med")).withColumn("_abs", F.abs("_resid"))
+    resid = cut_lineage(train.join(oof.drop("block"), KEY).withColumn("_resid", F.col("error") - F.col("_med")).withColumn("_abs", F.abs("_resid")))
     sized = _features(resid, features, zones)
     model = _forest(sized, "_abs", trees, depth, 20, 0, None)
     size = F.greatest(F.col("prediction"), F.lit(1.0))
@@ -212,21 +245,20 @@ def loss_and_coverage(pred: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def ablation_grid(periods: dict[str, tuple[DataFrame, DataFrame]], experiments: dict[str, dict], features: list[str],
-                  zones: list[str], trees: int = 8, depth: int = 4) -> DataFrame:
+                  zones: list[str], trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """Loss and coverage per experiment and period, with the change against the first experiment.
 
     An experiment may set extra features, a recency half life, or several seeds whose quantiles are averaged."""
-    parts = []
-    for period, (tr, te) in periods.items():
-        tr, te = cut_lineage(tr), cut_lineage(te)  # every experiment reads the same two frames
-        for order, (name, e) in enumerate(experiments.items()):
-            cols = features + e.get("extra", [])
-            fit_on = recency_weights(tr, e["half_life"]) if e.get("half_life") else tr
-            runs = [quantile_forest(fit_on, te, cols, zones, trees, depth, seed=s,
-                                    weight="weight" if e.get("half_life") else None) for s in e.get("seeds", [0])]
-            mean = stack_all(runs).groupBy(*KEY).agg(*[F.avg(q).alias(q) for q in Q])
-            parts.append(loss_and_coverage(mean, te).withColumns({
-                "experiment": F.lit(name), "period": F.lit(period), "_order": F.lit(order)}))
-    table = stack_all(parts)
+    frames = {p: (cut_lineage(tr), cut_lineage(te)) for p, (tr, te) in periods.items()}  # every experiment reads the same two frames
+
+    def scored(period: str, order: int, name: str, e: dict) -> DataFrame:
+        tr, te = frames[period]
+        fit_on = recency_weights(tr, e["half_life"]) if e.get("half_life") else tr
+        runs = [quantile_forest(fit_on, te, features + e.get("extra", []), zones, trees, depth, seed=s,
+                                weight="weight" if e.get("half_life") else None) for s in e.get("seeds", [0])]
+        mean = runs[0] if len(runs) == 1 else stack_all(runs).groupBy(*KEY).agg(*[F.avg(q).alias(q) for q in Q])
+        return loss_and_coverage(mean, te).withColumns({"experiment": F.lit(name), "period": F.lit(period), "_order": F.lit(order)})
+
+    table = stack_all(side_by_side([lambda p=p, i=i, n=n, e=e: scored(p, i, n, e) for p in periods for i, (n, e) in enumerate(experiments.items())]))
     first = F.first("loss").over(Window.partitionBy("period").orderBy("_order"))
     return table.withColumn("vs_first_pct", 100 * (F.col("loss") / first - 1)).drop("_order")

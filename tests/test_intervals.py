@@ -92,6 +92,28 @@ def test_forest_width_follows_the_spread(spark):
     assert corr > 0.7 and 0.68 < cover < 0.92
 
 
+def test_leaf_lookup_equals_quantiles_of_the_leaves(spark):
+    """The row-local table against exact quantiles of each leaf's training errors, within the width of a bin."""
+    from pyspark.ml.functions import vector_to_array
+    rnd = random.Random(3)
+    rows = [("A", dt.date(2022, 1, 1) + dt.timedelta(days=d), 16, float(d % 9), rnd.gauss(0, 50) + 30 * (d % 9)) for d in range(600)]
+    df = spark.createDataFrame(rows, "zone string, operating_date date, hour_ending int, spread double, error double")
+    x = B._features(df, ["spread"], ["A"])
+    model = B._forest(x, "error", 5, 3, 20, 0, None)
+    table = spark.range(1).select(B.leaf_quantiles(model, x).alias("t")).first().t
+    by_leaf = {}
+    for r in model.transform(x).select("error", vector_to_array("_leaves").alias("l")).collect():
+        for tree, leaf in enumerate(r.l):
+            by_leaf.setdefault((tree, int(leaf)), []).append(r.error)
+    assert sum(len(t) for t in table) == len(by_leaf)
+    for (tree, leaf), errors in by_leaf.items():
+        errors.sort()
+        for tau, got in zip(B.TAUS, table[tree][leaf], strict=True):
+            exact = errors[int(tau * (len(errors) - 1))]
+            assert abs(got - exact) <= 0.05 * abs(exact) + 0.05
+    assert B.quantile_forest(df, df, ["spread"], ["A"], trees=5, depth=3).count() == 600
+
+
 def test_time_blocks_follow_even_split(spark):
     for n, k in ((13, 5), (20, 7), (3, 5)):
         days = spark.createDataFrame([(dt.date(2023, 12, 28) + dt.timedelta(days=i),) for i in range(n)], "d date")
