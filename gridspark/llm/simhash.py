@@ -5,10 +5,10 @@
 2. Two fingerprints within `distance` bits share a value that lies within half of it from both. So every class emits all
    variants within that radius and classes that meet at one variant are linked. Variants are not shuffled one by one: a row
    says "this fingerprint, seen from this prefix, with so many flips left", one for every prefix that its variants have
-   (29 rows stand for 2,081 variants at seven bits), and the task that owns the prefix lists the variants there.
-3. The prefix is as long as the number of classes asks for, and a prefix with more than `GROUP` variants is cut four bits
-   deeper, again and again, so a dense cluster is spread too; at full length a group is one variant, which only
-   2,081 fingerprints can share. Per row of the input the number of rows emitted never passes the number of its variants.
+   (79 rows stand for 2,081 variants at twelve bits), and the task that owns the prefix lists the variants there.
+3. The prefix has `FIRST_BITS` bits (79 rows a fingerprint) or as many more as the number of classes asks for, and a prefix
+   with more than `GROUP` variants is cut four bits deeper, again and again, so a dense cluster is spread too; at full length
+   a group is one variant, which only 2,081 fingerprints can share. A class never emits more rows than it has variants.
 4. Inside a group equal variants are found by sorting, each pair is verified by its differing bits, and a forest of the
    links leaves the task. Components of the forest give the result. Nothing is capped.
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -34,7 +35,8 @@ from gridspark.llm.common import components, labelled, written
 from gridspark.llm.textvec import SPACE_WORDS, Texts, slices
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
-GROUP = 1 << 19        # variants of one prefix that a task lists at once
+GROUP = 1 << 22        # variants of one prefix that a task lists at once
+FIRST_BITS, MEAN = 12, 1 << 19     # shortest first prefix; it is longer where the mean group would pass MEAN variants
 DEEPER = 4
 PARTS = 64
 _STEP = 1 << 16
@@ -85,7 +87,7 @@ def _signed(x: int) -> int:
 def _deeper(rows: DataFrame, bits: int, more: int, radius: int) -> DataFrame:
     """Rows (rep, fp, seen, flips left) seen from prefixes that are `more` bits longer; `seen` is the fingerprint with the prefix's flips done."""
     ways = F.array(*(F.struct(F.lit(_signed(m)).alias("mask"), F.lit(n).alias("n")) for m, n in flips(more, radius, 64 - bits - more)))
-    out = rows.select("rep", "fp", "seen", "left", F.explode(ways).alias("way")).filter("way.n <= left")
+    out = rows.select("rep", "fp", "seen", "left", F.explode(F.filter(ways, lambda w: w["n"] <= F.col("left"))).alias("way"))
     return out.select("rep", "fp", F.col("seen").bitwiseXOR(F.col("way.mask")).alias("seen"), (F.col("left") - F.col("way.n")).alias("left"))
 
 
@@ -107,12 +109,24 @@ def _spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def meet(fp: np.ndarray, rep: np.ndarray, seen: np.ndarray, left: np.ndarray, bits: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest (a, b of rep) of the links between fingerprints whose variants meet under one prefix."""
+@cache
+def _masks(bits: int, most: int) -> np.ndarray:
+    return np.array([m for m, _ in flips(bits, most)], np.uint64)
+
+
+def _ones(x: np.ndarray) -> np.ndarray:
+    return np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).sum(1)
+
+
+def meet(fp: np.ndarray, rep: np.ndarray, key: int, bits: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest (a, b of rep) of the links between fingerprints whose variants meet under the prefix `key`."""
     values, owners = [], []
+    below = np.uint64((1 << (64 - bits)) - 1)
+    seen = (fp & below) | np.uint64(key)
+    left = distance // 2 - _ones(seen ^ fp)
     for r in np.unique(left):
         at = np.flatnonzero(left == r)
-        masks = np.array([m for m, _ in flips(64 - bits, int(r))], np.uint64)
+        masks = _masks(64 - bits, int(r))
         values.append((seen[at, None] ^ masks).reshape(-1))
         owners.append(np.repeat(at, len(masks)))
     value, owner = np.concatenate(values), np.concatenate(owners)
@@ -126,7 +140,7 @@ def meet(fp: np.ndarray, rep: np.ndarray, seen: np.ndarray, left: np.ndarray, bi
     group, who = place[hit], owner[hit]
     first = np.flatnonzero(np.diff(group, prepend=-1))
     head = np.repeat(who[first], np.diff(np.append(first, len(who))))
-    near = np.unpackbits((fp[head] ^ fp[who]).view(np.uint8).reshape(-1, 8), axis=1).sum(1) <= distance
+    near = _ones(fp[head] ^ fp[who]) <= distance
     label = _spanning(head[near], who[near], len(fp))
     b = np.flatnonzero(label != np.arange(len(fp)))
     return rep[label[b]], rep[b]
@@ -136,7 +150,7 @@ def links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """a, b: links that span every group of classes (rep, fp) whose variants meet."""
     radius = distance // 2
     n = classes.count()
-    bits = min(max(math.ceil(math.log2(max(n, 1) * _variants(0, radius) / GROUP)), 0), 24)
+    bits = min(max(math.ceil(math.log2(max(n, 1) * _variants(0, radius) / MEAN)), FIRST_BITS), 24)
     rows = _deeper(classes.select("rep", "fp", F.col("fp").alias("seen"), F.lit(radius).alias("left")), 0, bits, radius)
     done = []
     while True:
@@ -152,26 +166,24 @@ def links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
         more = min(DEEPER, 64 - bits)
         rows = _deeper(judged.filter("dense"), bits, more, radius)
         bits += more
-    every = done[0]
-    for more_rows in done[1:]:
-        every = every.unionByName(more_rows)
+    every = reduce(DataFrame.unionByName, (x.select("bits", "key", "fp", "rep") for x in done))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
 
         def close(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            bits, key, fp, rep, seen, left = x
+            bits, key, fp, rep = x
             cuts = np.append(np.flatnonzero(np.append(True, (bits[1:] != bits[:-1]) | (key[1:] != key[:-1]))), len(key))
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if hi - lo > 1:
-                    a, b = meet(fp[lo:hi].view(np.uint64), rep[lo:hi], seen[lo:hi].view(np.uint64), left[lo:hi], int(bits[lo]), distance)
+                    a, b = meet(fp[lo:hi].view(np.uint64), rep[lo:hi], int(key[lo]) & (1 << 64) - 1, int(bits[lo]), distance)
                     if len(a):
                         yield pa.RecordBatch.from_pydict({"a": a, "b": b})
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(c).to_numpy() for c in ("bits", "key", "fp", "rep", "seen", "left")]
+            now = [batch.column(c).to_numpy() for c in ("bits", "key", "fp", "rep")]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             last = (held[0] == held[0][-1]) & (held[1] == held[1][-1])
             if not last.all():          # the last group may go on in the next batch
@@ -181,7 +193,7 @@ def links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
         if held is not None:
             yield from close(held)
 
-    grouped = every.repartition("bits", "key").sortWithinPartitions("bits", "key").select("bits", "key", "fp", "rep", "seen", "left")
+    grouped = every.repartition("bits", "key").sortWithinPartitions("bits", "key")
     return grouped.mapInArrow(found, "a long, b long")
 
 

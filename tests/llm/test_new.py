@@ -136,10 +136,12 @@ def near_rows():
     return rows + [(300 + k, "Copy  of A text\nhere", "en") for k in range(40)] + [(400 + k, " ".join(f"u{r.randrange(9**6)}" for _ in range(60)), "en") for k in range(60)]
 
 
-@pytest.mark.parametrize("group", [1 << 19, 40_000, 1])
-def test_simhash(spark, monkeypatch, group):
+@pytest.mark.parametrize(("group", "bits"), [(1 << 22, 12), (30_000, 3), (400, 0)])
+def test_simhash(spark, monkeypatch, group, bits):
     monkeypatch.setattr(simhash, "GROUP", group)
-    rows = near_rows()[::1 if group > 1 else 6]
+    monkeypatch.setattr(simhash, "FIRST_BITS", bits)
+    monkeypatch.setattr(simhash, "MEAN", 1 << 40)
+    rows = near_rows()[::1 if group > 400 else 6]
     check_simhash(simhash.near_duplicates(docs(spark, rows)).collect(), rows)
 
 
