@@ -41,8 +41,9 @@ def strip(c: Column) -> Column:
 
 
 # ---------------------------------------------------------------- framing
-def split_products(files: DataFrame, raw: str = "raw") -> DataFrame:
-    """One row per product of a response file, framed by control characters or, without them, by header lines.
+def framed(files: DataFrame, raw: str = "raw") -> DataFrame:
+    """One row per piece of a response file, framed by control characters or, without them, by header lines; a piece without
+    a header line has a null `wmo_header` and its whole text as body.
 
     Header line and body are cut out before the explode, so later filters on the header never touch the text again."""
     text = F.regexp_replace(F.col(raw), r"\r\n?", "\n")
@@ -59,7 +60,25 @@ def split_products(files: DataFrame, raw: str = "raw") -> DataFrame:
 
     products = F.transform(F.split(framed, FRAME), product)
     rows = files.select("*", F.posexplode(products).alias("product_no", "_p")).drop(raw)
-    return rows.select("*", "_p.wmo_header", "_p.body").drop("_p").filter(F.col("wmo_header").isNotNull())
+    return rows.select("*", "_p.wmo_header", "_p.body").drop("_p")
+
+
+def split_products(files: DataFrame, raw: str = "raw") -> DataFrame:
+    """The pieces that are products; `rejected_products` lists the others."""
+    return framed(files, raw).filter(F.col("wmo_header").isNotNull())
+
+
+def stamp(win_start: str = "win_start", win_end: str = "win_end") -> Column:
+    """Issue time by the header's day of month, inside or near the file's window; null if it is too far off."""
+    head = header_fields(F.col("wmo_header"))
+    return T.resolve_day_stamp(head["day"], head["hour"], head["minute"], F.col(win_start), F.col(win_end))
+
+
+def rejected_products(files: DataFrame, raw: str = "raw", win_start: str = "win_start", win_end: str = "win_end") -> DataFrame:
+    """Pieces with text that give no record, each with a reason: nothing that was landed is lost without a row."""
+    reason = F.when(F.col("wmo_header").isNull(), F.when(strip(F.col("body")) != "", "no header line")) \
+        .when(stamp(win_start, win_end).isNull(), "stamp outside the window")
+    return framed(files, raw).withColumn("reason", reason).filter(F.col("reason").isNotNull())
 
 
 def header_fields(line: Column) -> dict[str, Column]:
@@ -138,7 +157,7 @@ def parse_products(products: DataFrame, win_start: str = "win_start", win_end: s
     """Full record per product: header, resolved issue time, issue line, sections, reasoning text."""
     head = header_fields(F.col("wmo_header"))
     rows = products.withColumns({
-        "issued_utc": T.resolve_day_stamp(head["day"], head["hour"], head["minute"], F.col(win_start), F.col(win_end)),
+        "issued_utc": stamp(win_start, win_end),
         "office": F.substring(head["station"], 2, 3), "bbb": head["bbb"]}).filter(F.col("issued_utc").isNotNull())
     rows = rows.withColumn("_top", F.split("body", "\n", -1))
     near = F.transform(F.slice("_top", F.lit(2), F.size("_top")), lambda s: issue_line_time(strip(s)).isNotNull())

@@ -163,6 +163,15 @@ def test_nothing_is_cut_by_length(spark):
     assert value(spark, text, N.clean_text) == text.strip()
 
 
+def test_rejected_pieces_are_rows_with_a_reason(spark):
+    raw = "\u0001" + PRODUCT + "\u0003\u0001no header here\nbut text\u0003\u0001\n\u0003\u0001FXUS64 KHGX 251200\nbody\u0003"
+    df = spark.createDataFrame([(raw, "2024-07-01", "2024-07-12")], "raw string, a string, b string").select(
+        "raw", F.col("a").cast("timestamp_ntz").alias("win_start"), F.col("b").cast("timestamp_ntz").alias("win_end"))
+    gone = [(r.wmo_header, r.reason) for r in N.rejected_products(df).orderBy("product_no").collect()]
+    assert gone == [(None, "no header line"), ("FXUS64 KHGX 251200", "stamp outside the window")]
+    assert [r.wmo_header for r in N.parse_products(N.split_products(df)).collect()] == ["FXUS64 KHGX 092059"]
+
+
 def test_braces_inside_strings(spark):
     from gridspark.plans.answers import balanced
     rows = spark.createDataFrame([('{"a": "}{{", "b": [1]}',), ('{"a": "\\"}"}',), ('{"a": 1}}',), ('{"a": [1}',)], "j string")
