@@ -1,10 +1,12 @@
 """Secret scans with multipart linking: weak parts are reported only where complementary parts stand nearby.
 
 Strong kinds (`assign`, `access`, `hex`) are always reported. Weak kinds are parts of a credential that mean little alone: an
-identifier (`id`), a secret value (`key`) or an endpoint (`host`). Every span is cut into a part with a role and a scope cell
-(its start divided by the scope's width). A weak part is joined by (text, role, cell) to its own and the neighbouring
-cells of the roles that complete it, and kept if one of them starts within `SCOPE` characters. Cells are reduced to their
-first and last start before the join, so many parts in one place never make pairs.
+identifier (`id`), a secret value (`key`) or an endpoint (`host`). Every span is an interval with a role and lies in all scope
+cells (positions divided by the scope's width) from its start to its end. A weak part is joined by (text, role, cell) to the
+cells that its interval, widened by the scope on both sides, reaches, and kept if a part of a role that completes it has at
+most `SCOPE` characters between them, whatever the length of either. Cells are reduced to their first start and last end
+before the join, so many parts in one place never make pairs; that is exact, as only the outermost two cells can hold parts
+out of reach, and each of them on one side alone.
 
 Only built-in functions run: matches and the text between them (`regexp_extract_all`, `split`) give the positions, in code
 points. A cheap `rlike` guards each pattern. The spans are written once to the shared folder; texts are not shuffled.
@@ -89,12 +91,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     weak = [k for k in found if k.removeprefix("k_") in NEEDS]
     some_weak = F.greatest(*(F.size(k) for k in weak)) > 0
     parts = rows.filter(some_weak).select("key", F.explode(tagged([k for k, *_ in KINDS])).alias("x")).select("key", "x.*")
-    cells = parts.withColumn("cell", F.floor(F.col("s") / scope)).groupBy("key", "role", "cell").agg(
-        F.min("s").alias("low"), F.max("s").alias("high"))
+    def reached(low: Column, high: Column) -> Column:
+        return F.explode(F.sequence(F.floor(low / scope), F.floor(high / scope)))
+
+    cells = parts.distinct().withColumn("cell", reached(F.col("s"), F.col("e"))).groupBy("key", "role", "cell").agg(
+        F.min("s").alias("low"), F.max("e").alias("high"))
     needs = F.create_map(*(y for k, roles in NEEDS.items() for y in (F.lit(k), F.array(*map(F.lit, roles)))))
     probes = parts.filter(F.col("kind").isin(*NEEDS)).distinct().select("key", "s", "rank", "e", "kind", F.explode(needs[F.col("kind")]).alias("role")) \
-        .withColumn("cell", F.explode(F.sequence(F.floor(F.col("s") / scope) - 1, F.floor(F.col("s") / scope) + 1)))
-    near = (F.abs(F.col("low") - F.col("s")) <= scope) | (F.abs(F.col("high") - F.col("s")) <= scope)
+        .withColumn("cell", reached(F.col("s") - scope, F.col("e") + scope))
+    near = (F.col("low") <= F.col("e") + scope) & (F.col("high") >= F.col("s") - scope)
     linked = probes.join(cells, ["key", "role", "cell"]).filter(near).select("key", "s", "rank", "e", "kind").distinct()
     linked = linked.groupBy("key").agg(F.collect_list(F.struct("s", "rank", "e", "kind")).alias("weak"))
     strong = F.transform(tagged(STRONG), lambda x: F.struct(x["s"], x["rank"], x["e"], x["kind"]))

@@ -58,7 +58,7 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t F
 x AS ({" UNION ALL ".join(parts)}),
 needs(kind, role) AS (VALUES {needs}),
 kept AS (SELECT * FROM x WHERE kind IN ({strong}) OR EXISTS (
-  SELECT 1 FROM needs n JOIN x y ON y.role = n.role WHERE n.kind = x.kind AND y.rid = x.rid AND abs(y.s - x.s) <= {SCOPE}))
+  SELECT 1 FROM needs n JOIN x y ON y.role = n.role WHERE n.kind = x.kind AND y.rid = x.rid AND y.s - x.e <= {SCOPE} AND x.s - y.e <= {SCOPE}))
 SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in STRONG)},
        sha256({listed.format(text, f"kind IN ({strong})")}) AS base_sha256, {listed.format(text, "kind IS NOT NULL")} AS spans
 FROM d LEFT JOIN kept USING (rid) GROUP BY rid, doc_id

@@ -1,6 +1,8 @@
 """Quality, tokens, licenses, secrets and URLs against plain Python."""
 
 import hashlib
+import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -142,13 +144,29 @@ def test_secrets_weak_parts_need_each_other(docs_of):
     pad = "lorem " * 200
     rows = [(1, "username=alice"), (2, "username=alice\npassword=hunter22"), (3, "username=alice " + pad + " password=hunter22"),
             (4, "db postgres://db.example.com:5432 pwd: s3cretpw login=bob"), (5, "see https://example.com"), (6, "pwd: s3cretpw"),
-            (7, "username=alice" + " " * 238 + "pwd=abcdef1"), (8, "username=alice" + " " * 243 + "pwd=abcdef1")]
+            (7, "username=alice" + " " * 256 + "pwd=abcdef1"), (8, "username=alice" + " " * 257 + "pwd=abcdef1"),
+            (9, "auth: " + "k" * 302 + " client_id: abc"), (10, "login=bob auth: " + "k" * 5000 + " x"), (11, "pwd: " + "k" * 900 + " " * 256 + "http://h"),
+            (12, "pwd: " + "k" * 900 + " " * 257 + "http://h")]
     got = {r.doc_id: r.spans for r in secrets.scan(docs_of(rows)).collect()}
     assert got[1] == "" and got[5] == "" and got[6] == ""
     assert got[2] == "id:0:14,assign:15:32"
     assert "id:" not in got[3] and "assign:" in got[3]
     assert {x.split(":")[0] for x in got[4].split(",")} == {"host", "key", "id"}
-    assert got[7] == "id:0:14,key:252:263" and got[8] == ""
+    assert got[7] == "id:0:14,key:270:281" and got[8] == ""
+    assert got[9] == "key:0:308,id:309:323" and got[10] == "id:0:9,key:10:5016"
+    assert got[11] == "key:0:905,host:1161:1169" and got[12] == ""
+
+
+def test_secrets_links_are_those_of_all_pairs(docs_of):
+    draw, bits = random.Random(5), ["login=bob", "pwd=" + "k" * 700, "auth: " + "z" * 6, "http://h.example", "password=hunter22", "AKIA" + "A" * 300, "client_id=a1b"]
+    rows = [(k, "".join(draw.choice(bits) + " " * draw.choice([1, 60, 255, 256, 257, 400]) for _ in range(12))) for k in range(60)]
+    got = {r.doc_id: set(filter(None, r.spans.split(","))) for r in secrets.scan(docs_of(rows)).collect()}
+    for i, text in rows:
+        spans = [(kind, role, m.start(), m.end()) for kind, role, p, least in secrets.KINDS for m in re.finditer(p, text)
+                 if len(m.group(1 if least else 0)) >= least]
+        want = {f"{k}:{s}:{e}" for k, _, s, e in spans if k in secrets.STRONG or any(
+            role in secrets.NEEDS[k] and max(s2 - e, s - e2) <= secrets.SCOPE for _, role, s2, e2 in spans)}
+        assert got[i] == want, i
 
 
 @pytest.mark.parametrize("empty", [False, True])
