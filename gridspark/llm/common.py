@@ -77,9 +77,10 @@ def join_spread(rows: DataFrame, found: DataFrame, key: str, how: str = "left")
     One text may be that of a third of all rows, so rows are dealt over SALTS parts by their position in the scan, and the
     rows of `found`, which are only those of texts with a find, are repeated for each part.
     """
-    dealt = rows.withColumn("__salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
-    repeated = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return dealt.join(repeated, [key, "__salt"], how).drop("__salt")
+    salt = fresh(rows, "salt")["salt"]
+    dealt = rows.withColumn(salt, (F.monotonically_increasing_id() % SALTS).cast("int"))
+    repeated = found.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(repeated, [key, salt], how).drop(salt)
 
 
 def labelled(rows: DataFrame, labels: DataFrame, key: list[str], salt: str) -> DataFrame:

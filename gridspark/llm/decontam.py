@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import join_spread, row_key, written
+from gridspark.llm.common import fresh, join_spread, row_key, written
 from gridspark.llm.textvec import ALNUM_WORDS, Texts, Words, slices
 
 WINDOW = 10
@@ -164,5 +164,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents without a benchmark window, with all their columns."""
-    hit = contamination(docs, benchmark, text_col=text_col, **options).filter("contaminated").select(F.col("key").alias("__key")).distinct()
-    return join_spread(docs.withColumn("__key", row_key(text_col)), hit, "__key", "left_anti").select(*docs.columns)
+    key = fresh(docs, "key")["key"]
+    hit = contamination(docs, benchmark, text_col=text_col, **options).filter("contaminated").select(F.col("key").alias(key)).distinct()
+    return join_spread(docs.withColumn(key, row_key(text_col)), hit, key, "left_anti").select(*docs.columns)

@@ -13,7 +13,7 @@ or a single sort; streams of any length are numbered in buckets, and a hot sourc
 number. Draws depend on the seed and the counts alone, so reruns agree.
 
 Defined cases: a null text has no words; a null source is a source of its own, last in order; documents without words take
-nothing; repeated rows are neighbours in the stream and each count; other columns are ignored; an empty table gives an
+nothing; repeated rows are neighbours in the stream and each count; other columns are carried along or ignored, whatever their names; an empty table gives an
 empty result. A document never gives more than ceil(`most`) times its words.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import row_key, written
+from gridspark.llm.common import fresh, row_key, written
 from gridspark.llm.permute import permuted
 from gridspark.llm.textvec import SPACE_WORDS, Texts, slices
 
@@ -155,12 +155,13 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.
 
     A document that a pass reads whole keeps its text as it is; one read twice appears twice; one not read is gone.
     """
-    numbered = docs.withColumn("__uid", F.monotonically_increasing_id())
-    numbered = written(numbered, "numbered")
-    sizes = written(word_counts(numbered, "__uid", text_col, source_col).drop("uid").withColumnRenamed("i", "uid"), "sizes")
+    own = fresh(docs, "uid", "read")
+    numbered = written(docs.withColumn(own["uid"], F.monotonically_increasing_id()), "numbered")
+    sizes = written(word_counts(numbered, own["uid"], text_col, source_col).drop("uid").withColumnRenamed("i", "uid"), "sizes")
     read = pieces(sizes, targets(sizes, weights, share, most), block, output_shards, seed)
-    read = read.groupBy("uid", "turn").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("read"))
-    both = numbered.join(read.withColumnRenamed("uid", "__uid"), "__uid")
+    read = read.groupBy(F.col("uid").alias(own["uid"]), "turn").agg(
+        F.array_sort(F.collect_list(F.struct("first", "last"))).alias(own["read"]))
+    both = numbered.join(read.drop("turn"), own["uid"])
 
     names = docs.columns
 
@@ -170,7 +171,7 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.
                 texts = Texts.of(part.column(text_col))
                 words = texts.words(SPACE_WORDS)
                 out = []
-                for k, spans in enumerate(part.column("read").to_pylist()):
+                for k, spans in enumerate(part.column(own["read"]).to_pylist()):
                     raw, first = texts.data[texts.offsets[k]:texts.offsets[k + 1]].tobytes(), words.first[k]
                     joined: list[list[int]] = []
                     for s in spans:
@@ -186,4 +187,4 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.
                 texts_out = pa.array(out, part.schema.field(text_col).type)
                 yield pa.RecordBatch.from_arrays([texts_out if n == text_col else part.column(n) for n in names], names)
 
-    return both.select(*docs.columns, "read").mapInArrow(cut, docs.schema)
+    return both.select(*names, own["read"]).mapInArrow(cut, docs.schema)

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from conftest import SF
 from llm.brute import SPACE, contamination, gapless, near_components
+from pyspark.sql import functions as F
 
 from gridspark.llm import decontam, lsh_forest, mixing, sharding
 from gridspark.llm.common import components
@@ -230,3 +231,19 @@ def test_mixed_documents_hold_the_words_taken(bare_docs, sample):
     for _, t, s in rows:
         sizes[s] += len(SPACE.findall(t or ""))
     assert dict(got) == {s: int(v + 0.5) for s, v in water(sizes).items()}
+
+
+def test_columns_may_have_the_names_of_helpers(spark, bare_docs, sample):
+    from gridspark.llm import quality
+    rows = [*sample[:60], (900, None, None), (901, "a b c", None), (902, "", "src0"), sample[0], (None, "x y", "src1")]
+    docs, clash = bare_docs(rows), {"read": 1, "turn": 2, "uid": 3, "__uid": 4, "__read": 5, "__salt": 6, "__key": 7, "key": 8, "first": 9, "i": 10, "__i": 11, "part": 12}
+    wide = docs.select("*", *(F.lit(v).alias(c) for c, v in clash.items()))
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    for stage in (lambda d: quality.keep_good(d, labels), lambda d: lsh_forest.keep_one(d, percent=80), lambda d: decontam.keep_clean(d, benchmark),
+                  mixing.mixed_documents):
+        out = stage(wide)
+        assert out.columns == wide.columns
+        got = out.collect()
+        assert all(r[c] == v for r in got for c, v in clash.items())
+        assert Counter(tuple(r[c] for c in docs.columns) for r in got) == Counter(map(tuple, stage(docs).collect()))

@@ -141,7 +141,7 @@ def test_pipeline_stage_by_stage(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         seen[name] = docs.collect()
     good = seen["quality"]
-    want, _ = near_components([(r.doc_id, r.text) for r in good])
+    want, _ = near_components([(r.doc_id, r.text) for r in good], 80)
     assert sorted(r.doc_id for r in seen["near_duplicates"]) == sorted(i for i, c in want.items() if i == c)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     dirty = contamination([(r.doc_id, r.text) for r in seen["near_duplicates"]], items)
