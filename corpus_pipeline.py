@@ -12,15 +12,14 @@ from gridspark.llm import decontam, lsh_forest, mixing, quality, sharding
 from gridspark.llm.common import table, written
 
 
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood ratio stay."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return lsh_forest.keep_one(docs)
+    """One document of each group of near-duplicates stays: five-word shingles, linked from a similarity of 0.8."""
+    return lsh_forest.keep_one(docs, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,6 +31,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """What the mix reads: a row per document and pass, its text cut to the words read; n_chars follows the text."""
     from pyspark.sql import functions as F
     mixed = mixing.mixed_documents(docs)
+    if "n_chars" not in docs.columns:
+        return mixed
     return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
