@@ -387,6 +387,16 @@ def _(v):
     return B.normalized_target(v.daily, B.zone_scale(_train(v)))
 
 
+@job("b10_normalized_forecast", "zone operating_date:d hour_ending:i p10:4 p50:4 p90:4",
+     """WITH t AS (SELECT * FROM daily WHERE operating_date < DATE '1999-01-01'), s AS (SELECT zone, avg(abs(error)) AS s FROM t GROUP BY 1),
+             q AS (SELECT hour_ending, quantile_cont(error / s, 0.1) AS a, quantile_cont(error / s, 0.5) AS b, quantile_cont(error / s, 0.9) AS c
+                   FROM t JOIN s USING (zone) GROUP BY 1)
+        SELECT zone, operating_date, hour_ending, a * s AS p10, b * s AS p50, c * s AS p90 FROM daily JOIN q USING (hour_ending) JOIN s USING (zone)
+        WHERE operating_date >= DATE '1999-01-01'""")
+def _(v):
+    return B.normalized_forecast(_train(v), v.daily.filter(F.col("operating_date") >= F.lit(TRAIN_END).cast("date")))
+
+
 _LOSS = "(greatest(0.1 * (y - p10), -0.9 * (y - p10)) + greatest(0.5 * (y - p50), -0.5 * (y - p50)) + greatest(0.9 * (y - p90), -0.1 * (y - p90))) / 3"
 
 
@@ -478,6 +488,19 @@ def _(v):
                        M.percentile_reward(F.col("loss"), F.col("base"), ok, F.lit(True)).alias("reward_unordered"))
 
 
+@job("m05_scaled_reward", "id reward_scale:2 reward:6 reward_unordered:6",
+     f"""WITH p AS ({_PER_EX}), s AS (SELECT zone, round(quantile_cont(loss, 0.5), 2) AS s FROM p WHERE run = 'clim' AND day < DATE '1999-01-01' GROUP BY 1),
+              j AS (SELECT h.id, s, greatest(-1, least(1, CASE WHEN coalesce(s, 0) <> 0 THEN (c.loss - h.loss) / s ELSE (c.loss - h.loss) / greatest(c.loss, 5.0) END)) AS r,
+                           h.parse_ok = 1 AS ok FROM p h JOIN p c ON c.id = h.id AND c.run = 'clim' LEFT JOIN s ON s.zone = h.zone WHERE h.run = 'hist')
+         SELECT id, s AS reward_scale, CASE WHEN ok THEN r ELSE -1 END AS reward, CASE WHEN ok THEN greatest(r - 0.1, -1) ELSE -1 END AS reward_unordered FROM j""")
+def _(v):
+    pairs = E.paired(_examples(v), "clim").withColumnRenamed("ref_loss", "base")
+    train = (F.col("day") < F.lit(TRAIN_END).cast("date")) & (F.col("run") == "clim")
+    rows = M.zone_reward_scale(pairs, train).filter("run = 'hist'")
+    reward = [M.percentile_reward(F.col("loss"), F.col("base"), F.col("parse_ok") == 1, F.lit(swapped), F.col("reward_scale")) for swapped in (False, True)]
+    return rows.select("id", "reward_scale", reward[0].alias("reward"), reward[1].alias("reward_unordered"))
+
+
 @job("m06_scaled_interval_reward", "id scale:2 reward:6",
      f"""WITH s AS (SELECT id, CASE WHEN day(day) % 5 = 0 THEN NULL ELSE 0.5 + day(day) % 5 * 0.5 END AS scale, hour_ending, y, p10, p50, p90 FROM quant WHERE run = 'clim'),
          l AS (SELECT id, max(scale) AS scale, avg({_LOSS}) AS base FROM s GROUP BY 1),
@@ -665,21 +688,46 @@ def _(v):
     return E.calibration(E.with_fallback(v.quant), ["run", "zone"])
 
 
+#: the bulletins' days brought into the last year of the forecasts, and up to three offices per zone
+_BULLETIN_SHIFT = 9497
+_SLICE_OFFICES = {"A": ["src0", "src1"], "N": ["src2"], "R": ["src3", "src4", "src5"]}
+_THEME_WORDS = {name: words for name, words in zip(THEMES, ("Storms", "hail", "record high", "flooding", "tropical", "benign"), strict=True)}
+_SLICE_TEXT = "text || " + " || ".join(f"CASE WHEN doc_id % {k + 2} = 0 THEN ' {w}' ELSE '' END" for k, w in enumerate(_THEME_WORDS.values()))
+_THEMED = f"""z(zone, office) AS (VALUES {", ".join(f"('{z}', '{o}')" for z, os in _SLICE_OFFICES.items() for o in os)}),
+    b AS (SELECT office, doc_id, issued_utc - INTERVAL {_BULLETIN_SHIFT} DAY AS issued, lower({_SLICE_TEXT}) AS t FROM bulletins
+          WHERE length(trim({_SLICE_TEXT})) > 0 QUALIFY row_number() OVER (PARTITION BY office, issued_utc ORDER BY doc_id DESC) = 1),
+    zd AS (SELECT zone, office, day, {sql_cutoff('day')} - INTERVAL 5 MINUTE AS lim FROM (SELECT DISTINCT zone, day FROM pairs) JOIN z USING (zone)),
+    flags AS (SELECT zone, day, {", ".join(f"bool_or(regexp_matches(t, '{p}')) AS theme_{k}" for k, p in THEMES.items())}
+              FROM zd ASOF JOIN b ON b.office = zd.office AND b.issued < zd.lim GROUP BY 1, 2),
+    themed AS (SELECT pairs.*, flags.* EXCLUDE (zone, day) FROM pairs LEFT JOIN flags USING (zone, day))"""
 _SLICE_SQL = " UNION ALL ".join(
-    f"SELECT '{name}' AS slice, CAST({e} AS VARCHAR) AS value, run, loss, ref_loss FROM pairs"
-    for name, e in (("zone", "zone"), ("month", "strftime(day, '%m')"), ("models_agreed", "day(day) % 2 = 0"), ("big_miss", "ref_loss > 5000")))
+    f"SELECT '{name}' AS slice, CAST({e} AS VARCHAR) AS value, run, loss, ref_loss FROM themed"
+    for name, e in (("zone", "zone"), ("month", "strftime(day, '%m')"), ("models_agreed", "day(day) % 2 = 0"), ("big_miss", "ref_loss > 5000"),
+                    *((f"theme_{k}", f"coalesce(theme_{k}, false)") for k in THEMES)))
+_HOUR_SQL = f"""SELECT 'hour_ending' AS slice, 'HE' || a.hour_ending AS value, a.run, a.n, 100 * (a.l / b.l - 1) AS vs_ref_pct
+    FROM (SELECT run, hour_ending, count(*) AS n, avg({_LOSS}) AS l FROM ({_FILLED}) GROUP BY 1, 2) a
+    JOIN (SELECT hour_ending, avg({_LOSS}) AS l FROM ({_FILLED}) WHERE run = 'clim' GROUP BY 1) b USING (hour_ending)"""
 
 
-def _sliced(v):
+def _sliced(v, themes: bool = False):
     rows = _pairs(v).withColumns({"month": F.date_format("day", "MM"), "models_agreed": F.day("day") % 2 == 0,
                                   "big_miss": F.col("ref_loss") > 5000})
-    return E.slices(rows, ["zone", "month", "models_agreed", "big_miss"])
+    if not themes:
+        return E.slices(rows, ["zone", "month", "models_agreed", "big_miss"])
+    bulletins = v.bulletins.select("office", "doc_id", (F.col("issued_utc") - F.make_dt_interval(F.lit(_BULLETIN_SHIFT))).alias("issued_utc"),
+                                   F.expr(_SLICE_TEXT).alias("reasoning_text"))
+    office = F.explode(F.array(*[F.struct(F.lit(z).alias("z"), F.lit(o).alias("office")) for z, os in _SLICE_OFFICES.items() for o in os]))
+    zone_days = v.daily.select("zone", F.col("operating_date").alias("day")).distinct().select("zone", "day", office.alias("o")) \
+        .filter("zone = o.z").select("zone", "o.office", "day")
+    masks = E.theme_masks(zone_days, bulletins)
+    return E.slices(rows.join(masks, ["zone", "day"], "left").fillna(0, ["themes"]), ["zone", "month", "models_agreed", "big_miss"], "themes")
 
 
 @job("e09_slices", "slice value run n:l vs_ref_pct:4",
-     f"""WITH {_PAIRS} SELECT slice, value, run, count(*) AS n, 100 * (avg(loss) / avg(ref_loss) - 1) AS vs_ref_pct FROM ({_SLICE_SQL}) GROUP BY 1, 2, 3""")
+     f"""WITH {_PAIRS}, {_THEMED} SELECT slice, value, run, count(*) AS n, 100 * (avg(loss) / avg(ref_loss) - 1) AS vs_ref_pct FROM ({_SLICE_SQL}) GROUP BY 1, 2, 3
+         UNION ALL {_HOUR_SQL}""")
 def _(v):
-    return _sliced(v)
+    return _sliced(v, themes=True).unionByName(E.hour_slices(E.with_fallback(E.common_ids(v.quant, 2)), "clim"))
 
 
 @job("a15_slice_pivot", "run A:4 N:4 R:4",

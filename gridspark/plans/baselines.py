@@ -6,6 +6,7 @@ Forest leaves have no such bound and use mergeable counts per error bin instead.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
@@ -116,6 +117,22 @@ def normalized_target(df: DataFrame, scale: DataFrame) -> DataFrame:
     return df.join(scale, "zone").withColumn("error", F.try_divide(F.col("error"), F.col("zone_scale")))
 
 
+def scaled_back(pred: DataFrame, scale: DataFrame) -> DataFrame:
+    """Quantiles of a normalised target in the zone's own units."""
+    return pred.join(scale, "zone").withColumns({q: F.col(q) * F.col("zone_scale") for q in Q}).select(*KEY, *Q)
+
+
+def normalized_forecast(train: DataFrame, target: DataFrame, fit: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Quantiles fitted on errors in units of the zone's mean absolute training error, so that zones share what is learnt,
+    scaled back to each zone of `target`. `fit(train, target)` returns KEY and the quantiles; by default climatology by hour."""
+    scale = zone_scale(train)
+
+    def hourly(rows: DataFrame, days: DataFrame) -> DataFrame:
+        return days.select(*KEY).join(climatology(rows, ["hour_ending"]), "hour_ending")
+
+    return scaled_back((fit or hourly)(normalized_target(train, scale), target), scale)
+
+
 def select_baseline(df: DataFrame, candidates: list[str], is_validation: Column, fill: str) -> DataFrame:
     """Quantiles of the candidate with the lowest validation loss (earlier wins ties), holes filled from `fill`.
 

@@ -5,7 +5,6 @@ Everything about one product is an expression over its own row, so parsing a tab
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -218,7 +217,3 @@ def bulletins_for_days(zone_days: DataFrame, bulletins: DataFrame, keep: list[st
     hit = latest_before_cutoff(zone_days.select("office", "operating_date"), live, "issued_utc", keep[:1], keep,
                                keys=["office"], lead_minutes=margin_minutes, max_age_days=None)
     return zone_days.join(hit, ["office", "operating_date"])
-
-
-def any_theme(flags: dict[str, Column]) -> Column:
-    return reduce(lambda a, b: a | b, flags.values())

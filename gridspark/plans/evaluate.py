@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.constants import OUTCOMES, QUANTILES, THEMES, Z90
 from gridspark.functions import stats as S
 from gridspark.operators.bootstrap import interval, resampled_sums
+from gridspark.plans.bulletins import bulletins_for_days, theme_flags
 
 Q = list(QUANTILES)
 RUN = ["model", "backend", "split"]
@@ -130,16 +133,38 @@ def calibration(runs: DataFrame, keys: list[str] | None = None) -> DataFrame:
         share(z < 1).alias("within_1sd"), share(z < 2).alias("within_2sd"), share(z > 3).alias("beyond_3sd"))
 
 
-def slices(pairs: DataFrame, columns: list[str]) -> DataFrame:
-    """Loss against the reference for every value of every slice column."""
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("slice"), F.col(c).cast("string").alias("value")) for c in columns]))
-    rows = pairs.select("run", "loss", "ref_loss", cells.alias("c")).select("run", "loss", "ref_loss", "c.slice", "c.value")
+def slices(pairs: DataFrame, columns: list[str], themes: str | None = None) -> DataFrame:
+    """Loss against the reference for every value of every slice column, and of every theme if `themes` names a mask column.
+
+    Rows are summed per combination of values first; only these few sums are unpivoted."""
+    sums = pairs.groupBy("run", *columns, *([themes] if themes else [])).agg(
+        F.count("*").alias("n"), F.sum("loss").alias("loss"), F.sum("ref_loss").alias("ref_loss"))
+    values = {c: F.col(c).cast("string") for c in columns}
+    if themes:
+        values |= {f"theme_{k}": (F.getbit(themes, F.lit(bit)) == 1).cast("string") for bit, k in enumerate(THEMES)}
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("slice"), value.alias("value")) for c, value in values.items()]))
+    rows = sums.select("run", "n", "loss", "ref_loss", cells.alias("c")).select("run", "n", "loss", "ref_loss", "c.*")
     return rows.groupBy("slice", "value", "run").agg(
-        F.count("*").alias("n"), (100 * (F.avg("loss") / F.avg("ref_loss") - 1)).alias("vs_ref_pct"))
+        F.sum("n").alias("n"), (100 * (F.sum("loss") / F.sum("ref_loss") - 1)).alias("vs_ref_pct"))
+
+
+def theme_masks(zone_days: DataFrame, bulletins: DataFrame, text: str = "reasoning_text", margin_minutes: int = 5) -> DataFrame:
+    """zone, day, themes: bit k is set if the latest bulletin before the day's cutoff of any of the zone's offices holds theme k.
+
+    zone_days: zone, office, day. Texts shrink to a mask in the scan, so neither the as-of nor the join moves them. Zone-days
+    without a bulletin have no row."""
+    bits = [F.when(flag, F.lit(1 << bit)).otherwise(F.lit(0)) for bit, flag in enumerate(theme_flags(text).values())]
+    marked = bulletins.select("office", "issued_utc", "doc_id", F.col(text).alias("reasoning_text"), reduce(Column.bitwiseOR, bits).cast("long").alias("themes"))
+    hit = bulletins_for_days(zone_days.withColumnRenamed("day", "operating_date"), marked, ["doc_id", "themes"], margin_minutes)
+    return hit.groupBy("zone", F.col("operating_date").alias("day")).agg(F.bit_or("themes").alias("themes"))
 
 
-def slice_columns(themes: bool = True) -> list[str]:
-    return ["models_agreed", "big_miss", *([f"theme_{k}" for k in THEMES] if themes else []), "zone", "month"]
+def hour_slices(long: DataFrame, reference: str) -> DataFrame:
+    """Loss per hour ending against the reference run's loss at that hour; only one row per run and hour is compared."""
+    per = long.groupBy("run", "hour_ending").agg(F.count("*").alias("n"), F.avg(S.quantile_loss("y")).alias("loss"))
+    ref = F.max(F.when(F.col("run") == reference, F.col("loss"))).over(Window.partitionBy("hour_ending"))
+    return per.select(F.lit("hour_ending").alias("slice"), F.concat(F.lit("HE"), "hour_ending").alias("value"), "run", "n",
+                      (100 * (F.col("loss") / ref - 1)).alias("vs_ref_pct"))
 
 
 def pivot_slice(sliced: DataFrame, name: str, values: list[str]) -> DataFrame:

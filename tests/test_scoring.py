@@ -81,3 +81,28 @@ def test_answer_times_follow_the_answers_zone(spark):
     rows = spark.createDataFrame([("2024-07-01 12:00:00Z", "Europe/Berlin"), ("2024-07-01 12:00:00Z", "UTC"), ("2024-07-01 12:00:00Z", None)], "t string, tz string")
     got = [str(r.m) for r in rows.select(M.as_minute(F.col("t"), F.col("tz")).alias("m")).collect()]
     assert got == ["2024-07-01 14:00:00", "2024-07-01 12:00:00", "2024-07-01 07:00:00"]
+
+
+def test_theme_masks_join_the_offices_of_a_zone(spark):
+    import datetime as dt
+
+    from gridspark.constants import THEMES
+    from gridspark.plans import evaluate as E
+    at = dt.datetime(2024, 3, 4, 6)
+    rows = [("x", at, 1, "Thunderstorm and HAIL"), ("y", at, 2, "all quiet"), ("y", at + dt.timedelta(days=1), 3, "hurricane"), ("z", at, 4, None), ("z", at, 5, "  ")]
+    posts = spark.createDataFrame(rows, "office string, issued_utc timestamp_ntz, doc_id long, reasoning_text string")
+    days = spark.createDataFrame([(z, o, dt.date(2024, 3, d)) for z, o in (("both", "x"), ("both", "y"), ("none", "z")) for d in (1, 5, 8)],
+                                 "zone string, office string, day date")
+    got = {(r.zone, r.day.day): {k for i, k in enumerate(THEMES) if r.themes >> i & 1} for r in E.theme_masks(days, posts).collect()}
+    assert got == {("both", 5): {"storms", "severe", "quiet"}, ("both", 8): {"storms", "severe", "tropical"}}
+
+
+def test_scaled_reward(spark):
+    from pyspark.sql import functions as F
+
+    from gridspark.plans import scoring as M
+    rows = [(90.0, 100.0, 50.0, True, False), (90.0, 100.0, 50.0, True, True), (100.0, 100.0, 50.0, True, False), (900.0, 100.0, 50.0, True, True),
+            (0.0, 1000.0, 50.0, True, False), (90.0, 100.0, 0.0, True, False), (90.0, 100.0, None, True, False), (90.0, 100.0, 50.0, False, False)]
+    df = spark.createDataFrame(rows, "m double, b double, s double, ok boolean, swapped boolean")
+    got = [r[0] for r in df.select(M.percentile_reward(*map(F.col, ("m", "b", "ok", "swapped", "s")))).collect()]
+    assert [round(x, 6) for x in got] == [0.2, 0.1, 0.0, -1.0, 1.0, 0.1, 0.1, -1.0]
