@@ -5,7 +5,6 @@ Everything about one product is an expression over its own row, so parsing a tab
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
