@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridspark.catalog.registry import job
-from gridspark.catalog.views import sql_cutoff, sql_local
+from gridspark.catalog.text_jobs import SQL_CLEANED
+from gridspark.catalog.time_jobs import SQL_FEDERAL
+from gridspark.catalog.views import sql_cutoff, sql_hours, sql_local
 from gridspark.constants import THEMES, WEATHER_MODELS, WEATHER_VARIABLES
 from gridspark.functions import stats as S
 from gridspark.functions import timeconv as T
 from gridspark.operators import blocks, reshape
 from gridspark.operators.bootstrap import resampled_sums
 from gridspark.plans import baselines as B
+from gridspark.plans import bulletins as N
 from gridspark.plans import evaluate as E
 from gridspark.plans import features as X
 from gridspark.plans import money as R
@@ -317,11 +320,90 @@ def _(v):
         "upper": F.array_join(F.transform(hours, lambda h: fmt(F.element_at("baseline", h)["p90"])), ";")})
 
 
-@job("f13_prompts", "zone operating_date:d variant prompt")
-def _(v):
-    rows = _with_quantiles(v).withColumns({"fc_min": F.col("fc_inuse") - F.col("fc_range"), "fc_max": F.col("fc_inuse") + F.col("fc_range"),
-                                           "inuse_minus_median": F.col("fc_std"), "revision": F.col("err_lag2")})
-    return reshape.stack_all([X.prompt_lines(rows, k) for k in ("numeric", "text")])
+#: the bulletins' days brought into the last year of the forecasts, and up to three offices per zone
+_BULLETIN_SHIFT = 9497
+_SLICE_OFFICES = {"A": ["src0", "src1"], "N": ["src2"], "R": ["src3", "src4", "src5"]}
+_PLACES = f"""places(zone, place, office) AS (VALUES {", ".join(f"('{z}', {i}, '{o}')" for z, os in _SLICE_OFFICES.items() for i, o in enumerate(os))}),
+    dated AS (SELECT office, doc_id, issued_utc - INTERVAL {_BULLETIN_SHIFT} DAY AS issued_utc, text FROM bulletins WHERE length(trim(text)) > 0
+              QUALIFY row_number() OVER (PARTITION BY office, issued_utc ORDER BY doc_id DESC) = 1),
+    asked AS (SELECT zone, place, office, operating_date, {sql_cutoff('operating_date')} AS cutoff
+              FROM (SELECT DISTINCT zone, operating_date FROM daily) JOIN places USING (zone)),
+    sources AS (SELECT asked.*, b.doc_id, b.issued_utc, b.text FROM asked ASOF JOIN dated b ON b.office = asked.office AND b.issued_utc < asked.cutoff - INTERVAL 5 MINUTE)"""
+
+
+def _dated_bulletins(v):
+    return v.bulletins.select("office", "doc_id", (F.col("issued_utc") - F.make_dt_interval(F.lit(_BULLETIN_SHIFT))).alias("issued_utc"),
+                              F.col("text").alias("reasoning_text"))
+
+
+def _text_sources(v):
+    return X.text_sources(v.daily.select("zone", "operating_date").distinct(), _dated_bulletins(v), "doc_id", _SLICE_OFFICES)
+
+
+@job("f12_text_sources", "id zone operating_date:d sources",
+     f"""WITH {_PLACES}, e AS ({_EX}), l AS (SELECT zone, operating_date, string_agg(office || ' ' || strftime(issued_utc, '%Y-%m-%d %H:%M:%S'), ',' ORDER BY place) AS sources
+              FROM sources GROUP BY 1, 2)
+         SELECT e.id, e.zone, e.operating_date, coalesce(l.sources, '') AS sources FROM e LEFT JOIN l USING (zone, operating_date)""")
+def _(v):
+    ex = X.attach_provenance(X.build_examples(_with_quantiles(v), "climate").select("id", "zone", "operating_date"), _text_sources(v))
+    shown = F.transform("sources", lambda s: F.concat_ws(" ", s["office"], F.date_format(s["issued_utc"], "yyyy-MM-dd HH:mm:ss")))
+    return ex.withColumn("sources", F.coalesce(F.array_join(shown, ","), F.lit("")))
+
+
+def _mw(x: str, signed: bool = False) -> str:
+    return (f"CASE WHEN ({x}) IS NULL THEN 'n/a' ELSE CASE WHEN ({x}) < 0 THEN '-' ELSE '{'+' if signed else ''}' END"
+            f" || format('{{:,}}', CAST(round(round(abs({x}), 6)) AS BIGINT)) END")
+
+
+def _piped(*cells: str) -> str:
+    return " || ' | ' || ".join(cells)
+
+
+# every third day has no weather, every seventh no visible forecast; quantity and spread stand for the inputs
+_P_ROWS = f"""p AS (SELECT d.zone, d.operating_date, d.hour_ending, c.p10, c.p50, c.p90, day(d.operating_date) % 7 <> 0 AS fc,
+           day(d.operating_date) % 3 <> 0 AS wx, month(d.operating_date) BETWEEN 6 AND 9 AND isodow(d.operating_date) <= 5 AND NOT {SQL_FEDERAL.replace('operating_date', 'd.operating_date')} AS season,
+           quantity * 1000 AS fc_inuse, quantity * 900 AS fc_min, quantity * 1100 AS fc_max, spread - 5 AS imm, quantity - 25 AS rev, quantity AS t, spread AS dew, quantity * 2 AS cl,
+           max(error) OVER ({_W4.format(a=2, b=2)}) AS lag2,
+           CASE WHEN count(error) OVER ({_W4.format(a=8, b=2)}) >= 4 THEN avg(error) OVER ({_W4.format(a=8, b=2)}) END AS m7,
+           CASE WHEN count(error) OVER ({_W4.format(a=8, b=2)}) >= 4 THEN avg(abs(error)) OVER ({_W4.format(a=8, b=2)}) END AS a7,
+           CASE WHEN count(error) OVER ({_W4.format(a=31, b=2)}) >= 15 THEN avg(abs(error)) OVER ({_W4.format(a=31, b=2)}) END AS a30
+         FROM daily d JOIN climate c USING (zone, hour_ending))"""
+_P_QUANT = " || ' / ' || ".join(_mw(q, True) for q in ("p10", "p50", "p90"))
+_P_FC = _piped(_mw("fc_inuse"), f"{_mw('fc_min')} || ' .. ' || {_mw('fc_max')}", _mw("imm", True), _mw("rev", True))
+_P_WX = _piped(_mw("t * 9 / 5 + 32"), _mw("dew * 9 / 5 + 32"), _mw("cl"), "format('{:.1f}', round(round(dew * 9 / 5, 6), 1))")
+_P_HOURS = "'Predict the error distribution for hours ' || string_agg(CAST(hour_ending AS VARCHAR), ', ' ORDER BY hour_ending)"
+_P_DAYS = f"""g AS (SELECT zone, operating_date, 'Zone: ' || zone || chr(10) || 'Operating day: a ' || strftime(operating_date, '%A') || ' in ' || strftime(operating_date, '%B')
+             || CASE WHEN {SQL_FEDERAL} THEN ' (federal holiday)' ELSE '' END || CASE WHEN {sql_hours('operating_date')} <> 24 THEN ' (clock-change day)' ELSE '' END AS title,
+           'HE | ' || CASE WHEN bool_and(fc) THEN 'forecast MW | model range (3 models) | in use minus median | revision | ' ELSE '' END
+             || CASE WHEN bool_and(wx) THEN 'temp F | dewpoint F | cloud % | temp spread F | ' ELSE '' END || 'stat p10 / p50 / p90' AS head,
+           string_agg(hour_ending || ' | ' || CASE WHEN fc THEN {_P_FC} || ' | ' ELSE '' END || CASE WHEN wx THEN {_P_WX} || ' | ' ELSE '' END || {_P_QUANT}, chr(10) ORDER BY hour_ending) AS lines,
+           CASE WHEN bool_and(fc) THEN 'Model in use: m' || (day(operating_date) % 2) || chr(10) ELSE '' END AS in_use,
+           CASE WHEN bool_and(season) THEN 'Summer peak season: the system''s forecast peak is ' || {_mw('100 * (arg_min(t, hour_ending) / 50)')} || '% of its highest recent load; large users may curtail' || chr(10)
+                ELSE '' END AS season,
+           'Errors through two days ago: latest day ' || string_agg({_mw('lag2', True)}, ', ' ORDER BY hour_ending) || '; 7-day mean ' || {_mw('avg(m7)', True)}
+             || ', mean absolute ' || {_mw('avg(a7)')} || '; 30-day mean absolute ' || {_mw('avg(a30)')} AS recent,
+           string_agg(hour_ending || ' | ' || {_P_QUANT}, chr(10) ORDER BY hour_ending) AS plain, {_P_HOURS} AS ask FROM p GROUP BY 1, 2)"""
+_P_TEXT = f"""b AS (SELECT zone, operating_date, string_agg('Latest discussion of office ' || office || ' (' || CAST(floor((epoch_us(cutoff) - epoch_us(issued_utc)) / 3.6e9 + 0.5) AS INTEGER)
+             || ' h before the cutoff):' || chr(10) || '\"\"\"' || chr(10) || {SQL_CLEANED.replace('raw_text', 'text')} || chr(10) || '\"\"\"', chr(10) ORDER BY place) || chr(10) AS blocks FROM sources GROUP BY 1, 2)"""
+_P_NUM = "title || chr(10) || head || chr(10) || lines || chr(10) || in_use || season || recent || chr(10)"
+
+
+@job("f13_prompts", "zone operating_date:d variant chars:i digest",
+     f"""WITH {_PLACES}, {_P_ROWS}, {_P_DAYS}, {_P_TEXT},
+         x AS (SELECT zone, operating_date, variant, CASE variant WHEN 'text' THEN title || chr(10) || 'HE | stat p10 / p50 / p90' || chr(10) || plain || chr(10) ELSE {_P_NUM} END
+                   || CASE WHEN variant = 'numeric' THEN '' ELSE coalesce(blocks, '') END || ask AS prompt
+               FROM g LEFT JOIN b USING (zone, operating_date), (VALUES ('full'), ('numeric'), ('text')) k(variant))
+         SELECT zone, operating_date, variant, length(prompt) AS chars, md5(prompt) AS digest FROM x""")
+def _(v):
+    d, q, s = F.day("operating_date"), F.col("quantity"), F.col("spread")
+    wet = lambda c: F.when(d % 3 != 0, c)
+    rows = X.summer_peak_season(X.recent_errors(v.daily)).join(v.climate, ["zone", "hour_ending"]).withColumns({
+        "fc_visible": d % 7 != 0, "n_models": F.lit(3), "inuse_model": F.concat(F.lit("m"), d % 2), "fc_inuse": q * 1000, "fc_min": q * 900, "fc_max": q * 1100,
+        "inuse_minus_median": s - 5, "revision": q - 25, "sys_peak_ratio": q / 50, "temp_c": wet(q), "dewpoint_c": wet(s), "cloud_cover_pct": wet(q * 2),
+        "temp_spread_c": wet(s)})
+    texts = _text_sources(v).join(v.bulletins.select("doc_id", N.clean_text("text").alias("prompt_text")), "doc_id")
+    out = reshape.stack_all([X.prompt_lines(rows, k, texts) for k in ("full", "numeric", "text")])
+    return out.withColumns({"chars": F.length("prompt"), "digest": F.md5("prompt")})
 
 
 # ---------------------------------------------------------------- baselines
@@ -688,9 +770,6 @@ def _(v):
     return E.calibration(E.with_fallback(v.quant), ["run", "zone"])
 
 
-#: the bulletins' days brought into the last year of the forecasts, and up to three offices per zone
-_BULLETIN_SHIFT = 9497
-_SLICE_OFFICES = {"A": ["src0", "src1"], "N": ["src2"], "R": ["src3", "src4", "src5"]}
 _THEME_WORDS = {name: words for name, words in zip(THEMES, ("Storms", "hail", "record high", "flooding", "tropical", "benign"), strict=True)}
 _SLICE_TEXT = "text || " + " || ".join(f"CASE WHEN doc_id % {k + 2} = 0 THEN ' {w}' ELSE '' END" for k, w in enumerate(_THEME_WORDS.values()))
 _THEMED = f"""z(zone, office) AS (VALUES {", ".join(f"('{z}', '{o}')" for z, os in _SLICE_OFFICES.items() for o in os)}),

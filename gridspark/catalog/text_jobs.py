@@ -71,11 +71,11 @@ _CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({t},
     '(?im)/\s*Issued[^/]*/|^\s*(Issued|Updated) at .*$', '', 'g'),
     '\b\d{{3,4}}\s+[AP]M\s+[A-Z]{{3,4}}\s+(Mon|Tue|Wed|Thu|Fri|Sat|Sun)\s+[A-Z][a-z]{{2}}\s+\d{{1,2}}(\s+\d{{4}})?', '', 'g'),
     '\b20[12]\d\b', '', 'g')"""
-_CLEANED = "regexp_replace(regexp_replace(regexp_replace(" + _CLEAN.format(t="raw_text") + r", '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+SQL_CLEANED = "regexp_replace(regexp_replace(regexp_replace(" + _CLEAN.format(t="raw_text") + r", '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 
 
 @job("x05_clean_text_cut", "doc_id:l chars:i digest",
-     f"""WITH c AS (SELECT doc_id, {_CLEANED} AS t FROM bulletins),
+     f"""WITH c AS (SELECT doc_id, {SQL_CLEANED} AS t FROM bulletins),
          d AS (SELECT doc_id, CASE WHEN length(t) > 1800 THEN regexp_replace(substr(t, 1, 1800), '(?s) [^ ]*$', '') || ' [...]' ELSE t END AS t FROM c)
          SELECT doc_id, length(t) AS chars, md5(t) AS digest FROM d""")
 def _(v):
@@ -84,7 +84,7 @@ def _(v):
 
 
 @job("x05_clean_text", "doc_id:l chars:i digest",
-     f"WITH c AS (SELECT doc_id, {_CLEANED} AS t FROM bulletins) SELECT doc_id, length(t) AS chars, md5(t) AS digest FROM c")
+     f"WITH c AS (SELECT doc_id, {SQL_CLEANED} AS t FROM bulletins) SELECT doc_id, length(t) AS chars, md5(t) AS digest FROM c")
 def _(v):
     t = N.clean_text("raw_text")
     return v.bulletins.select("doc_id", F.length(t).alias("chars"), F.md5(t).alias("digest"))

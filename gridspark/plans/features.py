@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.constants import PEAK_HOURS, QUANTILES, WEATHER_MODELS, WEATHER_POINTS, WEATHER_VARIABLES, ZONE_LABEL
+from gridspark.constants import (PEAK_HOURS, QUANTILES, SYSTEM_OFFICES, WEATHER_MODELS, WEATHER_POINTS, WEATHER_VARIABLES,
+                                 ZONE_LABEL, ZONE_OFFICES)
 from gridspark.functions import stats as S
 from gridspark.functions import timeconv as T
 from gridspark.operators.reshape import recode, row_stats
+from gridspark.plans.bulletins import bulletins_for_days
 
 KEY = ["zone", "operating_date", "hour_ending"]
 WEATHER_COLUMNS = list(WEATHER_VARIABLES.values())
@@ -281,52 +283,106 @@ def build_examples(df: DataFrame, baseline_name: str, hours: list[int] = PEAK_HO
         T.cutoff_utc("operating_date").alias("cutoff_utc"))
 
 
-def attach_provenance(examples: DataFrame, texts: DataFrame) -> DataFrame:
-    """List of (office, issue time) behind each example. At most three offices serve one zone-day."""
-    listed = texts.groupBy("zone", "operating_date").agg(
-        F.array_sort(F.collect_list(F.struct("office", "issued_utc"))).alias("sources"))
-    return examples.join(listed, ["zone", "operating_date"], "left")
+def zone_offices(zone_days: DataFrame, offices: dict[str, list[str]] | None = None) -> DataFrame:
+    """A row per zone-day and weather office that serves the zone, with the office's place in the zone's list."""
+    offices = offices or {**ZONE_OFFICES, "system_total": SYSTEM_OFFICES}
+    listed = F.create_map(*[x for zone, names in offices.items() for x in (F.lit(zone), F.array(*[F.lit(n) for n in names]))])
+    return zone_days.select("zone", "operating_date", F.posexplode(F.try_element_at(listed, "zone")).alias("place", "office"))
 
 
-# ---------------------------------------------------------------- prompt text
-def _number(c: Column, signed: bool = False) -> Column:
-    fmt = "%+,.0f" if signed else "%,.0f"
-    return F.when(c.isNull(), "n/a").otherwise(F.format_string(fmt, c))
+def text_sources(zone_days: DataFrame, bulletins: DataFrame, row_id: str, offices: dict[str, list[str]] | None = None) -> DataFrame:
+    """The bulletin each office had out before the zone-day's cutoff: zone, operating_date, place, office, issued_utc and the row id.
 
+    Only ids and times go through the lookup; texts are joined by id where they are wanted."""
+    return bulletins_for_days(zone_offices(zone_days, offices), bulletins, keep=[row_id])
 
-def prompt_lines(df: DataFrame, variant: str = "full") -> DataFrame:
-    """User text of one zone-day: heading, one line per hour, recent errors, closing request."""
-    quant = F.concat_ws(" / ", *[_number(F.col(k), True) for k in QUANTILES])
-    he = F.col("hour_ending").cast("string")
-    if variant == "text":
-        line, head = F.concat_ws(" | ", he, quant), "HE | stat p10 / p50 / p90"
-    else:
-        model_range = F.concat(_number(F.col("fc_min")), F.lit(" .. "), _number(F.col("fc_max")))
-        line = F.concat_ws(" | ", he, _number(F.col("fc_inuse")), model_range,
-                           _number(F.col("inuse_minus_median"), True), _number(F.col("revision"), True), quant)
-        head = "HE | forecast MW | model range | in use minus median | revision | stat p10 / p50 / p90"
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("hour_ending", line.alias("line")))), lambda r: r["line"])
-    day = df.groupBy("zone", "operating_date").agg(
-        F.array_join(rows, "\n").alias("_rows"), F.array_sort(F.collect_set("hour_ending")).alias("_hours"),
-        F.avg("err_mean7").alias("_m7"), F.avg("err_mae7").alias("_a7"), F.avg("err_mae30").alias("_a30"))
+
+def attach_provenance(examples: DataFrame, sources: DataFrame) -> DataFrame:
+    """List of (office, issue time) behind each example, in the order of the zone's offices; null where there is none.
+
+    At most three offices serve one zone-day."""
+    listed = sources.groupBy("zone", "operating_date").agg(
+        F.array_sort(F.collect_list(F.struct("place", "office", "issued_utc"))).alias("_all"))
+    listed = listed.select("zone", "operating_date", F.transform(
+        "_all", lambda s: F.struct(s["office"].alias("office"), s["issued_utc"].alias("issued_utc"))).alias("sources"))
+    return examples.join(listed, ["zone", "operating_date"], "left")
+
+
+# ---------------------------------------------------------------- prompt text
+def _number(c: Column, signed: bool = False, decimals: int = 0) -> Column:
+    """Rounded to six places first, so that sums added in another order print alike."""
+    return F.when(c.isNull(), "n/a").otherwise(F.format_string(f"%{'+' if signed else ''},.{decimals}f", F.round(c.cast("double"), 6)))
+
+
+def _quantile_text() -> Column:
+    return F.concat_ws(" / ", *[_number(F.col(k), True) for k in QUANTILES])
+
+
+def prompt_lines(df: DataFrame, variant: str = "full", texts: DataFrame | None = None) -> DataFrame:
+    """User text of one zone-day in one of three variants.
+
+    numeric: a line per hour (forecast, model range, weather, quantiles), the in-use model, the peak-season line, recent errors.
+    text: hours with quantiles only, then the bulletins. full: both. The request for the hours closes all of them.
+    Forecast columns are left out of a day whose forecast is not visible at the cutoff (`fc_visible` false), weather columns of a
+    day without any temperature; the season line needs a ratio. A group is one zone-day. `texts`: see `bulletin_blocks`."""
+    if variant not in ("full", "numeric", "text"):
+        raise ValueError(f"no prompt variant {variant}")
+
+    def have(name: str, kind: str) -> Column:
+        return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+    def at_first_hour(name: str, kind: str) -> Column:
+        return F.min_by(F.struct(have(name, kind).alias("v")), "hour_ending")["v"]
+
+    def fahrenheit(name: str) -> Column:
+        return _number(have(name, "double") * 9 / 5 + 32)
+
+    forecast = F.concat_ws(" | ", _number(F.col("fc_inuse")), F.concat(_number(F.col("fc_min")), F.lit(" .. "), _number(F.col("fc_max"))),
+                           _number(F.col("inuse_minus_median"), True), _number(F.col("revision"), True))
+    weather = F.concat_ws(" | ", fahrenheit("temp_c"), fahrenheit("dewpoint_c"), _number(have("cloud_cover_pct", "double")),
+                          _number(have("temp_spread_c", "double") * 9 / 5, decimals=1))
+    numeric = variant != "text"
+    inputs = [forecast.alias("forecast"), weather.alias("weather"), _number(F.col("err_lag2"), True).alias("lag")] if numeric else []
+    hour = F.struct("hour_ending", _quantile_text().alias("quantiles"), *inputs)
+    of_day = [F.bool_or(have("temp_c", "double").isNotNull()).alias("_wx"), F.coalesce(at_first_hour("fc_visible", "boolean"), F.lit(True)).alias("_fc"),
+              *[F.avg(c).alias(f"_{c}") for c in ("err_mean7", "err_mae7", "err_mae30")],
+              *[at_first_hour(c, k).alias(f"_{c}") for c, k in (("n_models", "int"), ("inuse_model", "string"), ("is_peak_season", "boolean"),
+                                                                ("sys_peak_ratio", "double"))]] if numeric else []
+    day = df.groupBy("zone", "operating_date").agg(F.array_sort(F.collect_list(hour)).alias("_h"), *of_day)
     d = F.col("operating_date")
-    label = F.coalesce(recode("zone", ZONE_LABEL), F.col("zone"))
-    title = F.concat(F.lit("Zone: "), label, F.lit("\nOperating day: a "), F.date_format(d, "EEEE"), F.lit(" in "),
-                     F.date_format(d, "MMMM"), F.when(T.is_federal_holiday(d), " (federal holiday)").otherwise(""),
+    title = F.concat(F.lit("Zone: "), F.coalesce(recode("zone", ZONE_LABEL), F.col("zone")), F.lit("\nOperating day: a "), F.date_format(d, "EEEE"),
+                     F.lit(" in "), F.date_format(d, "MMMM"), F.when(T.is_federal_holiday(d), " (federal holiday)").otherwise(""),
                      F.when(T.is_change_day(d), " (clock-change day)").otherwise(""))
-    recent = F.concat(F.lit("Errors through two days ago: 7-day mean "), _number(F.col("_m7"), True),
-                      F.lit(", mean absolute "), _number(F.col("_a7")), F.lit("; 30-day mean absolute "), _number(F.col("_a30")))
-    ask = F.concat(F.lit("Predict the error distribution for hours "), F.array_join(F.col("_hours").cast("array<string>"), ", "))
-    parts = [title, F.lit(head), F.col("_rows")] + ([] if variant == "text" else [recent]) + [ask]
-    return day.select("zone", "operating_date", F.lit(variant).alias("variant"), F.concat_ws("\n", *parts).alias("prompt"))
+    hours = F.array_join(F.transform("_h", lambda h: h["hour_ending"].cast("string")), ", ")
+    ask = F.concat(F.lit("Predict the error distribution for hours "), hours)
+    if numeric:
+        models = F.coalesce(F.concat(F.lit(" ("), F.col("_n_models").cast("string"), F.lit(" models)")), F.lit(""))
+        head = F.concat_ws(" | ", F.lit("HE"), F.when(F.col("_fc"), F.concat(F.lit("forecast MW | model range"), models, F.lit(" | in use minus median | revision"))),
+                           F.when(F.col("_wx"), "temp F | dewpoint F | cloud % | temp spread F"), F.lit("stat p10 / p50 / p90"))
+        lines = F.transform("_h", lambda h: F.concat_ws(" | ", h["hour_ending"].cast("string"), F.when(F.col("_fc"), h["forecast"]),
+                                                        F.when(F.col("_wx"), h["weather"]), h["quantiles"]))
+        in_use = F.when(F.col("_fc"), F.concat(F.lit("Model in use: "), F.coalesce("_inuse_model", F.lit("n/a"))))
+        season = F.when(F.col("_is_peak_season") & F.col("_sys_peak_ratio").isNotNull(), F.concat(
+            F.lit("Summer peak season: the system's forecast peak is "), _number(100 * F.col("_sys_peak_ratio")),
+            F.lit("% of its highest recent load; large users may curtail")))
+        recent = F.concat(F.lit("Errors through two days ago: latest day "), F.array_join(F.transform("_h", lambda h: h["lag"]), ", "),
+                          F.lit("; 7-day mean "), _number(F.col("_err_mean7"), True), F.lit(", mean absolute "), _number(F.col("_err_mae7")),
+                          F.lit("; 30-day mean absolute "), _number(F.col("_err_mae30")))
+        parts = [title, head, F.array_join(lines, "\n"), in_use, season, recent]
+    else:
+        lines = F.transform("_h", lambda h: F.concat_ws(" | ", h["hour_ending"].cast("string"), h["quantiles"]))
+        parts = [title, F.lit("HE | stat p10 / p50 / p90"), F.array_join(lines, "\n")]
+    if variant != "numeric" and texts is not None:
+        day = day.join(bulletin_blocks(texts), ["zone", "operating_date"], "left")
+        parts.append(F.col("_blocks"))
+    return day.select("zone", "operating_date", F.lit(variant).alias("variant"), F.concat_ws("\n", *parts, ask).alias("prompt"))
 
 
-def add_bulletin_text(prompts: DataFrame, texts: DataFrame) -> DataFrame:
-    """Insert the zone-day's bulletins with their age in hours. `texts`: zone, operating_date, office, issued_utc,
-    prompt_text; at most three offices serve one zone-day."""
+def bulletin_blocks(texts: DataFrame) -> DataFrame:
+    """A zone-day's bulletins with their age in hours, in the order of its offices. `texts`: zone, operating_date, place, office,
+    issued_utc, prompt_text (null: left out); at most three offices serve one zone-day."""
     age = F.floor(T.interval_seconds(T.cutoff_utc("operating_date") - F.col("issued_utc")) / 3600 + 0.5).cast("int")
     block = F.concat(F.lit("Latest discussion of office "), F.col("office"), F.lit(" ("), age.cast("string"),
                      F.lit(' h before the cutoff):\n"""\n'), F.col("prompt_text"), F.lit('\n"""'))
-    joined = texts.groupBy("zone", "operating_date").agg(F.array_join(F.array_sort(F.collect_list(block)), "\n").alias("_b"))
-    return prompts.join(joined, ["zone", "operating_date"], "left").withColumn(
-        "prompt", F.concat_ws("\n", "prompt", "_b")).drop("_b")
+    return texts.filter(F.col("prompt_text").isNotNull()).groupBy("zone", "operating_date").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("place", block.alias("block")))), lambda b: b["block"]), "\n").alias("_blocks"))

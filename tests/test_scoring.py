@@ -106,3 +106,49 @@ def test_scaled_reward(spark):
     df = spark.createDataFrame(rows, "m double, b double, s double, ok boolean, swapped boolean")
     got = [r[0] for r in df.select(M.percentile_reward(*map(F.col, ("m", "b", "ok", "swapped", "s")))).collect()]
     assert [round(x, 6) for x in got] == [0.2, 0.1, 0.0, -1.0, 1.0, 0.1, 0.1, -1.0]
+
+
+def test_prompt_variants(spark):
+    import datetime as dt
+    from gridspark.plans import features as X
+    hours = "zone string, operating_date date, hour_ending int, p10 double, p50 double, p90 double, fc_inuse double, fc_min double, fc_max double, " \
+            "inuse_minus_median double, revision double, n_models int, inuse_model string, fc_visible boolean, temp_c double, dewpoint_c double, " \
+            "cloud_cover_pct double, temp_spread_c double, is_peak_season boolean, sys_peak_ratio double, err_lag2 double, err_mean7 double, err_mae7 double, err_mae30 double"
+    day, plain = dt.date(2024, 7, 9), dt.date(2024, 3, 10)
+    row = (-900.0, 50.0, 1100.0, 12345.0, 12000.0, 13000.0, 10.0, None, 3, "m1", True, 35.0, 20.0, 40.0, 1.0, True, 0.983, -0.4, 5.0, 6.0, None)
+    blind = (*row[:10], False, None, None, None, None, False, None, 1.0, 2.0, 3.0, 4.0)
+    df = spark.createDataFrame([("coast", day, 17, *row), ("coast", day, 16, *row), ("west", plain, 16, *blind)], hours)
+    sources = spark.createDataFrame(
+        [("coast", day, 1, "CRP", dt.datetime(2024, 7, 8, 3, 0), "second"), ("coast", day, 0, "HGX", dt.datetime(2024, 7, 8, 9, 0), "first"),
+         ("coast", day, 2, "X", dt.datetime(2024, 7, 8, 9, 0), None)],
+        "zone string, operating_date date, place int, office string, issued_utc timestamp_ntz, prompt_text string")
+    got = {k: {r.zone: r.prompt for r in X.prompt_lines(df, k, sources).collect()} for k in ("full", "numeric", "text")}
+    full = got["full"]["coast"].split("\n")
+    assert full[:2] == ["Zone: Coast (Houston)", "Operating day: a Tuesday in July"]
+    assert full[2] == ("HE | forecast MW | model range (3 models) | in use minus median | revision | temp F | dewpoint F | cloud % | temp spread F | "
+                       "stat p10 / p50 / p90")
+    assert full[3] == "16 | 12,345 | 12,000 .. 13,000 | +10 | n/a | 95 | 68 | 40 | 1.8 | -900 / +50 / +1,100" and full[4].startswith("17 | ")
+    assert full[5:8] == ["Model in use: m1", "Summer peak season: the system's forecast peak is 98% of its highest recent load; large users may curtail",
+                         "Errors through two days ago: latest day -0, -0; 7-day mean +5, mean absolute 6; 30-day mean absolute n/a"]
+    assert [x for x in full if x in ("first", "second")] == ["first", "second"] and "office X" not in got["full"]["coast"]
+    assert full[-1] == "Predict the error distribution for hours 16, 17"
+    assert got["numeric"]["coast"] == "\n".join(full[:8] + full[-1:])
+    assert got["text"]["coast"] == "\n".join(full[:2] + ["HE | stat p10 / p50 / p90", "16 | -900 / +50 / +1,100", "17 | -900 / +50 / +1,100"] + full[8:])
+    assert got["full"]["west"].split("\n") == [
+        "Zone: West (Abilene/San Angelo)", "Operating day: a Sunday in March (clock-change day)", "HE | stat p10 / p50 / p90", "16 | -900 / +50 / +1,100",
+        "Errors through two days ago: latest day +1; 7-day mean +2, mean absolute 3; 30-day mean absolute 4", "Predict the error distribution for hours 16"]
+
+
+def test_text_sources_take_the_zone_offices_in_order(spark):
+    import datetime as dt
+    from gridspark.plans import features as X
+    day = dt.date(2024, 7, 9)
+    days = spark.createDataFrame([("coast", day), ("nowhere", day)], "zone string, operating_date date")
+    at = lambda d, h, m=0: dt.datetime(2024, 7, d, h, m)
+    # the cutoff of the day is fixed in UTC by the market clock; anything of the same evening is too late
+    bulletins = spark.createDataFrame(
+        [("HGX", 1, at(7, 3), "a"), ("HGX", 2, at(8, 3), "b"), ("HGX", 3, at(8, 23), "late"), ("CRP", 4, at(6, 1), "c"), ("CRP", 5, at(8, 1), " "), ("MAF", 6, at(8, 1), "x")],
+        "office string, doc_id long, issued_utc timestamp_ntz, reasoning_text string")
+    found = X.text_sources(days, bulletins, "doc_id")
+    out = {r.zone: r.sources for r in X.attach_provenance(days, found).collect()}
+    assert [(s.office, s.issued_utc) for s in out["coast"]] == [("HGX", at(8, 3)), ("CRP", at(6, 1))] and out["nowhere"] is None
