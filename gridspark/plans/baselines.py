@@ -21,6 +21,7 @@ from gridspark.constants import QUANTILES
 from gridspark.functions.stats import covered, quantile_loss, sorted_quantiles
 from gridspark.operators.blocks import time_blocks
 from gridspark.operators.reshape import stack_all
+from gridspark.operators.selection import exact_quantiles
 from gridspark.plans.features import KEY, day_number
 from gridspark.session import cut_lineage
 
@@ -54,17 +55,23 @@ def trailing_quantiles(df: DataFrame, window_days: int = 90, min_obs: int = 20,
     return rows.select(*KEY, *extra, known["_stat"].alias("_q")).select(*KEY, *extra, *_spread(F.col("_q")))
 
 
+def medians(df: DataFrame, columns: list[str]) -> Column:
+    """A struct of the columns' exact medians, found when the query runs; see `exact_quantiles` for groups beyond a task's memory."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("e"))
+    found = exact_quantiles(long.select("e.name", "e.v"), "v", [0.5], ["name"])
+    wide = found.agg(*[F.max(F.when(F.col("name") == c, F.get("quantiles", F.lit(0)))).alias(c) for c in columns])
+    return wide.select(F.struct(*columns)).scalar()
+
+
 def scale_heuristic(train: DataFrame, target: DataFrame, scale_columns: list[str], floor: float = 0.2) -> DataFrame:
     """Zone quantiles of the error in units of a day-specific scale, times the target day's scale.
 
-    The overall medians run over published values with few decimals: an exact percentile keeps one counter per distinct
-    value, combined map-side, so its size follows the value range and not the rows."""
-    centre = {c: train.select(F.percentile(c, F.lit(0.5))).scalar() for c in scale_columns}
+    The overall medians are selected by rank over value ranges, so no task holds all different values."""
+    centre = medians(train, scale_columns)
 
     def scaled(df: DataFrame) -> DataFrame:
-        own = {c: df.select(F.percentile(c, F.lit(0.5))).scalar() for c in scale_columns}
-        rows = df.withColumns({**{f"_c_{c}": centre[c] for c in scale_columns}, **{f"_o_{c}": own[c] for c in scale_columns}})
-        parts = [F.coalesce(F.col(c), F.col(f"_o_{c}")) / F.col(f"_c_{c}") for c in scale_columns]
+        rows = df.withColumns({"_centre": centre, "_own": medians(df, scale_columns)})
+        parts = [F.coalesce(F.col(c), F.col("_own")[c]) / F.col("_centre")[c] for c in scale_columns]
         total = parts[0]
         for p in parts[1:]:
             total = total + p

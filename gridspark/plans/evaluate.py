@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridspark.constants import OUTCOMES, QUANTILES, THEMES, Z90
 from gridspark.functions import stats as S
 from gridspark.operators.bootstrap import interval, resampled_sums
+from gridspark.operators.selection import exact_quantiles
 from gridspark.plans.bulletins import bulletins_for_days, theme_flags
 
 Q = list(QUANTILES)
@@ -175,11 +176,12 @@ def pivot_slice(sliced: DataFrame, name: str, values: list[str]) -> DataFrame:
 def price_weights(rows: DataFrame, zero_as_missing: bool = True) -> DataFrame:
     """Non-negative price weights; a missing (or exactly zero) price takes the median of the run's known prices.
 
-    Prices carry cents, so the exact median keeps one counter per distinct price, combined map-side."""
+    The medians are selected by rank over value ranges, so a run's prices never meet in one task."""
     known = F.col("price").isNotNull() & (~(F.col("price") == 0) if zero_as_missing else F.lit(True))
     w = F.when(known, F.greatest("price", F.lit(0.0)))
-    med = (rows.groupBy("run").agg(F.percentile(F.when(known, F.col("price")), F.lit(0.5)).alias("_med")))
-    return rows.join(med, "run").withColumn("weight", F.coalesce(w, F.col("_med"))).drop("_med")
+    found = exact_quantiles(rows.select("run", F.when(known, F.col("price")).alias("price")), "price", [0.5], ["run"])
+    med = found.select("run", F.get("quantiles", F.lit(0)).alias("_med"))
+    return rows.join(med, "run", "left").withColumn("weight", F.coalesce(w, F.col("_med"))).drop("_med")
 
 
 def extra_metrics(runs: DataFrame, prices: DataFrame, climate: DataFrame, reference: str) -> DataFrame:
