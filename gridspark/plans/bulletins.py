@@ -39,14 +39,16 @@ def strip(c: Column) -> Column:
 
 
 # ---------------------------------------------------------------- framing
-def framed(files: DataFrame, raw: str = "raw") -> DataFrame:
+def framed(files: DataFrame, raw: str = "raw", is_piece: str | None = None) -> DataFrame:
     """One row per piece of a response file, framed by control characters or, without them, by header lines; a piece without
-    a header line has a null `wmo_header` and its whole text as body.
+    a header line has a null `wmo_header` and its whole text as body. Rows where the column `is_piece` is true hold one piece
+    of a framed file already.
 
     Header line and body are cut out before the explode, so later filters on the header never touch the text again."""
     text = F.regexp_replace(F.col(raw), r"\r\n?", "\n")
     starts = F.regexp_replace(text, LINES + r"^(?=[A-Z]{4}\d{2} K[A-Z]{3} \d{6})", FRAME)
-    framed = F.when(text.contains(FRAME), text).otherwise(starts)
+    whole = text.contains(FRAME) if is_piece is None else text.contains(FRAME) | F.col(is_piece)
+    framed = F.when(whole, text).otherwise(starts)
 
     def product(chunk: Column) -> Column:
         plain = F.regexp_replace(F.translate(chunk, NAME_END + "\u0003", ""), r"^\n+|\n+$", "")
@@ -74,9 +76,13 @@ def stamp(win_start: str = "win_start", win_end: str = "win_end") -> Column:
 
 def rejected_products(files: DataFrame, raw: str = "raw", win_start: str = "win_start", win_end: str = "win_end") -> DataFrame:
     """Pieces with text that give no record, each with a reason: nothing that was landed is lost without a row."""
+    return rejected_pieces(framed(files, raw), win_start, win_end)
+
+
+def rejected_pieces(pieces: DataFrame, win_start: str = "win_start", win_end: str = "win_end") -> DataFrame:
     reason = F.when(F.col("wmo_header").isNull(), F.when(strip(F.col("body")) != "", "no header line")) \
         .when(stamp(win_start, win_end).isNull(), "stamp outside the window")
-    return framed(files, raw).withColumn("reason", reason).filter(F.col("reason").isNotNull())
+    return pieces.withColumn("reason", reason).filter(F.col("reason").isNotNull())
 
 
 def header_fields(line: Column) -> dict[str, Column]:

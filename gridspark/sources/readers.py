@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import logging
+from functools import reduce
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
@@ -9,18 +14,73 @@ from pyspark.sql import types as ST
 from gridspark.constants import FORECAST_ZONE_COLUMNS, LOCAL_TZ, POINT_TYPES, WEATHER_VARIABLES
 from gridspark.functions import timeconv as T
 from gridspark.operators.reshape import melt, recode
-from gridspark.plans.bulletins import split_products
+from gridspark.plans.bulletins import FRAME, framed
 from gridspark.sources.posts import clean_listing, localize_post_times
 
+LOG = logging.getLogger(__name__)
+
 
 # ---------------------------------------------------------------- parquet and JSON lines
+def wider_type(spark: SparkSession, types: list[ST.DataType]) -> ST.DataType:
+    """The type all given ones widen to (whole numbers to double, dates to timestamps); text takes in everything else."""
+    if any(isinstance(t, ST.StringType) for t in types):
+        return ST.StringType()
+    try:
+        return spark.range(0).select(F.coalesce(*[F.lit(None).cast(t) for t in types]).alias("c")).schema["c"].dataType
+    except AnalysisException:
+        if any(isinstance(t, (ST.StructType, ST.ArrayType, ST.MapType)) for t in types):
+            raise
+        return ST.StringType()
+
+
+def _like_groups(spark: SparkSession, files: list[str], options: dict[str, str]) -> list[tuple[list[str], ST.StructType]]:
+    """Files in groups whose schemas Spark can merge. A set that cannot be merged is halved, so the number of merges (each one a
+    job over footers) follows the number of times the types change along the file names, not the number of files."""
+    try:
+        return [(files, spark.read.options(mergeSchema="true", **options).parquet(*files).schema)]
+    except (PySparkException, Py4JJavaError) as e:
+        if len(files) == 1 or "CANNOT_MERGE" not in str(e):
+            raise
+    middle = len(files) // 2
+    return _like_groups(spark, files[:middle], options) + _like_groups(spark, files[middle:], options)
+
+
 def read_parquet(spark: SparkSession, path: str | list[str], columns: list[str] | None = None) -> DataFrame:
-    """Month files united by column name, narrowed to the wanted columns so the scan is pruned."""
-    paths = [path] if isinstance(path, str) else path
-    df = spark.read.option("mergeSchema", True).parquet(*paths)
+    """Month files united by column name, narrowed to the wanted columns so the scan is pruned.
+
+    A column whose type differs between files takes the wider type, with a line in the log; one that files lack is null."""
+    paths = [path] if isinstance(path, str) else list(path)
+    options = {"basePath": paths[0]} if isinstance(path, str) and not path.endswith(".parquet") else {}
+    reader = spark.read.options(mergeSchema="true", **options)
+    try:
+        df = reader.parquet(*paths)
+    except (PySparkException, Py4JJavaError) as e:
+        if "CANNOT_MERGE" not in str(e):
+            raise
+        files = sorted(spark.read.options(**options).parquet(*paths).inputFiles())
+        df = _united(spark, _like_groups(spark, files, options), options)
     return df.select(*columns) if columns else df
 
 
+def _united(spark: SparkSession, groups: list[tuple[list[str], ST.StructType]], options: dict[str, str]) -> DataFrame:
+    found: dict[str, list[ST.DataType]] = {}
+    for _, schema in groups:
+        for f in schema.fields:
+            seen = found.setdefault(f.name, [])
+            if f.dataType not in seen:
+                seen.append(f.dataType)
+    widened = {name: wider_type(spark, types) if len(types) > 1 else types[0] for name, types in found.items()}
+    for name, types in found.items():
+        if len(types) > 1:
+            LOG.warning("column %s: %s read as %s", name, ", ".join(t.simpleString() for t in types), widened[name].simpleString())
+    alike: dict[str, tuple[list[str], ST.StructType]] = {}
+    for files, schema in groups:
+        alike.setdefault(schema.json(), ([], schema))[0].extend(files)
+    parts = [spark.read.options(**options).schema(schema).parquet(*files).select(*[F.col(f.name).cast(widened[f.name]).alias(f.name) for f in schema.fields])
+             for files, schema in alike.values()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select(*widened)
+
+
 def read_json_lines(spark: SparkSession, path: str | list[str], schema: ST.StructType | str) -> DataFrame:
     """Declared schema; broken lines are dropped, as a resumed run expects."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
@@ -154,7 +214,19 @@ def read_listing(spark: SparkSession, path) -> DataFrame:
     return document_listing(spark.read.schema(schema).json(path).select(F.inline("archives")))
 
 
-def read_bulletins(spark: SparkSession, path) -> DataFrame:
-    """Response files to products. A file is one row here, so land responses per office and month."""
-    files = spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "raw")
-    return split_products(files)
+def bulletin_pieces(spark: SparkSession, path, windows: DataFrame | None = None) -> DataFrame:
+    """Pieces of response files, with the file's name (`file`) and, from `windows` (file, win_start, win_end), its window.
+
+    Files are read up to each frame character, so a framed file of any size is many tasks and only a piece must fit in a row. A
+    record as long as its file has no frame in it: such a file is one row, cut at header lines. `product_no` counts inside a row."""
+    rows = spark.read.option("lineSep", FRAME).text(path).select(
+        F.col("value").alias("raw"), F.col("_metadata.file_name").alias("file"),
+        (F.octet_length("value") < F.col("_metadata.file_size")).alias("_piece"))
+    if windows is not None:
+        rows = rows.join(windows.select("file", "win_start", "win_end"), "file", "left")
+    return framed(rows, is_piece="_piece").drop("_piece")
+
+
+def read_bulletins(spark: SparkSession, path, windows: DataFrame | None = None) -> DataFrame:
+    """The pieces that are products; `rejected_pieces` of `bulletin_pieces` lists the others."""
+    return bulletin_pieces(spark, path, windows).filter(F.col("wmo_header").isNotNull())

@@ -13,18 +13,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _files(spark: SparkSession, path: str) -> set[str]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return {s.getPath().getName() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)} if _exists(spark, path) else set()
+
+
 def _months(spark: SparkSession, path: str) -> list[str]:
     """Labels of the month folders under a path."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    names = [s.getPath().getName() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)] if _exists(spark, path) else []
-    return sorted(n.removeprefix("month=") for n in names if n.startswith("month="))
+    return sorted(n.removeprefix("month=") for n in _files(spark, path) if n.startswith("month="))
 
 
 def write_months(df: DataFrame, path: str, overwrite_months: list[str] | None = None, column: str = "start_local") -> list[str]:
     """One partition per local month. Months already written stay as they are unless listed; returns those written.
 
-    Month labels come from the folder names; a large month is split by size at run time. Only listed months that were already
-    there are looked for in the input apart from the write."""
+    Month labels come from the folder names; a large month is split by size at run time. A listed month that was already there
+    came up again if its folder holds other files after the write, so the input is read once."""
     spark = df.sparkSession
     rows = df.withColumn("month", T.month_key(column))
     settled = _months(spark, path)
@@ -32,9 +35,10 @@ def write_months(df: DataFrame, path: str, overwrite_months: list[str] | None =
     keep = [m for m in settled if m not in again]
     if keep:
         rows = rows.filter(~F.col("month").isin(keep))
-    redone = [r["month"] for r in rows.filter(F.col("month").isin(again)).select("month").distinct().collect()] if again else []
+    before = {m: _files(spark, f"{path}/month={m}") for m in again}
     (rows.hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("month").parquet(path))
+    redone = [m for m in again if _files(spark, f"{path}/month={m}") != before[m]]
     return sorted({*redone, *_months(spark, path)} - set(keep) - (set(again) - set(redone)))
 
 

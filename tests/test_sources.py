@@ -154,3 +154,60 @@ def test_service_prices_with_different_headers(spark, tmp_path):
     (tmp_path / "c.csv").write_text("Date,REGUP ,REGDN\n3,6.0,7.0\n")
     got = {r.Date: (r.REGUP, r.REGDN, r.ECRS) for r in readers.read_service_prices(spark, str(tmp_path)).collect()}
     assert got == {"1": ("1.0", "2.0", None), "2": ("3.0", "4.0", "5.0"), "3": ("6.0", "7.0", None)}
+
+
+def test_framed_file_is_read_by_many_tasks(spark, tmp_path):
+    from gridspark.plans import bulletins as N
+    body = "\n".join(f"line {i} FXUS64" for i in range(40))
+    pieces = [f"FXUS64 KFWD {d:02d}{h:02d}00\r\n{body}\nFXUS64 KHGX 010203\ninside {d} {h}\n\x03" for d in range(1, 21) for h in range(24)]
+    (tmp_path / "a.txt").write_text("\x01" + "\x01".join(pieces) + "\x01no header\n\x03", newline="")
+    (tmp_path / "b.txt").write_text("FXUS64 KFWD 011939\nfirst\nFXUS64 KFWD 012039\nsecond\n")
+    (tmp_path / "c.txt").write_text("FXUS64 KFWD 021939\nonly\nFXUS64 KFWD 022039\nstill the first\n\x01")
+    (tmp_path / "d.txt").write_text("")
+    windows = spark.createDataFrame([(f"{n}.txt", dt.datetime(2024, 7, 1), dt.datetime(2024, 7, 21)) for n in "ab"], "file string, win_start timestamp_ntz, win_end timestamp_ntz")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+        df = readers.read_bulletins(spark, str(tmp_path), windows)
+        got = sorted((r.file, r.wmo_header, r.body) for r in df.collect())
+        assert spark.read.option("lineSep", "\x01").text(str(tmp_path / "a.txt")).rdd.getNumPartitions() > 10
+        bad = N.rejected_pieces(readers.bulletin_pieces(spark, str(tmp_path), windows)).select("file", "reason").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    whole = spark.read.text(str(tmp_path), wholetext=True).select(F.col("value").alias("raw"), F.col("_metadata.file_name").alias("file"))
+    assert got == sorted((r.file, r.wmo_header, r.body) for r in N.split_products(whole).collect())
+    assert len(got) == len(pieces) + 2 + 1 and {r.win_start for r in df.filter("file <> 'c.txt'").collect()} == {dt.datetime(2024, 7, 1)}
+    assert sorted((r.file, r.reason) for r in bad if r.file == "a.txt" and r.reason == "no header line") == [("a.txt", "no header line")]
+
+
+def test_types_that_drift_between_months(spark, tmp_path, caplog):
+    path = str(tmp_path / "t")
+    months = {"2024-01": "CAST(1 AS BIGINT) AS v, DATE '2024-01-05' AS at, 'a' AS k, 7 AS old",
+              "2024-02": "CAST(2.5 AS DOUBLE) AS v, TIMESTAMP_NTZ '2024-02-05 06:00:00' AS at, 'b' AS k",
+              "2024-03": "CAST(3 AS BIGINT) AS v, DATE '2024-03-05' AS at, 'c' AS k, 8 AS old", "2024-04": "CAST(4 AS INT) AS v, DATE '2024-04-05' AS at, 9 AS k"}
+    for m, columns in months.items():
+        spark.sql(f"SELECT {columns}").write.parquet(f"{path}/month={m}")
+    df = readers.read_parquet(spark, path)
+    assert dict(df.dtypes) == {"v": "double", "at": "timestamp_ntz", "k": "string", "old": "int", "month": dict(df.dtypes)["month"]}
+    got = [tuple(r) for r in df.selectExpr("v", "at", "k", "old", "CAST(month AS string)").orderBy("at").collect()]
+    at = lambda m, h=0: dt.datetime(2024, m, 5, h)
+    assert got == [(1.0, at(1), "a", 7, "2024-01"), (2.5, at(2, 6), "b", None, "2024-02"), (3.0, at(3), "c", 8, "2024-03"), (4.0, at(4), "9", None, "2024-04")]
+    assert "column v" in caplog.text and "read as double" in caplog.text
+    pruned = readers.read_parquet(spark, path, ["v"])._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<v:" in pruned and "k:string" not in pruned
+
+
+def test_month_sink_reads_its_input_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([("2024-01-15", 1), ("2024-02-15", 1)], "s string, v int").select(F.col("s").cast("timestamp_ntz").alias("start_local"), "v")
+    sinks.write_months(rows, path)
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    once = rows.filter("v = 1").mapInArrow(count, rows.schema)
+    assert sinks.write_months(once, path, ["2024-02", "2024-03"]) == ["2024-02"] and reads.value == 2
+    assert sinks.write_months(rows.filter("v = 2"), path, ["2024-02"]) == []
