@@ -6,7 +6,10 @@ to the template positions and counted per (text, template, diagonal), a diagonal
 the template. Spans come from two mergers of hits: diagonals at most `SLACK` apart, and hits that follow each other in the
 text and in the template with a gap of at most the template's length, so a long insertion does not split a match. A span is
 verified: its hits must cover at least `COVER` of the template's words and, in place, every word of `REQUIRED` in it; no word
-of `ABSENT` may stand in the span or right behind it.
+of `ABSENT` may stand in the span or right behind it, and none of `CHANGES` among the words inserted into it, whatever the label (a
+span inside such a changed one of the same template goes with it).
+The score is the number of template words covered over the template's length plus the inserted words: insertions lower it, but
+harmless ones (a page header) do not take the label away.
 
 Base labels come from short fixed phrases found in the same scan. Defined cases: a null text has no words; repeated rows get
 a row each; no match gives empty labels, null places and score 0; a base phrase scores 1; other columns are ignored; an empty
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.llm.common import join_spread, row_key, written
@@ -56,6 +59,9 @@ TEMPLATES = [
 REQUIRED = {"mit": ["mit"], "apache-2": ["2"], "gpl-3": ["3"], "cc-by-nc": ["nc", "noncommercial", "commercial"], "mpl-2": ["2"]}
 ABSENT = {"gpl-3": ["lesser", "affero"], "cc-by-nc": ["sa", "nd", "sharealike", "noderivatives", "noderivs"]}
 
+#: Words that change the terms when they are inserted into a license, for every label.
+CHANGES = ["not", "non", "noncommercial", "nonprofit", "academic", "prohibited"]
+
 
 def _grams(texts: list[str], k: int) -> dict[int, list[bytes]]:
     out = {}
@@ -71,7 +77,7 @@ def _hits(docs: DataFrame, templates: list, phrases: list, gram: int, id_col: st
     wanted = _grams([t for _, t in templates], gram)
     known = np.sort(np.array(list(wanted), np.uint64))
     named = [(label, p.encode().split()) for label, p in phrases]
-    barred = {w.encode(): gram_hash([w.encode()]) for x in ABSENT.values() for w in x}
+    barred = {w.encode(): gram_hash([w.encode()]) for x in (*ABSENT.values(), CHANGES) for w in x}
     stops_type = pa.list_(pa.struct([("word", pa.string()), ("at", pa.int64())]))
     hits_type = pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int64())]))
 
@@ -127,25 +133,38 @@ def spans(scanned: DataFrame, templates: list, gram: int, slack: int, cover: flo
     hits = once.select("key", F.explode("hits").alias("x")).select("key", "x.hash", "x.at").join(positions, "hash") \
         .withColumn("diagonal", F.col("at") - F.col("place"))
     votes = hits.groupBy("key", "template", "label", "length", "diagonal").agg(
-        F.collect_set("place").alias("places"), F.min("at").alias("low"), (F.max("at") + gram).alias("high"))
+        F.collect_set("place").alias("places"), F.collect_set("at").alias("ats"), F.min("at").alias("low"), (F.max("at") + gram).alias("high"))
     order = Window.partitionBy("key", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > slack, F.lit(True)).cast("int")
     merged = votes.withColumn("apart", apart).withColumn("cluster", F.sum("apart").over(order)) \
         .groupBy("key", "template", "label", "length", "cluster").agg(
-            F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min("low").alias("start"), F.max("high").alias("end"))
+            F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"),
+            F.min("low").alias("start"), F.max("high").alias("end"))
     # hits in the order of the text; a new chain starts where the template's order breaks or the gap outgrows the template
     walk = Window.partitionBy("key", "template").orderBy("at", "place")
     broken = (F.col("place") <= F.lag("place").over(walk)) | (F.col("at") - F.lag("at").over(walk) - gram > F.col("length"))
     chained = hits.withColumn("apart", F.coalesce(broken, F.lit(True)).cast("int")).withColumn("cluster", F.sum("apart").over(walk)) \
         .groupBy("key", "template", "label", "length", "cluster").agg(
-            F.collect_set("place").alias("places"), F.min("at").alias("start"), (F.max("at") + gram).alias("end"))
-    covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + gram - 1))))
+            F.collect_set("place").alias("places"), F.collect_set("at").alias("ats"), F.min("at").alias("start"), (F.max("at") + gram).alias("end"))
+
+    def words_of(starts: str) -> Column:
+        return F.array_distinct(F.flatten(F.transform(starts, lambda p: F.sequence(p, p + gram - 1))))
+
     need = F.array(*(F.array(*(F.lit(k) for k, w in enumerate(t.split()) if w in REQUIRED.get(label, []))).cast("array<int>") for label, t in templates))
     barred = F.array(*(F.array(*map(F.lit, ABSENT.get(label, []))).cast("array<string>") for label, _ in templates))
-    found = merged.unionByName(chained).withColumn("covered", covered).withColumn("score", F.size("covered") / F.col("length")) \
-        .filter((F.col("score") >= cover) & (F.size(F.array_except(F.get(need, F.col("template")), F.col("covered").cast("array<int>"))) == 0))
+    found = merged.unionByName(chained).withColumn("covered", words_of("places")) \
+        .filter((F.size("covered") / F.col("length") >= cover) & (F.size(F.array_except(F.get(need, F.col("template")), F.col("covered").cast("array<int>"))) == 0))
     stopped = F.exists("stops", lambda x: x["at"].between(F.col("start"), F.col("end")) & F.array_contains(F.get(barred, F.col("template")), x["word"]))
-    return found.join(once.select("key", "stops"), "key").filter(~stopped).select("key", "template", "label", "start", "end", "score")
+    changed = F.exists("stops", lambda x: x["at"].between(F.col("start"), F.col("end") - 1) & x["word"].isin(CHANGES)
+                       & ~F.exists("ats", lambda a: x["at"].between(a, a + gram - 1)))
+    inserted = F.col("end") - F.col("start") - F.size(words_of("ats"))
+    # a span inside a changed one of its template is a part of the same text, so it goes with it
+    same = Window.partitionBy("key", "template")
+    found = found.join(once.select("key", "stops"), "key").withColumn("changed", F.when(changed, F.struct("start", "end"))) \
+        .withColumn("all_changed", F.collect_set("changed").over(same)).filter(~stopped)
+    inside = F.exists("all_changed", lambda c: (c["start"] <= F.col("start")) & (c["end"] >= F.col("end")))
+    return found.filter(~inside).select(
+        "key", "template", "label", "start", "end", (F.size("covered") / (F.col("length") + inserted)).alias("score"))
 
 
 def scan(docs: DataFrame, templates: list = TEMPLATES, phrases: list = PHRASES, gram: int = GRAM, slack: int = SLACK, cover: float = COVER,

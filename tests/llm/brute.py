@@ -105,6 +105,36 @@ def base_licenses(text):
     return (len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})))
 
 
+
+def license_spans(words, templates, required, absent, changes, gram=4, slack=3, cover=0.6):
+    """(template, start, end, score) of every span, by loops over lists."""
+    out = set()
+    for n, (label, text) in enumerate(templates):
+        t, found, changed = text.split(), [], []
+        hits = sorted((a, p) for p in range(len(t) - gram + 1) for a in range(len(words) - gram + 1) if words[a:a + gram] == t[p:p + gram])
+        groups, last = [], None
+        for d, h in sorted((a - p, (a, p)) for a, p in hits):
+            if last is None or d - last > slack:
+                groups.append([])
+            groups[-1].append(h)
+            last = d
+        for k, (a, p) in enumerate(hits):
+            if k == 0 or p <= hits[k - 1][1] or a - hits[k - 1][0] - gram > len(t):
+                groups.append([])
+            groups[-1].append((a, p))
+        for g in groups:
+            mine, there = {p + j for _, p in g for j in range(gram)}, {a + j for a, _ in g for j in range(gram)}
+            start, end = min(there), max(there) + 1
+            if len(mine) / len(t) < cover or any(w in required.get(label, []) and k not in mine for k, w in enumerate(t)):
+                continue
+            if any(words[k] in changes for k in range(start, end) if k not in there):
+                changed.append((start, end))
+            if not set(words[start:end + 1]) & set(absent.get(label, [])):
+                found.append((n, start, end, round(len(mine) / (len(t) + end - start - len(there)), 9)))
+        out |= {x for x in found if not any(a <= x[1] and x[2] <= b for a, b in changed)}
+    return out
+
+
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
