@@ -48,9 +48,18 @@ def recent_months(today, n: int = 2) -> list[str]:
     return [f"{(total - i) // 12:04d}-{(total - i) % 12 + 1:02d}" for i in range(n)]
 
 
+def restore_table(spark: SparkSession, path: str) -> bool:
+    """Put the replaced table back where a run ended between the two renames of `build_table`; true if there was one to put back."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    here, old = jvm_path(path), jvm_path(path.rstrip("/") + "__replaced")
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    return not fs.exists(here) and fs.exists(old) and fs.rename(old, here)
+
+
 def build_table(df: DataFrame, path: str, sort_keys: list[str], partitions: int | None = None) -> None:
     """Typed table clustered by (entity, time): range partitions, sorted files, swapped in when complete."""
     spark = df.sparkSession
+    restore_table(spark, path)
     ranged = df.repartitionByRange(partitions, *sort_keys) if partitions else df.repartitionByRange(*sort_keys)
     staging = path.rstrip("/") + "__building"
     ranged.sortWithinPartitions(*sort_keys).write.mode("overwrite").parquet(staging)

@@ -211,3 +211,15 @@ def test_month_sink_reads_its_input_once(spark, tmp_path):
     once = rows.filter("v = 1").mapInArrow(count, rows.schema)
     assert sinks.write_months(once, path, ["2024-02", "2024-03"]) == ["2024-02"] and reads.value == 2
     assert sinks.write_months(rows.filter("v = 2"), path, ["2024-02"]) == []
+
+
+def test_table_is_put_back_after_a_broken_swap(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.build_table(spark.range(5), path, ["id"])
+    (tmp_path / "t").rename(tmp_path / "t__replaced")
+    broken = spark.range(3).select(F.raise_error(F.lit("lost")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.build_table(broken, path, ["id"])
+    assert spark.read.parquet(path).count() == 5 and not sinks.restore_table(spark, path)
+    sinks.build_table(spark.range(3), path, ["id"])
+    assert spark.read.parquet(path).count() == 3 and not (tmp_path / "t__replaced").exists()
