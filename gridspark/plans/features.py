@@ -263,7 +263,10 @@ def train_thresholds(df: DataFrame) -> DataFrame:
 
 
 def build_examples(df: DataFrame, baseline_name: str, hours: list[int] = PEAK_HOURS) -> DataFrame:
-    """One nested row per zone and day that has every hour and no missing value; a group is one zone-day."""
+    """One nested row per zone and day that has every hour and no missing value; a group is one zone-day.
+
+    Means and limits are compared at six decimals, so a tie does not hang on the order in which a mean was summed."""
+    level = lambda c: F.round(c, 6)
     full = F.count_if(F.col("error").isNotNull() & F.col("p10").isNotNull() & F.col("p50").isNotNull()
                       & F.col("p90").isNotNull())
     days = df.filter(F.col("hour_ending").isin(hours)).groupBy("zone", "operating_date").agg(
@@ -277,8 +280,8 @@ def build_examples(df: DataFrame, baseline_name: str, hours: list[int] = PEAK_HO
     return out.select(
         F.concat_ws("_", F.date_format("operating_date", "yyyy-MM-dd"), "zone").alias("id"), "zone", "operating_date",
         "split", F.lit(hours).alias("hours"), "baseline", "actual_error",
-        (F.col("fc_range_mean") <= F.col("agree_limit")).alias("models_agreed"),
-        (F.col("_worst") >= F.col("miss_limit")).alias("big_miss"),
+        (level("fc_range_mean") <= level("agree_limit")).alias("models_agreed"),
+        (level("_worst") >= level("miss_limit")).alias("big_miss"),
         F.round("fc_range_mean", 1).alias("fc_range_mean"), "inuse_model", F.lit(baseline_name).alias("baseline_name"),
         T.cutoff_utc("operating_date").alias("cutoff_utc"))
 

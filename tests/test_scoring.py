@@ -152,3 +152,20 @@ def test_text_sources_take_the_zone_offices_in_order(spark):
     found = X.text_sources(days, bulletins, "doc_id")
     out = {r.zone: r.sources for r in X.attach_provenance(days, found).collect()}
     assert [(s.office, s.issued_utc) for s in out["coast"]] == [("HGX", at(8, 3)), ("CRP", at(6, 1))] and out["nowhere"] is None
+
+
+def test_flags_of_equal_mean_and_limit_do_not_hang_on_the_order_of_rows(spark):
+    import datetime as dt
+    from gridspark.plans import features as X
+    ranges = [0.2, 0.2, 0.7, 0.1, 0.3]  # their mean is 0.3, which a sum of doubles misses in some orders
+    day = dt.date(1998, 3, 2)
+    # the other days put the median at 0.3
+    errors = [0.1] * 5
+    rows = [("A", day, h, "train", r, e) for h, r, e in zip(range(16, 21), ranges, errors, strict=True)]
+    rows += [("A", day + dt.timedelta(days=d), h, "train", 0.3, 0.1) for d in range(1, 8) for h in range(16, 21)]
+    flags = set()
+    for turn in range(5):
+        turned = spark.createDataFrame(rows[turn:5] + rows[:turn] + rows[5:], "zone string, operating_date date, hour_ending int, split string, fc_range double, error double")
+        full = turned.coalesce(1).withColumns({**{q: F.lit(1.0) for q in ("p10", "p50", "p90")}, "inuse_model": F.lit("m1")})
+        flags |= {r.models_agreed for r in X.build_examples(full, "climate").filter(F.col("operating_date") == day).collect()}
+    assert flags == {True}
