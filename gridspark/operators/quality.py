@@ -90,13 +90,17 @@ def complete_days(df: DataFrame, per_hour: int, entity: str | None = None) -> Da
 
 
 def common_days(tables: list[DataFrame], years: list[int] | None = None, kind: str = "any") -> DataFrame:
-    """Days present in every set; kind keeps all, only normal, or only spring/fall/any change days."""
-    out = reduce(DataFrame.intersect, tables)
-    h = T.hours_in_day("operating_date")
-    keep = {"any": F.lit(True), "normal": h == 24, "change": h != 24, "spring": h == 23, "fall": h == 25}[kind]
+    """Days present in every set, once each; kind keeps all, only normal, or only spring/fall/any change days.
+
+    The hours are a sum over a day's one row: a plain filter would be pushed below the aggregates that make the days (and a maximum would
+    take their place) and be evaluated for every raw row, where the day stands for a long expression that the JVM does not compile."""
+    out = reduce(DataFrame.intersect, tables).select("operating_date").distinct()
     if years is not None:
-        keep = keep & F.year("operating_date").isin(*years)
-    return out.filter(keep)
+        out = out.filter(F.year("operating_date").isin(*years))
+    h = F.col("_hours")
+    keep = {"any": F.lit(True), "normal": h == 24, "change": h != 24, "spring": h == 23, "fall": h == 25}[kind]
+    days = out.groupBy("operating_date").agg(F.sum(T.hours_in_day("operating_date")).alias("_hours"))
+    return days.filter(keep).select("operating_date")
 
 
 def complete_months(days: DataFrame) -> DataFrame:
