@@ -44,20 +44,24 @@ def framed(files: DataFrame, raw: str = "raw", is_piece: str | None = None) -> D
     a header line has a null `wmo_header` and its whole text as body. Rows where the column `is_piece` is true hold one piece
     of a framed file already.
 
-    Header line and body are cut out before the explode, so later filters on the header never touch the text again."""
-    text = F.regexp_replace(F.col(raw), r"\r\n?", "\n")
-    starts = F.regexp_replace(text, LINES + r"^(?=[A-Z]{4}\d{2} K[A-Z]{3} \d{6})", FRAME)
-    whole = text.contains(FRAME) if is_piece is None else text.contains(FRAME) | F.col(is_piece)
-    framed = F.when(whole, text).otherwise(starts)
+    Header line and body are cut out before the explode, so later filters on the header never touch the text again. The text, its
+    lines and the header's place are bound once: inside a generator nothing else keeps an expression from running once per use."""
+    def marked(text: Column) -> Column:
+        starts = F.regexp_replace(text, LINES + r"^(?=[A-Z]{4}\d{2} K[A-Z]{3} \d{6})", FRAME)
+        whole = text.contains(FRAME) if is_piece is None else text.contains(FRAME) | F.col(is_piece)
+        return F.when(whole, text).otherwise(starts)
+
+    def cut(top: Column) -> Column:
+        flags = F.transform(top, lambda s: strip(s).rlike(HEADER_LINE))
+        return let(F.array_position(flags, F.lit(True)).cast("int"), lambda at: F.struct(
+            F.when(at > 0, strip(F.get(top, at - 1))).alias("wmo_header"),
+            F.array_join(F.slice(top, F.greatest(at, F.lit(1)), F.size(top)), "\n").alias("body")))
 
     def product(chunk: Column) -> Column:
-        plain = F.regexp_replace(F.translate(chunk, NAME_END + "\u0003", ""), r"^\n+|\n+$", "")
-        top = F.split(plain, "\n", -1)
-        flags = F.transform(top, lambda s: strip(s).rlike(HEADER_LINE))
-        at = F.array_position(flags, F.lit(True)).cast("int")
-        body = F.array_join(F.slice(top, F.greatest(at, F.lit(1)), F.size(top)), "\n")
-        return F.struct(F.when(at > 0, strip(F.get(top, at - 1))).alias("wmo_header"), body.alias("body"))
+        clear = F.replace(F.replace(chunk, F.lit(NAME_END), F.lit("")), F.lit("\u0003"), F.lit(""))
+        return let(F.split(F.regexp_replace(clear, r"^\n+|\n+$", ""), "\n", -1), cut)
 
+    framed = let(F.regexp_replace(F.col(raw), r"\r\n?", "\n"), marked)
     products = F.transform(F.split(framed, FRAME), product)
     rows = files.select("*", F.posexplode(products).alias("product_no", "_p")).drop(raw)
     return rows.select("*", "_p.wmo_header", "_p.body").drop("_p")
@@ -187,7 +191,7 @@ def clean_text(text: Column | str, max_chars: int | None = None) -> Column:
     t = F.coalesce(col(text), F.lit(""))
     for pattern in (DATE_LINE, ISSUED_LINE, STAMP, YEAR):
         t = F.regexp_replace(t, pattern, "")
-    t = F.regexp_replace(t, r"[ \t]+", " ")
+    t = F.regexp_replace(t, r"[ \t]{2,}|\t", " ")  # a lone space stays, so most matches of [ \t]+ are spared
     t = strip(F.regexp_replace(t, r"\n\s*\n+", "\n\n"))
     if max_chars is None:
         return t
