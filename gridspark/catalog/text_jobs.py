@@ -92,8 +92,9 @@ def _(v):
 
 @job("x06_prompt_text", "doc_id:l office chars:i has_long:b")
 def _(v):
-    t = N.prompt_text("reasoning_text", "sections")
-    return _parsed(v).select("doc_id", "office", F.length(t).alias("chars"), t.contains(".LONG TERM...").alias("has_long"))
+    shown = T.let(N.prompt_text("reasoning_text", "sections"), lambda t: F.struct(
+        F.length(t).alias("chars"), t.contains(".LONG TERM...").alias("has_long")))
+    return _parsed(v).select("doc_id", "office", shown.alias("t")).select("doc_id", "office", "t.chars", "t.has_long")
 
 
 _theme_cols = " ".join(f"theme_{k}:b" for k in THEMES)

@@ -176,3 +176,16 @@ def test_braces_inside_strings(spark):
     from gridspark.plans.answers import balanced
     rows = spark.createDataFrame([('{"a": "}{{", "b": [1]}',), ('{"a": "\\"}"}',), ('{"a": 1}}',), ('{"a": [1}',)], "j string")
     assert [r.ok for r in rows.select(balanced(F.col("j")).alias("ok")).collect()] == [True, True, False, False]
+
+
+def test_texts_are_framed_and_cleaned_once(spark):
+    from conftest import SF
+
+    from gridspark.catalog.all_jobs import JOBS
+    rows = spark.createDataFrame([("\n\nA\u0002FD\r\n FXUS64 KEWX 051200 \r\n.UPDATE...x\u0003\n",)], "raw string")
+    framed = N.framed(rows)
+    assert [tuple(r) for r in framed.select("wmo_header", "body").collect()] == [("FXUS64 KEWX 051200", " FXUS64 KEWX 051200 \n.UPDATE...x")]
+    plan = framed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\r\n?") == 1 and plan.count(r"^\n+|\n+$") == 1
+    prompts = JOBS["x06_prompt_text"].run(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert prompts.count(r"\b20[12]\d\b") == 2  # the reasoning and the long section
