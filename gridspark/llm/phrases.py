@@ -102,21 +102,31 @@ class Shard:
         self.bytes, self.hash, self.lang, self.words = 0, [], [], {}
 
     def reports(self, totals: dict[str, int] | None, support: int, buckets: int) -> Iterator[dict]:
+        """Distinct hashes with their counts, cut into buckets, which are ranges of hashes, so sorting once does for both."""
         h, code = np.concatenate(self.hash), np.concatenate(self.lang)
+        self.hash, self.lang = [], []
         names = list(self.words)
-        share = [1 if totals is None else max(-(-support * self.words[x] // max(totals[x], 1)), 1) for x in names]
-        h, first, count = np.unique(h, return_index=True, return_counts=True)
-        least = np.array(share, np.int64)[code[first]]
-        keep = count >= least
-        h, count, sure = h[keep], count[keep], least[keep] > 1
-        bucket = (h % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        h, count, sure, bucket = h[order], np.where(sure, support, count)[order], sure[order], bucket[order]
-        cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        share = np.array([1 if totals is None else max(-(-support * self.words[x] // max(totals[x], 1)), 1) for x in names], np.int64)
+        if share.max() == 1:        # every hash is reported: no language is looked up, and the hashes are sorted in place
+            h.sort()
+            first = np.flatnonzero(np.append(h[:1] == h[:1], h[1:] != h[:-1]))
+            count = np.diff(first, append=len(h))
+            h, sure = h[first], np.zeros(len(first), bool)
+        else:
+            h, first, count = np.unique(h, return_index=True, return_counts=True)
+            least = share[code[first]]
+            keep = count >= least
+            h, count, sure = h[keep], count[keep], least[keep] > 1
+            count[sure] = support
+        del code, first
+        edges = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+        cuts = [0, *np.searchsorted(h, edges).tolist(), len(h)]
+        for bucket, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if lo == hi:
+                continue
             many = count[lo:hi] > 1
             part = h[lo:hi]
-            yield {"bucket": int(bucket[lo]), "ones": part[~many].tobytes(), "many": part[many].tobytes(),
+            yield {"bucket": bucket, "ones": part[~many].tobytes(), "many": part[many].tobytes(),
                    "counts": np.minimum(count[lo:hi][many], support).astype("<u4").tobytes()}
 
 
@@ -132,9 +142,8 @@ def mine(texts: DataFrame, k: int, below: Bitmap | None, totals: dict[str, int]
         shard, codes = Shard(), {}
 
         def close() -> Iterator[pa.RecordBatch]:
-            out = list(shard.reports(totals, support, buckets)) if shard.hash else []
-            if out:
-                yield pa.RecordBatch.from_pylist(out, _REPORT)
+            for report in shard.reports(totals, support, buckets) if shard.hash else ():
+                yield pa.RecordBatch.from_pylist([report], _REPORT)
 
         for batch in batches:
             for part in slices(batch, "t"):
@@ -144,7 +153,7 @@ def mine(texts: DataFrame, k: int, below: Bitmap | None, totals: dict[str, int]
                     shard.words.setdefault(x, 0)
                 row = _text_rows(part)
                 words = _words(part)
-                code = np.array([codes[x] for x in langs], np.int64)[row]
+                code = np.array([codes[x] for x in langs], np.int32)[row]
                 salt = _salted(langs)[row]
                 for x, n in zip(langs, np.bincount(row, minlength=len(langs)).tolist(), strict=True):
                     shard.words[x] += n
@@ -219,7 +228,9 @@ def count_exactly(texts: DataFrame, levels: list[Bitmap], support: int) -> DataF
                         continue
                     a, size = start[at], end[at + k - 1] - start[at]
                     offsets = np.concatenate([[0], np.cumsum(size)])
-                    place = np.arange(offsets[-1]) + np.repeat(a - offsets[:-1], size)
+                    whole = np.int32 if max(offsets[-1], len(joined)) < 1 << 31 else np.int64
+                    place = np.repeat((a - offsets[:-1]).astype(whole), size)
+                    place += np.arange(offsets[-1], dtype=whole)
                     phrase = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(joined[place]))
                     lang = pa.DictionaryArray.from_arrays(names.indices.take(pa.array(row[at])), names.dictionary)
                     counted = pa.table({"lang": lang.cast(pa.string()), "phrase": phrase}).group_by(["lang", "phrase"]).aggregate([([], "count_all")])

@@ -172,3 +172,24 @@ def test_simhash_special_rows(spark):
     assert simhash.near_duplicates(docs(spark, [])).collect() == []
     with pytest.raises(ValueError):
         simhash.near_duplicates(docs(spark, rows), distance=3)
+
+
+def test_shard_reports_take_little_memory(spark):
+    import tracemalloc
+
+    import numpy as np
+
+    from gridspark.llm.textvec import mix
+    n = 1 << 20
+    shard = phrases.Shard()
+    h = mix(np.arange(n, dtype=np.uint64))
+    shard.hash, shard.lang, shard.words = [h, h[: n // 4]], [np.zeros(n, np.int32), np.zeros(n // 4, np.int32)], {"a": n}
+    tracemalloc.start()
+    found = 0
+    for r in shard.reports({"a": 100 * n}, 10, 16):
+        ones, many = np.frombuffer(r["ones"], np.uint64), np.frombuffer(r["many"], np.uint64)
+        assert set(r["counts"]) <= {0, 2} and len(r["counts"]) == 4 * len(many)
+        found += len(ones) + 2 * len(many)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == n + n // 4 and peak < 6 * 8 * n
