@@ -178,14 +178,15 @@ def mine(texts: DataFrame, k: int, below: Bitmap | None, totals: dict[str, int]
 
         def close() -> pa.RecordBatch:
             h = np.frombuffer(b"".join(ones + many), "<u8")
-            c = np.append(np.ones(sum(map(len, ones)) // 8, np.int64), np.frombuffer(b"".join(counts), "<u4"))
+            c = np.append(np.ones(sum(x.size for x in ones) // 8, np.int64), np.frombuffer(b"".join(counts), "<u4"))
             order = np.argsort(h)
             h = h[order]
             first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             return pa.RecordBatch.from_pydict({"h": h[first][np.add.reduceat(c[order], first) >= support].view(np.int64)})
 
         for batch in batches:
-            for b, o, m, c in zip(*(batch.column(x).to_pylist() for x in _REPORT.names), strict=True):
+            for b, o, m, c in zip(*(batch.column(x) for x in _REPORT.names), strict=True):
+                b, o, m, c = b.as_py(), o.as_buffer(), m.as_buffer(), c.as_buffer()     # views, not copies
                 if b != at:
                     if at is not None:
                         yield close()
@@ -195,9 +196,11 @@ def mine(texts: DataFrame, k: int, below: Bitmap | None, totals: dict[str, int]
                 counts.append(c)
         if at is not None:
             yield close()
+        pa.default_memory_pool().release_unused()   # a worker that waits for its next task should not hold this one's memory
 
     reports = texts.mapInArrow(scan, "bucket long, ones binary, many binary, counts binary")
-    return reports.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(union, "h long")
+    # a task per bucket or few: merged to larger tasks, all reports of one would reach its worker as one Arrow batch
+    return reports.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(union, "h long")
 
 
 def count_exactly(texts: DataFrame, levels: list[Bitmap], support: int) -> DataFrame:
