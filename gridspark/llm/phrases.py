@@ -7,7 +7,7 @@
    support reaches that share in some shard, so the union over shards misses none. Where a shard's share falls to one
    occurrence, every shard reports all it has and the reports add up to the count, so the union keeps only sums of at least
    the support; with a lowered support above one a single report is enough.
-   Reports are 64-bit hashes, packed per shard and hash bucket and merged by sorting in the task that owns the bucket.
+   Reports are 64-bit hashes, packed per shard and hash bucket and merged by sorting in the one task that owns the bucket.
 3. Candidates reach the next scan as a bitmap of bounded size. A wrong bit costs only time: the last scan counts the phrases
    themselves, by their words, in every shard, and a grouping adds them up exactly; those under the support go.
 4. Parts of phrases are looked up in that table, scores are whole-number divisions in 38 digits, phrases inside a longer one
@@ -31,12 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.llm import textvec
 from gridspark.llm.common import labelled, written
-from gridspark.llm.textvec import Texts, Words, byte_class, mix, slices
+from gridspark.llm.textvec import Texts, Words, byte_class, mix
 
 MIN_WORDS, MAX_WORDS, SUPPORT, INSIDE_PERCENT, TOP = 2, 3, 10, 50, 2000
 UNKNOWN = "und"
 SHARD_BYTES = 16 << 20
+SLICE_BYTES = 512 << 10         # of text at a time: hashing holds some 60 bytes a byte of it
+HELD_BYTES = 32 << 20           # of phrases that a worker holds before it counts them
 BUCKET_WORDS = 1 << 21          # words of the input that one bucket of reports stands for
 MIN_BITS, MAX_BITS = 16, 27     # of the candidates' bitmap, as powers of two
 MAX_LANGS = 10_000              # beyond it shards are mined at support one, which is always complete
@@ -49,12 +52,16 @@ def _lang(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(UNKNOWN))
 
 
-def _words(part: pa.RecordBatch) -> Words:
-    """Words of the texts; `row` numbers pieces, so no run of words crosses a break between pieces."""
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    return textvec.slices(batch, column, SLICE_BYTES)
+
+
+def _words(part: pa.RecordBatch) -> tuple[np.ndarray, Words]:
+    """The text of each word, and the words; their `row` numbers pieces, so no run of words crosses a break between pieces."""
     texts = Texts.of(part.column("t"))
     words = texts.words(_WORD, lower=True)
     breaks = np.cumsum(_PIECE[texts.data], dtype=np.int64)
-    return dataclasses.replace(words, row=(breaks[words.start] if len(words.start) else words.row) + words.row)
+    return words.row, dataclasses.replace(words, row=(breaks[words.start] if len(words.start) else words.row) + words.row)
 
 
 def _text_rows(part: pa.RecordBatch) -> np.ndarray:
@@ -102,35 +109,40 @@ class Shard:
         self.bytes, self.hash, self.lang, self.words = 0, [], [], {}
 
     def reports(self, totals: dict[str, int] | None, support: int, buckets: int) -> Iterator[dict]:
-        """Distinct hashes with their counts, cut into buckets, which are ranges of hashes, so sorting once does for both."""
-        h, code = np.concatenate(self.hash), np.concatenate(self.lang)
-        self.hash, self.lang = [], []
+        """Distinct hashes with their counts, cut into buckets, which are ranges of hashes; only a bucket at a time is copied."""
+        h = np.concatenate(self.hash)
+        self.hash, lang = [], self.lang
+        self.lang = []
         names = list(self.words)
         share = np.array([1 if totals is None else max(-(-support * self.words[x] // max(totals[x], 1)), 1) for x in names], np.int64)
+        edges = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
         if share.max() == 1:        # every hash is reported: no language is looked up, and the hashes are sorted in place
+            code = order = None
+            lang.clear()
             h.sort()
-            first = np.flatnonzero(np.append(h[:1] == h[:1], h[1:] != h[:-1]))
-            count = np.diff(first, append=len(h))
-            h, sure = h[first], np.zeros(len(first), bool)
         else:
-            h, first, count = np.unique(h, return_index=True, return_counts=True)
-            least = share[code[first]]
-            keep = count >= least
-            h, count, sure = h[keep], count[keep], least[keep] > 1
-            count[sure] = support
-        del code, first
-        edges = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
-        cuts = [0, *np.searchsorted(h, edges).tolist(), len(h)]
+            code = np.concatenate(lang)
+            lang.clear()
+            order = np.argsort(h)
+        cuts = [0, *np.searchsorted(h, edges, sorter=order).tolist(), len(h)]
         for bucket, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if lo == hi:
+            part = h[lo:hi] if order is None else h[order[lo:hi]]
+            first = np.flatnonzero(np.append(part[:1] == part[:1], part[1:] != part[:-1]))
+            count = np.diff(first, append=len(part))
+            part = part[first]
+            if order is not None:
+                least = share[code[order[lo:hi][first]]]
+                count[(count >= least) & (least > 1)] = support
+                keep = count >= least
+                part, count = part[keep], count[keep]
+            if not len(part):
                 continue
-            many = count[lo:hi] > 1
-            part = h[lo:hi]
+            many = count > 1
             yield {"bucket": bucket, "ones": part[~many].tobytes(), "many": part[many].tobytes(),
-                   "counts": np.minimum(count[lo:hi][many], support).astype("<u4").tobytes()}
+                   "counts": np.minimum(count[many], support).astype("<u4").tobytes()}
 
 
-_REPORT = pa.schema([("bucket", pa.int64()), ("ones", pa.binary()), ("many", pa.binary()), ("counts", pa.binary())])
+_REPORT = pa.schema([("bucket", pa.int32()), ("ones", pa.binary()), ("many", pa.binary()), ("counts", pa.binary())])
 
 
 def mine(texts: DataFrame, k: int, below: Bitmap | None, totals: dict[str, int] | None, support: int, buckets: int) -> DataFrame:
@@ -151,8 +163,7 @@ def mine(texts: DataFrame, k: int, below: Bitmap | None, totals: dict[str, int]
                 for x in langs:
                     codes.setdefault(x, len(codes))
                     shard.words.setdefault(x, 0)
-                row = _text_rows(part)
-                words = _words(part)
+                row, words = _words(part)
                 code = np.array([codes[x] for x in langs], np.int32)[row]
                 salt = _salted(langs)[row]
                 for x, n in zip(langs, np.bincount(row, minlength=len(langs)).tolist(), strict=True):
@@ -174,33 +185,27 @@ def mine(texts: DataFrame, k: int, below: Bitmap | None, totals: dict[str, int]
         yield from close()
 
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ones, many, counts = None, [], [], []
-
-        def close() -> pa.RecordBatch:
+        ones, many, counts = [], [], []
+        for batch in batches:
+            for o, m, c in zip(batch.column("ones"), batch.column("many"), batch.column("counts"), strict=True):
+                ones.append(o.as_buffer())      # views, not copies
+                many.append(m.as_buffer())
+                counts.append(c.as_buffer())
+        if ones:
+            once = sum(x.size for x in ones) // 8
             h = np.frombuffer(b"".join(ones + many), "<u8")
-            c = np.append(np.ones(sum(x.size for x in ones) // 8, np.int64), np.frombuffer(b"".join(counts), "<u4"))
+            c = np.append(np.ones(once, "<u4"), np.frombuffer(b"".join(counts), "<u4"))
+            del batch, o, m, ones, many, counts
             order = np.argsort(h)
-            h = h[order]
+            h, c = h[order], c[order]
+            del order
             first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            return pa.RecordBatch.from_pydict({"h": h[first][np.add.reduceat(c[order], first) >= support].view(np.int64)})
-
-        for batch in batches:
-            for b, o, m, c in zip(*(batch.column(x) for x in _REPORT.names), strict=True):
-                b, o, m, c = b.as_py(), o.as_buffer(), m.as_buffer(), c.as_buffer()     # views, not copies
-                if b != at:
-                    if at is not None:
-                        yield close()
-                    at, ones, many, counts = b, [], [], []
-                ones.append(o)
-                many.append(m)
-                counts.append(c)
-        if at is not None:
-            yield close()
+            yield pa.RecordBatch.from_pydict({"h": h[first][np.add.reduceat(c, first, dtype=np.int64) >= support].view(np.int64)})
         pa.default_memory_pool().release_unused()   # a worker that waits for its next task should not hold this one's memory
 
-    reports = texts.mapInArrow(scan, "bucket long, ones binary, many binary, counts binary")
-    # a task per bucket or few: merged to larger tasks, all reports of one would reach its worker as one Arrow batch
-    return reports.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(union, "h long")
+    reports = texts.mapInArrow(scan, "bucket int, ones binary, many binary, counts binary")
+    # a task holds one bucket, and holds it in the worker alone: nothing is sorted before
+    return reports.repartitionById(buckets, "bucket").mapInArrow(union, "h long")
 
 
 def count_exactly(texts: DataFrame, levels: list[Bitmap], support: int) -> DataFrame:
@@ -209,19 +214,28 @@ def count_exactly(texts: DataFrame, levels: list[Bitmap], support: int) -> DataF
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = [Bitmap(*x) for x in known.value]
-        held: list[pa.Table] = []
+        held: list[pa.Table] = []       # every occurrence: its phrase, and its language and length as one number
+        codes: dict[str, int] = {}
 
         def close() -> Iterator[pa.RecordBatch]:
-            if held:
-                yield from pa.concat_tables(held).group_by(["lang", "k", "phrase"]).aggregate([("f", "sum")]) \
-                    .rename_columns(["lang", "k", "phrase", "f"]).to_batches(max_chunksize=20_000)
-                held.clear()
+            if not held:
+                return
+            found = pa.concat_tables(held)
+            held.clear()
+            found = found.group_by(["kind", "phrase"], use_threads=False).aggregate([([], "count_all")])
+            pa.default_memory_pool().release_unused()
+            names = pa.array(list(codes), pa.string())
+            for b in found.to_batches(max_chunksize=20_000):
+                code, k = np.divmod(b.column("kind").to_numpy(), np.int32(len(maps)))
+                yield pa.RecordBatch.from_pydict({"lang": names.take(pa.array(code)), "k": k + np.int32(1),
+                                                  "phrase": b.column("phrase").cast(pa.string()), "f": b.column("count_all")})
 
         for batch in batches:
             for part in slices(batch, "t"):
-                names = part.column("lang").dictionary_encode()
-                row, words = _text_rows(part), _words(part)
-                salt = _salted(part.column("lang").to_pylist())[row]
+                langs = part.column("lang").to_pylist()
+                row, words = _words(part)
+                code = np.array([codes.setdefault(x, len(codes)) for x in langs], np.int32)[row]
+                salt = _salted(langs)[row]
                 joined, start, end = words.joined()
                 joined = np.frombuffer(joined, np.uint8)
                 for k, bits in enumerate(maps, 1):
@@ -231,15 +245,16 @@ def count_exactly(texts: DataFrame, levels: list[Bitmap], support: int) -> DataF
                         continue
                     a, size = start[at], end[at + k - 1] - start[at]
                     offsets = np.concatenate([[0], np.cumsum(size)])
-                    whole = np.int32 if max(offsets[-1], len(joined)) < 1 << 31 else np.int64
+                    short = max(offsets[-1], len(joined)) < 1 << 31
+                    whole, strings = (np.int32, pa.StringArray) if short else (np.int64, pa.LargeStringArray)
                     place = np.repeat((a - offsets[:-1]).astype(whole), size)
                     place += np.arange(offsets[-1], dtype=whole)
-                    phrase = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(joined[place]))
-                    lang = pa.DictionaryArray.from_arrays(names.indices.take(pa.array(row[at])), names.dictionary)
-                    counted = pa.table({"lang": lang.cast(pa.string()), "phrase": phrase}).group_by(["lang", "phrase"]).aggregate([([], "count_all")])
-                    held.append(pa.table({"lang": counted["lang"], "k": pa.array(np.full(len(counted), k, np.int32)),
-                                          "phrase": counted["phrase"].cast(pa.string()), "f": counted["count_all"]}))
-                if sum(x.nbytes for x in held) >= SHARD_BYTES:
+                    phrase = strings.from_buffers(len(at), pa.py_buffer(offsets.astype(whole)), pa.py_buffer(joined[place]))
+                    table = pa.table({"kind": code[at] * np.int32(len(maps)) + np.int32(k - 1), "phrase": phrase})
+                    if held and held[-1].schema != table.schema:
+                        yield from close()
+                    held.append(table)
+                if sum(x.nbytes for x in held) >= HELD_BYTES:
                     yield from close()
         yield from close()
 

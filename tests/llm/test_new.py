@@ -193,3 +193,58 @@ def test_shard_reports_take_little_memory(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found == n + n // 4 and peak < 6 * 8 * n
+
+
+def test_shard_reports_above_one_take_little_memory():
+    import tracemalloc
+
+    from gridspark.llm.textvec import mix
+    n = 1 << 20
+    shard = phrases.Shard()
+    h = mix(np.arange(n, dtype=np.uint64))
+    shard.hash, shard.lang, shard.words = [h, h[: n // 4]], [np.zeros(n, np.int32), np.zeros(n // 4, np.int32)], {"a": n}
+    tracemalloc.start()
+    ones, many, counts = 0, [], []
+    for r in shard.reports({"a": 5 * n}, 10, 16):       # two occurrences are enough, and are as good as ten
+        ones += len(r["ones"])
+        many.append(np.frombuffer(r["many"], np.uint64))
+        counts.append(np.frombuffer(r["counts"], "<u4"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ones == 0 and np.array_equal(np.concatenate(many), np.sort(h[: n // 4])) and set(np.concatenate(counts)) == {10}
+    assert peak < 4 * 8 * n, peak / n
+    code = np.zeros(n, np.int32)
+    code[: n // 4] = 1
+    shard.hash, shard.lang, shard.words = [h, h[: n // 4]], [code, code[: n // 4]], {"a": n, "b": n // 4}
+    assert list(shard.reports({"a": 5 * n, "b": n}, 10, 16)) == []      # three of b are needed
+
+
+def test_phrase_words_are_hashed_in_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from gridspark.llm.textvec import Texts
+    batch = pa.RecordBatch.from_pydict({"t": [f"some words {k} " * 60 for k in range(6000)]})
+    tracemalloc.start()
+    rows = 0
+    for part in phrases.slices(batch, "t"):
+        rows += len(Texts.of(part.column("t")).words(phrases._WORD, lower=True).hash) // 180
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 6000 and peak < 60 << 20, peak
+
+
+def test_a_task_merges_the_reports_of_one_bucket(spark):
+    from pyspark.sql import functions as F
+    texts = docs(spark, [(k, f"w{k % 700} x{k % 90} y{k % 41}", "a") for k in range(3000)]).select("lang", F.col("text").alias("t"))
+    got = phrases.mine(texts, 1, None, {"a": 9000}, 10, 24).select("h", F.spark_partition_id().alias("p")).collect()
+    assert len(got) >= 90 + 41 and len({r.p for r in got}) > 20
+    assert all((r.h % (1 << 64)) * 24 >> 64 == r.p for r in got)
+
+
+def test_phrases_are_counted_in_parts(spark, monkeypatch):
+    rows = phrase_rows(4, 60)
+    want = collocations([(lang, t) for _, t, lang in rows])
+    monkeypatch.setattr(phrases, "HELD_BYTES", 500)
+    assert got_phrases(docs(spark, rows)) == want
